@@ -22,7 +22,8 @@ def mean_price(price_sum: Column, n: Column) -> Column:
 
 
 def mean_double(price_sum: Column, n: Column) -> Column:
-    return F.when(n > 0, price_sum.cast("double") / n).otherwise(F.lit(0.0))
+    """Divided as decimals: a double quotient can miss a decimal tie by one bit."""
+    return F.when(n > 0, (price_sum / n.cast(_COUNT)).cast("double")).otherwise(F.lit(0.0))
 
 
 def scaled_variance(n: Column, price_sum: Column, price_sq_sum: Column) -> Column:

@@ -14,13 +14,14 @@ def with_stream_time(
     ts: str,
     tie: str = "event_id",
     scope: list[str] | None = None,
-    slice_width: timedelta = timedelta(hours=1),
+    slice_width: timedelta = timedelta(seconds=10),
 ) -> DataFrame:
     """Add ``stream_time``: the newest ``ts`` among this and all earlier arrivals.
 
     Arrivals are cut into time slices and each slice starts from the maximum of those
-    before it, so no task sees more than one slice of events. ``scope`` splits stream
-    time, for example per source; None means one stream.
+    before it, so a task sees single slices of events, never the whole stream. Only the
+    maxima, one narrow row per slice, are scanned in one go. ``scope`` splits stream time,
+    for example per source; None means one stream.
     """
     scope = scope or []
     width = int(slice_width.total_seconds() * 1_000_000)

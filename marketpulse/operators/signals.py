@@ -105,7 +105,7 @@ def discount() -> Column:
     """Share of the prior mean a listing is below it, four digits half-up."""
     n, total, _ = _prior()
     gap = total - F.col("price") * n.cast("decimal(13,0)")
-    return money.half_up(gap.cast("double") / total.cast("double"), 4)
+    return F.round(gap / total, 4).cast("double")
 
 
 def spike_scores(sales: DataFrame, slice_width: timedelta = SLICE) -> DataFrame:

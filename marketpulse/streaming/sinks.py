@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marketpulse.sources.tables import current_rows
@@ -30,6 +31,20 @@ def batch_writer(
     return lambda df, batch_id: write_batch(df, path, batch_id, partition_by)
 
 
+def messages(df: DataFrame, key: str) -> DataFrame:
+    """Rows as keyed JSON messages, the layout a Kafka topic takes."""
+    return df.select(F.col(key).alias("key"), F.to_json(F.struct("*")).alias("value"))
+
+
+def start_kafka(
+    df: DataFrame, key: str, topic: str, servers: str, checkpoint: str
+) -> StreamingQuery:
+    """Publish rows to a topic keyed by ticker or card. Needs Spark's Kafka package."""
+    writer = messages(df, key).writeStream.format("kafka")
+    options = {"kafka.bootstrap.servers": servers, "topic": topic}
+    return writer.options(**options, checkpointLocation=checkpoint).start()
+
+
 def compact(log: DataFrame, keys: list[str], target: str) -> None:
     """Write the current rows of a change log as batch 0 of a new one."""
     write_batch(current_rows(log, keys), target, 0)

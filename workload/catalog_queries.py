@@ -31,14 +31,10 @@ def product_map(f):
         (F.expr("CAST(substr(card_id, 2) AS BIGINT)") + 500_000).alias("productId"),
         F.col("card_id").alias("cardId"),
     )
-    cards = f.raw_cards.withColumn("shelf", F.pmod(F.xxhash64("card_id"), F.lit(64)))
-    by_page = cards.groupBy("shelf", "set_id").agg(F.collect_list(item).alias("items"))
-    old = F.transform(
-        "items", lambda i: F.struct(i["productId"].alias("productId"), F.lit("old").alias("cardId"))
-    )
+    old = F.struct(item["productId"].alias("productId"), F.lit("old").alias("cardId"))
     path = shared_dir(f.spark, "products")
-    stale = by_page.select(old.alias("items"), F.lit(0).alias("page"))
-    fresh = by_page.select("items", F.lit(1).alias("page"))
+    stale = f.raw_cards.select(F.array(old).alias("items"), F.lit(0).alias("page"))
+    fresh = f.raw_cards.select(F.array(item).alias("items"), F.lit(1).alias("page"))
     stale.unionByName(fresh).write.json(path)
     return pages.product_map(pages.read_product_pages(f.spark, path))
 
@@ -57,10 +53,7 @@ def catalog_scan(f):
         F.struct(F.col("image_small").alias("small"), F.col("image_large").alias("large"))
         .alias("images"),
     )
-    shelf = F.pmod(F.xxhash64("card_id"), F.lit(64)).alias("shelf")
-    card_pages = f.raw_cards.groupBy(F.col("set_id").alias("setId"), shelf).agg(
-        F.collect_list(card).alias("data")
-    )
+    card_pages = f.raw_cards.select(F.col("set_id").alias("setId"), F.array(card).alias("data"))
     set_row = F.struct(
         F.col("set_id").alias("id"), "name", "series",
         F.col("printed_total").alias("printedTotal"), "total",
@@ -68,10 +61,10 @@ def catalog_scan(f):
         F.struct(F.col("symbol_url").alias("symbol"), F.col("logo_url").alias("logo"))
         .alias("images"),
     )
-    set_pages = f.raw_sets.groupBy("series").agg(F.collect_list(set_row).alias("data"))
+    set_pages = f.raw_sets.select(F.array(set_row).alias("data"))
     card_path, set_path = shared_dir(f.spark, "cards"), shared_dir(f.spark, "sets")
-    card_pages.drop("shelf").write.json(card_path)
-    set_pages.drop("series").write.json(set_path)
+    card_pages.write.json(card_path)
+    set_pages.write.json(set_path)
     cards = pages.read_cards(f.spark, card_path)
     sets = pages.read_sets(f.spark, set_path)
     named = sets.select(

@@ -22,8 +22,8 @@ def half_up(numerator: str, denominator: str, digits: int) -> str:
 # Columns of a price window over rows with a price and a quantity.
 WINDOW_COLUMNS = f"""
     CAST((2 * sum({CENTS}) + count(*)) // (2 * count(*)) AS DOUBLE) / 100.0 AS avg_price,
-    round(sqrt(CAST(count(*) * sum({CENTS} * {CENTS}) - sum({CENTS}) * sum({CENTS}) AS DOUBLE))
-          / count(*) / 100.0, 6) AS volatility,
+    round(sqrt(CAST(count(*) * sum({CENTS} * {CENTS}) - sum({CENTS}) * sum({CENTS}) AS DOUBLE)
+               / 10000.0) / count(*), 6) AS volatility,
     CAST(sum(greatest(quantity, 0)) AS BIGINT) AS volume, count(*) AS sample_count"""
 
 _HOP_STARTS = """unnest(generate_series(date_trunc('hour', sold_at) - INTERVAL 23 HOUR,
@@ -187,8 +187,9 @@ CHECK_VIEWS: dict[str, tuple[str, str]] = {
         "market_events",
         f"""SELECT event_id, market_key, card_id, ts, CAST(price AS DOUBLE) AS price,
                    {half_up("s1", "(n * 100)", 4)} AS mean,
-                   round(sqrt(CAST({_SPREAD} AS DOUBLE)) / n / 100.0, 4) AS stddev,
-                   round(abs(CAST({_GAP} AS DOUBLE)) / sqrt(CAST({_SPREAD} AS DOUBLE)), 4)
+                   round(sqrt(CAST({_SPREAD} AS DOUBLE) / 10000.0) / n, 4) AS stddev,
+                   round(abs(CAST({_GAP} AS DOUBLE) / 100.0)
+                         / sqrt(CAST({_SPREAD} AS DOUBLE) / 10000.0), 4)
                        AS sigma,
                    n AS sample_count,
                    CASE WHEN {_GAP} * {_GAP} >= 25 * {_SPREAD} THEN 'HIGH'

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from marketpulse.operators import alerts, merge, serving, signals, stats, windows
-from workload.checks import CENTS, WINDOW_COLUMNS, windows_sql
+from workload.checks import CENTS, WINDOW_COLUMNS, half_up, windows_sql
 from workload.registry import query
 from workload.tables import card_views, catalogue, price_windows, rounded, snapshots
 
@@ -162,8 +164,6 @@ def price_history(f):
         AND window_start BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""",
 )
 def card_price_history(f):
-    import datetime as dt
-
     daily = windows.windowed_aggregates(f.sales, ("DAILY",))
     span = dt.datetime(2024, 1, 5, tzinfo=dt.UTC), dt.datetime(2024, 1, 20, tzinfo=dt.UTC)
     return rounded(serving.price_history(daily, "c1", "Daily", *span))
@@ -193,21 +193,30 @@ def upsert_price_window(f):
 
 # ---- signals
 
-_SCORE = """event_id, market_key, ts, n AS prior_count,
-    CASE WHEN n > 0 THEN CAST((2 * s1 * 10000 + n) // (2 * n) AS DOUBLE) / 1000000.0
-         ELSE 0.0 END AS mean,
-    CASE WHEN n > 1 THEN round(sqrt(CAST(n * s2 - s1 * s1 AS DOUBLE)) / n / 100.0, 6)
-         ELSE 0.0 END AS stddev,
-    CASE WHEN n * s2 - s1 * s1 > 0 THEN round(abs(CAST(n * c - s1 AS DOUBLE))
-         / sqrt(CAST(n * s2 - s1 * s1 AS DOUBLE)), 6) END AS sigma"""
+
+def _score_sql(digits: int = 4) -> str:
+    """Double arithmetic on currency units, step by step as the operator does it."""
+    spread = "CAST(n * s2 - s1 * s1 AS DOUBLE) / 10000.0"
+    mean = half_up("s1", "(n * 100)", digits)
+    return f"""event_id, market_key, ts, n AS prior_count,
+        CASE WHEN n > 0 THEN {mean} ELSE 0.0 END AS mean,
+        CASE WHEN n > 1 THEN round(sqrt({spread}) / n, {digits}) ELSE 0.0 END AS stddev,
+        CASE WHEN n * s2 - s1 * s1 > 0 THEN round(abs(CAST(n * c - s1 AS DOUBLE) / 100.0)
+             / sqrt({spread}), {digits}) END AS sigma"""
+
+
+def _scores(sales, digits: int = 4):
+    scored = rounded(signals.spike_scores(sales), digits, "mean", "stddev", "sigma")
+    return scored.select("event_id", "market_key", "ts", "prior_count", "mean", "stddev", "sigma")
 
 
-@query("spike_scores", "market_events", f"SELECT {_SCORE} FROM market_events WHERE kind = 'sale'")
+@query(
+    "spike_scores",
+    "market_events",
+    f"SELECT {_score_sql()} FROM market_events WHERE kind = 'sale'",
+)
 def spike_scores(f):
-    scored = rounded(signals.spike_scores(f.sales), 6, "mean", "stddev", "sigma")
-    return scored.select(
-        "event_id", "market_key", "ts", "prior_count", "mean", "stddev", "sigma"
-    )
+    return _scores(f.sales)
 
 
 _BRAND_EVENTS = f"""
@@ -218,12 +227,9 @@ _BRAND_EVENTS = f"""
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
 
-@query("spike_scores_bulk", "brand_sales", f"SELECT {_SCORE} FROM ({_BRAND_EVENTS}) e")
+@query("spike_scores_bulk", "brand_sales", f"SELECT {_score_sql()} FROM ({_BRAND_EVENTS}) e")
 def spike_scores_bulk(f):
-    scored = rounded(signals.spike_scores(f.brand_sales), 6, "mean", "stddev", "sigma")
-    return scored.select(
-        "event_id", "market_key", "ts", "prior_count", "mean", "stddev", "sigma"
-    )
+    return _scores(f.brand_sales)
 
 
 _SPIKE = "event_id, market_key, card_id, ts, price, mean, stddev, sigma, sample_count, severity"
