@@ -39,21 +39,19 @@ def merge_aggregates() -> list[Column]:
 
 def market_stats(sales: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All-time accumulator per ticker: count, sums, extremes, last sale, volume."""
-    packed = F.unix_micros("sold_at").cast("decimal(20,0)") * F.lit(_CENTS_ROOM).cast(
-        "decimal(13,0)"
-    ) + (F.col("price") * 100).cast("decimal(12,0)")
+    room = F.lit(_CENTS_ROOM).cast("decimal(13,0)")
+    cents = (F.col("price") * 100).cast("decimal(12,0)")
+    packed = F.unix_micros("sold_at").cast("decimal(17,0)") * room + cents
     stats = sales.groupBy(*(keys or ["market_key"])).agg(
         *base_aggregates(),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
         F.max(packed).alias("_last"),
     )
-    room = F.lit(_CENTS_ROOM).cast("decimal(13,0)")
     micros = F.floor(F.col("_last") / room)
-    cents = F.col("_last") - micros * room
     return stats.withColumns(
         {
-            "last_price": (cents / 100).cast(MONEY),
+            "last_price": ((F.col("_last") - micros * room) / 100).cast(MONEY),
             "last_trade_at": F.timestamp_micros(micros.cast("long")),
         }
     ).drop("_last")
