@@ -40,8 +40,11 @@ def upsert(
 def absent_rows(
     base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Order | None = None
 ) -> DataFrame:
-    """Rows of ``delta`` whose key ``base`` lacks; the first row per key by ``order``."""
-    fresh = first_per_key(delta, keys, order) if order else delta.dropDuplicates(list(keys))
+    """Rows of ``delta`` whose key ``base`` lacks; the first row per key by ``order``.
+
+    Without ``order`` the rows of a key must be alike, and any of them is taken.
+    """
+    fresh = first_per_key(delta, keys, order or keys)
     return fresh.join(base.select(*keys), list(keys), "left_anti").select(*base.columns)
 
 

@@ -35,14 +35,18 @@ def price_history(
     window: str = "hourly",
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
+    cards: DataFrame | None = None,
 ) -> DataFrame:
     """Windows of every ticker of a card in time order, both bounds inclusive.
 
-    ``card_id`` None gives the history of all cards.
+    ``cards`` asks for the history of many cards at once; without either, of all cards.
     """
     rows = windows.filter(F.col("window_type") == window_type_of(window))
     if card_id is not None:
         rows = rows.filter(F.col("market_key").startswith(card_id + "|"))
+    if cards is not None:
+        wanted = cards.select("card_id")
+        rows = rows.join(wanted, "card_id", "left_semi").select(*windows.columns)
     if start is not None:
         rows = rows.filter(F.col("window_start") >= F.lit(start))
     if end is not None:

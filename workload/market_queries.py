@@ -84,11 +84,29 @@ for _name, _view, _kind in (
     ("daily_aggregates", "sales", "DAILY"),
     ("ma_24h_aggregates", "sales", "MA_24H"),
     ("daily_aggregates_bulk", "bulk_sales", "DAILY"),
-    ("ma_24h_aggregates_bulk", "brand_sales", "MA_24H"),
 ):
     query(_name, _view, windows_sql(_view, _kind))(_one_kind(_view, _kind))
 
 
+@query(
+    "ma_24h_aggregates_bulk",
+    "brand_sales",
+    f"""SELECT market_key, count(*) AS windows, CAST(sum(sample_count) AS BIGINT) AS samples,
+               min(avg_price) AS lowest, max(avg_price) AS highest, max(volatility) AS wildest
+        FROM ({windows_sql("brand_sales", "MA_24H")}) w GROUP BY market_key""",
+)
+def ma_24h_aggregates_bulk(f):
+    """Range of the trailing average of each brand ticker over its whole history."""
+    trailing = rounded(windows.windowed_aggregates(f.brand_sales, ("MA_24H",)))
+    return trailing.groupBy("market_key").agg(
+        F.count("*").alias("windows"),
+        F.sum("sample_count").alias("samples"),
+        F.min("avg_price").alias("lowest"),
+        F.max("avg_price").alias("highest"),
+        F.max("volatility").alias("wildest"),
+    )
+
+
 @query("all_windows", "price_windows", f"SELECT {_WINDOW} FROM price_windows")
 def all_windows(f):
     return rounded(price_windows(f))
@@ -159,14 +177,17 @@ def price_history(f):
 
 @query(
     "card_price_history",
-    "daily",
-    f"""SELECT {_WINDOW} FROM daily WHERE card_id = 'c1'
+    "daily watchlist",
+    f"""SELECT {_WINDOW} FROM daily WHERE card_id IN (SELECT card_id FROM watchlist)
         AND window_start BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""",
 )
 def card_price_history(f):
+    """History of all watched cards between two days."""
     daily = windows.windowed_aggregates(f.sales, ("DAILY",))
-    span = dt.datetime(2024, 1, 5, tzinfo=dt.UTC), dt.datetime(2024, 1, 20, tzinfo=dt.UTC)
-    return rounded(serving.price_history(daily, "c1", "Daily", *span))
+    first, last = (dt.datetime(2024, 1, day, tzinfo=dt.UTC) for day in (5, 20))
+    return rounded(
+        serving.price_history(daily, None, "Daily", first, last, cards=f.watchlist)
+    )
 
 
 @query(
