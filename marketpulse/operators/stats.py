@@ -32,9 +32,16 @@ def base_aggregates(price: str = "price", quantity: str = "quantity") -> list[Co
     ]
 
 
+_TYPES = {"price_sum": PRICE_SUM, "price_sq_sum": PRICE_SQ_SUM}
+
+
+def typed(name: str) -> Column:
+    """An additive column in its own type, which sums of decimals outgrow."""
+    return F.col(name).cast(_TYPES.get(name, "long")).alias(name)
+
+
 def merge_aggregates() -> list[Column]:
-    types = {"price_sum": PRICE_SUM, "price_sq_sum": PRICE_SQ_SUM}
-    return [F.sum(c).cast(types.get(c, "long")).alias(c) for c in ADDITIVE]
+    return [F.sum(c).cast(_TYPES.get(c, "long")).alias(c) for c in ADDITIVE]
 
 
 def market_stats(sales: DataFrame, keys: list[str] | None = None) -> DataFrame:

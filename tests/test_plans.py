@@ -56,11 +56,19 @@ def test_scan_reads_only_needed_columns_and_pushes_the_filter(spark):
     assert "props" not in plan and "lineitem" not in plan
 
 
-def test_overlapping_windows_do_not_multiply_raw_sales(spark):
-    """The generator that spreads rows over windows sits above the first aggregation."""
-    plan = _plan(spark, "all_windows")
-    assert plan.index("Generate") < plan.rindex("partial_sum")
-    assert plan.count("FileScan") == 1
+def test_overlapping_windows_do_not_multiply_shuffled_rows(spark):
+    """Rows are spread over the 24 windows above the last shuffle of that branch."""
+    plan = _plan(spark, "ma_24h_aggregates")
+    assert plan.index("explode(sequence") < plan.index("Exchange")
+    assert plan.count("Exchange") == 2
+
+
+def test_all_windows_fold_the_sales_once(spark):
+    df = contract.queries()["all_windows"](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("ReusedExchange") == 2
+    assert final.count("FileScan") == 1
 
 
 def test_hot_product_is_split_when_the_map_is_too_large_to_broadcast(spark):
