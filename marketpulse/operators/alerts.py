@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.schemas import SEVERITIES
+from marketpulse.schemas import ALERT_TYPES, SEVERITIES
 
 _DETAIL = {
     "SPIKE": "price double, mean double, stddev double, sigma double, sampleCount bigint",
@@ -72,7 +72,11 @@ def merge_feed(
 
 def _matching(alerts: DataFrame, kind: str | None, severity: str | None) -> DataFrame:
     if kind is not None:
+        if kind not in ALERT_TYPES:
+            raise ValueError(f"unknown alert type: {kind}")
         alerts = alerts.filter(F.col("type") == kind)
     if severity is not None:
+        if severity not in SEVERITIES:
+            raise ValueError(f"unknown severity: {severity}")
         alerts = alerts.filter(F.col("severity") == severity)
     return alerts

@@ -102,6 +102,12 @@ def reject_counts(checked: DataFrame) -> DataFrame:
     return counts.withColumnRenamed("reject_reason", "reason")
 
 
+def outcome_counts(checked: DataFrame) -> DataFrame:
+    """Rows per source, feed and outcome: ``ingested`` or the reject reason."""
+    outcome = F.coalesce("reject_reason", F.lit("ingested")).alias("outcome")
+    return checked.groupBy("source", "feed", outcome).agg(F.count("*").alias("rows"))
+
+
 def ingestion_status(polled: DataFrame, checked: DataFrame, as_of: Column) -> DataFrame:
     """Cursors and totals per source.
 

@@ -48,10 +48,12 @@ def validating_sink(
     cards: Callable[[], DataFrame],
     as_of: Column | None = None,
     limits: ValidationLimits = ValidationLimits(),
+    counts_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """Sink that validates against the catalogue as it is at each batch.
 
-    One read, two tables: accepted rows, and rejected rows with their reason.
+    One read, several tables: accepted rows, rejected rows with their reason, and with
+    ``counts_path`` the number of rows per source, feed and outcome.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -61,6 +63,8 @@ def validating_sink(
             clean = normalize.with_price(quality.accepted(checked))
             write_batch(clean, clean_path, batch_id, ("feed",))
             write_batch(quality.quarantine(checked), quarantine_path, batch_id)
+            if counts_path is not None:
+                write_batch(quality.outcome_counts(checked), counts_path, batch_id)
         finally:
             checked.unpersist()
 

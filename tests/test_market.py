@@ -217,6 +217,10 @@ def test_recent_filters_and_orders(alert_table):
     rows = alert_table(("1", "SPIKE", "HIGH", "c", 0), ("2", "ARBITRAGE", "HIGH", "c", 1), ("3", "SPIKE", "HIGH", "c", 2))
     assert [r.alert_id for r in alerts.recent(rows, limit=2).collect()] == ["3", "2"]
     assert [r.alert_id for r in alerts.recent(rows, "SPIKE", "HIGH").collect()] == ["3", "1"]
+    with pytest.raises(ValueError):
+        alerts.recent(rows, kind="CRASH")
+    with pytest.raises(ValueError):
+        alerts.recent(rows, severity="high")
 
 
 def test_live_alert_hides_its_stored_copy(alert_table):

@@ -155,7 +155,11 @@ def test_ingest_drops_redeliveries_and_survives_a_future_record(spark, tmp_path)
     cards = spark.createDataFrame([("c7",)], "card_id string")
     rows = ingest.ingest_stream(None, raw, products, "sim")
     sink = ingest.validating_sink(
-        f"{tmp_path}/ok", f"{tmp_path}/bad", lambda: cards, F.lit(T0 + dt.timedelta(hours=1))
+        f"{tmp_path}/ok",
+        f"{tmp_path}/bad",
+        lambda: cards,
+        F.lit(T0 + dt.timedelta(hours=1)),
+        counts_path=f"{tmp_path}/counts",
     )
     sinks.start(rows, sink, f"{tmp_path}/cp").awaitTermination()
     clean = spark.read.parquet(f"{tmp_path}/ok")
@@ -163,6 +167,12 @@ def test_ingest_drops_redeliveries_and_survives_a_future_record(spark, tmp_path)
     assert {r.price for r in clean.collect()} == {Decimal("2.50")}
     bad = {r.event_id: r.reject_reason for r in spark.read.parquet(f"{tmp_path}/bad").collect()}
     assert bad == {"sim:2": "timestamp_out_of_window", "sim:4": "quantity_out_of_bounds"}
+    counts = spark.read.parquet(f"{tmp_path}/counts").groupBy("outcome").agg(F.sum("rows"))
+    assert {r[0]: r[1] for r in counts.collect()} == {
+        "ingested": 3,
+        "timestamp_out_of_window": 1,
+        "quantity_out_of_bounds": 1,
+    }
 
 
 def test_messages_are_keyed_json(spark):

@@ -87,7 +87,8 @@ def latest_metadata(f):
 @query(
     "release_date_parse",
     "raw_sets",
-    """SELECT set_id, CAST(try_strptime(release_date_raw, '%Y/%m/%d') AS DATE) AS release_date
+    """SELECT set_id, CAST(CAST(try_strptime(release_date_raw, '%Y/%m/%d') AS DATE) AS VARCHAR)
+              AS release_date
        FROM raw_sets""",
 )
 def release_date_parse(f):
@@ -95,7 +96,11 @@ def release_date_parse(f):
     return f.raw_sets.select("set_id", date.alias("release_date"))
 
 
-@query("recent_sets", "sets", "SELECT set_id, name, series, total, release_date FROM sets")
+@query(
+    "recent_sets",
+    "sets",
+    "SELECT set_id, name, series, total, CAST(release_date AS VARCHAR) AS release_date FROM sets",
+)
 def recent_sets(f):
     kept = catalog.recent_sets(f.raw_sets, cutoff())
     return kept.select("set_id", "name", "series", "total", "release_date")
@@ -110,7 +115,7 @@ def recent_cards(f):
     "catalog_load_summary",
     "cards sets",
     f"""SELECT (SELECT count(*) FROM sets) AS sets, (SELECT count(*) FROM cards) AS cards,
-               DATE '{CUTOFF}' AS since_release_date""",
+               '{CUTOFF}' AS since_release_date""",
 )
 def catalog_load_summary(f):
     return catalogue(f).summary

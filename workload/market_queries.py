@@ -440,8 +440,9 @@ def alert_feed_merge(f):
     "card_views snapshot",
     f"""SELECT v.card_id, v.name, v.set_name, s.market_key, s.finish, s.condition, s.last_price,
                s.avg_price, s.volatility, s.sample_count,
-               (list_position(['NORMAL', 'HOLOFOIL', 'REVERSE_HOLOFOIL'], s.finish) - 1) * 5
-               + list_position(['NM', 'LP', 'MP', 'HP', 'DMG'], s.condition) AS position
+               CAST((list_position(['NORMAL', 'HOLOFOIL', 'REVERSE_HOLOFOIL'], s.finish) - 1) * 5
+                    + list_position(['NM', 'LP', 'MP', 'HP', 'DMG'], s.condition) AS BIGINT)
+                   AS position
         FROM card_views v LEFT JOIN snapshot s ON v.card_id = s.card_id""",
 )
 def card_detail(f):

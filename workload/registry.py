@@ -30,6 +30,7 @@ def query(name: str, reads: str = "", sql: str | None = None):
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that values compare alike across engines."""
+    """Decimals as doubles and dates as text, so that values compare alike across engines."""
     casts = {n: F.col(n).cast("double") for n, t in df.dtypes if t.startswith("decimal")}
+    casts |= {n: F.col(n).cast("string") for n, t in df.dtypes if t == "date"}
     return df.withColumns(casts) if casts else df
