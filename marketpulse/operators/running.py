@@ -1,12 +1,16 @@
 """Statistics of everything a ticker traded before each event.
 
 A plain running window per ticker would put all rows of the hottest ticker through one
-task. Here time is cut into slices: sales are first folded per (ticker, slice), the folded
-rows give every slice its opening balance, and the running window then works inside
-(ticker, slice). A ticker with a third of all rows spreads over as many tasks as it has
-slices, and the result is exact because decimal sums can be split anywhere. Five minutes
-keep a slice of even such a ticker within one task's reach, while the folded rows of a
-ticker stay few: about 100,000 a year.
+task. Tickers with more than ``HOT_ROWS`` rows are therefore cut into time slices: their
+sales are first folded per (ticker, slice), the folded rows give every slice its opening
+balance, and the running window then works inside (ticker, slice). A ticker with a third of
+all rows spreads over as many tasks as it has slices, and the result is exact because
+decimal sums can be split anywhere. Five minutes keep a slice of even such a ticker within
+one task's reach, while its folded rows stay few: about 100,000 a year.
+
+All other tickers stay whole, a slice of their own with at most ``HOT_ROWS`` rows. The list
+of hot tickers is broadcast; it cannot have more than rows / HOT_ROWS entries, half a
+million for 10^12 events.
 
 The opening balance travels as one extra row in front of its slice, which avoids a join
 and leaves one shuffle and one sort of the event rows.
@@ -22,7 +26,9 @@ from pyspark.sql import functions as F
 from marketpulse.schemas import PRICE_SQ_SUM, PRICE_SUM
 
 SLICE = timedelta(minutes=5)
+HOT_ROWS = 2_000_000
 _SUMS = (("prior_count", "bigint"), ("prior_sum", PRICE_SUM), ("prior_sq_sum", PRICE_SQ_SUM))
+_PARTS = (("_n", "bigint"), ("_s1", PRICE_SUM), ("_s2", PRICE_SQ_SUM))
 
 
 def prior_stats(
@@ -32,6 +38,7 @@ def prior_stats(
     ts: str = "ts",
     counted: str = "counted",
     slice_width: timedelta = SLICE,
+    hot_rows: int = HOT_ROWS,
     carry: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``prior_count``, ``prior_sum`` and ``prior_sq_sum`` of ``price`` to each event.
@@ -41,28 +48,32 @@ def prior_stats(
     (key, prior_*) from before these events.
     """
     width = int(slice_width.total_seconds() * 1_000_000)
-    slice_no = F.floor(F.unix_micros(ts) / F.lit(width))
+    sizes = events.groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = sizes.filter(F.col("_rows") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)
+    slice_no = F.when(F.col("_hot"), F.floor(F.unix_micros(ts) / F.lit(width)))
     price = F.when(F.col(counted), F.col("price"))
     own = {
-        "_slice": slice_no,
+        "_slice": F.coalesce(slice_no, F.lit(0)),
         "_row": F.lit(1),
         "_n": F.when(F.col(counted), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
         "_s1": F.coalesce(price, F.lit(0)).cast(PRICE_SUM),
         "_s2": F.coalesce(price * price, F.lit(0)).cast(PRICE_SQ_SUM),
     }
-    rows = events.withColumns(own)
-    opening = _opening_balances(rows, key, carry)
-    stacked = rows.unionByName(opening, allowMissingColumns=True)
+    rows = events.join(hot, key, "left").withColumns(own)
+    opening = _opening_balances(rows.filter("_hot"), key, hot, carry)
+    stacked = rows.drop("_hot").unionByName(opening, allowMissingColumns=True)
     before = (
         Window.partitionBy(key, "_slice")
         .orderBy("_row", ts, *tie)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    sums = {
-        name: F.coalesce(F.sum(part).over(before), F.lit(0)).cast(dtype)
-        for (name, dtype), part in zip(_SUMS, ("_n", "_s1", "_s2"))
-    }
-    return stacked.withColumns(sums).filter(F.col("_row") == 1).drop("_row", "_slice", "_n", "_s1", "_s2")
+    sums = [
+        F.coalesce(F.sum(part).over(before), F.lit(0)).cast(dtype).alias(name)
+        for (name, dtype), (part, _) in zip(_SUMS, _PARTS)
+    ]
+    scored = stacked.select(*events.columns, "_row", *sums)
+    return scored.filter(F.col("_row") == 1).drop("_row")
 
 
 def batch_totals(events: DataFrame, key: str = "market_key", counted: str = "counted") -> DataFrame:
@@ -85,36 +96,32 @@ def add_totals(left: DataFrame, right: DataFrame, key: str = "market_key") -> Da
     return both.groupBy(key).agg(*sums)
 
 
-def _opening_balances(rows: DataFrame, key: str, carry: DataFrame | None) -> DataFrame:
-    per_slice = rows.groupBy(key, "_slice").agg(
-        F.sum("_n").alias("_n"),
-        F.sum("_s1").cast(PRICE_SUM).alias("_s1"),
-        F.sum("_s2").cast(PRICE_SQ_SUM).alias("_s2"),
-    )
-    earlier = (
-        Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+def _opening_balances(
+    hot_rows: DataFrame, key: str, hot: DataFrame, carry: DataFrame | None
+) -> DataFrame:
+    """One row per slice that does not start from nothing."""
+    folded = hot_rows.groupBy(key, "_slice").agg(
+        *[F.sum(name).cast(dtype).alias(name) for name, dtype in _PARTS]
     )
-    parts = (("_n", "bigint"), ("_s1", PRICE_SUM), ("_s2", PRICE_SQ_SUM))
+    whole = None
     if carry is not None:
-        # The carried sums stand as a slice before all others; it is not a slice of its own.
-        brought = carry.select(
+        brought = carry.join(hot, key, "left").select(
             key,
-            F.lit(None).cast("bigint").alias("_slice"),
-            F.col("prior_count").alias("_n"),
-            F.col("prior_sum").alias("_s1"),
-            F.col("prior_sq_sum").alias("_s2"),
-        )
-        per_slice = per_slice.unionByName(brought)
-        earlier = (
-            Window.partitionBy(key)
-            .orderBy(F.col("_slice").asc_nulls_first())
-            .rowsBetween(Window.unboundedPreceding, -1)
+            "_hot",
+            *[F.col(total).alias(part) for (total, _), (part, _) in zip(_SUMS, _PARTS)],
         )
-    balances = per_slice.select(
-        key,
-        "_slice",
-        F.lit(0).alias("_row"),
-        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast(t).alias(c) for c, t in parts],
+        # For a hot ticker the carried sums stand before its first slice; the one slice of
+        # any other ticker opens with them.
+        first = brought.filter("_hot").withColumn("_slice", F.lit(None).cast("bigint"))
+        folded = folded.unionByName(first.drop("_hot"))
+        whole = brought.filter("_hot IS NULL").drop("_hot").withColumn("_slice", F.lit(0))
+    earlier = (
+        Window.partitionBy(key)
+        .orderBy(F.col("_slice").asc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # A slice that starts from nothing needs no opening row; the carried row is no slice.
-    return balances.filter((F.col("_n") > 0) & F.col("_slice").isNotNull())
+    balances = folded.select(
+        key, "_slice", *[F.sum(c).over(earlier).cast(t).alias(c) for c, t in _PARTS]
+    ).filter((F.col("_n") > 0) & F.col("_slice").isNotNull())
+    opening = balances if whole is None else balances.unionByName(whole)
+    return opening.withColumn("_row", F.lit(0))

@@ -32,11 +32,13 @@ def test_no_quadratic_or_row_at_a_time_operator(spark, name):
     assert not [op for op in FORBIDDEN if op in plan]
 
 
-def test_raw_rows_are_shuffled_once_by_ticker_and_slice(spark):
+def test_event_rows_are_shuffled_once_by_ticker_and_slice(spark):
     plan = _plan(spark, "spike_scores")
-    wide = [line for line in plan.splitlines() if "Exchange" in line]
-    assert len(wide) == 3  # folded slices twice, event rows once
-    assert sum("_slice" in line for line in wide) == 2
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # The event rows and the folded slices of hot tickers go by ticker and slice; the rest
+    # are folded rows and row counts per ticker.
+    assert sum("_slice" in line for line in shuffles) == 2
+    assert plan.count("SortMergeJoin") == 0
 
 
 @pytest.mark.parametrize("name", ["dedup_events", "latest_metadata", "latest_window", "top_gainers"])
