@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from marketpulse.llm import decontaminate, quality_rules, sentencepieces
+from marketpulse.llm import decontaminate, quality_model, quality_rules, sentencepieces, toxicity
 from marketpulse.llm.registry import query, table
 
 RULE_COLUMNS = (
@@ -65,3 +65,17 @@ def op4(spark, sf_dir):
 def op5(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentencepieces.piece_codes(table(spark, sf_dir, "documents"), model)
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return quality_model.quality_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
