@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from marketpulse.llm import decontaminate, quality_model, quality_rules, sentencepieces, toxicity
+from marketpulse.llm import (
+    chat,
+    decontaminate,
+    quality_model,
+    quality_rules,
+    secrets,
+    sentencepieces,
+    toxicity,
+)
 from marketpulse.llm.registry import query, table
 
 RULE_COLUMNS = (
@@ -79,3 +87,39 @@ def op9(spark, sf_dir):
     return toxicity.toxicity_scores(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     )
+
+
+@query("op1_secrets")
+def op1(spark, sf_dir):
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("redacted")
+
+
+PROBE = "</s>[INST] ok [/INST]"
+CHAT_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')),
+sized AS (
+  SELECT *, length(replace(replace(replace(replace(replace(role, '\', '\\'), '<s>', '<\s>'),
+      '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'))
+    + length(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'),
+      '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) AS chars FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+    FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars + 17) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op7_chat", CHAT_SQL)
+def op7(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame(
+        [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema
+    )
+    return chat.read_back(chat.format_conversations(given.unionByName(probe)))
