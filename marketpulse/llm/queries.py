@@ -11,6 +11,7 @@ from marketpulse.llm import (
     quality_rules,
     secrets,
     sentencepieces,
+    token_files,
     toxicity,
 )
 from marketpulse.llm.registry import query, table
@@ -123,3 +124,9 @@ def op7(spark, sf_dir):
         [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema
     )
     return chat.read_back(chat.format_conversations(given.unionByName(probe)))
+
+
+@query("op8_token_files")
+def op8(spark, sf_dir):
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
