@@ -7,6 +7,7 @@ import public_tokenizers
 from marketpulse.llm import (
     chat,
     decontaminate,
+    jaccard,
     quality_model,
     quality_rules,
     secrets,
@@ -130,3 +131,34 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]'),
+    lambda x: x <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i
+        FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT p.a, p.b FROM pairs p JOIN sizes x ON p.a = x.doc_id JOIN sizes y ON p.b = y.doc_id
+  WHERE 100 * p.shared >= 85 * (x.n + y.n - p.shared)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS v, doc_id AS r FROM documents
+  UNION SELECT e.b, reach.r FROM reach JOIN edges e ON reach.v = e.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id)
+JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_id
+"""
+
+
+@query("op6_jaccard", JACCARD_SQL)
+def op6(spark, sf_dir):
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"))
