@@ -12,6 +12,7 @@ from marketpulse.llm import (
     quality_rules,
     secrets,
     sentencepieces,
+    suffixes,
     token_files,
     toxicity,
 )
@@ -162,3 +163,8 @@ JOIN (SELECT v, min(r) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_i
 @query("op6_jaccard", JACCARD_SQL)
 def op6(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffixes")
+def op10(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
