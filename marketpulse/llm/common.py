@@ -71,6 +71,47 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     return map_batches(df, run, schema)
 
 
+def _map_texts(df: DataFrame, change, text_col: str) -> DataFrame:
+    _importable(df.sparkSession)
+    at = [i for i, n in enumerate(df.columns) if n == text_col][0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = None
+        for batch in batches:
+            fn = fn or change()
+            yield fn(batch, at, [t or "" for t in batch.column(at).to_pylist()])
+
+    return df.mapInArrow(run, df.schema)
+
+
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[str], bool]], text_col="text"):
+    """Rows whose text the function made per task accepts, with all their columns."""
+
+    def change():
+        keep = make()
+        return lambda batch, at, found: batch.filter(pa.array([keep(t) for t in found], pa.bool_()))
+
+    return _map_texts(df, change, text_col)
+
+
+def replace_texts(df: DataFrame, make: Callable[[], Callable[[str], str]], text_col="text"):
+    """All rows and columns of ``df``, each text replaced; a null text stays null if empty."""
+
+    def change():
+        replace = make()
+
+        def run(batch, at, found):
+            given = batch.column(at)
+            new = [replace(t) if t else old for t, old in zip(found, given.to_pylist(), strict=True)]
+            arrays = list(batch.columns)
+            arrays[at] = pa.array(new, given.type)
+            return pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+
+        return run
+
+    return _map_texts(df, change, text_col)
+
+
 def id_like(df: DataFrame, column: str = "doc_id") -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -12,9 +12,8 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from marketpulse.llm.common import hex_digest, id_like, map_rows, texts
+from marketpulse.llm.common import hex_digest, id_like, keep_rows, map_rows, texts
 
 #: Bytes of windows that go into one automaton; a larger benchmark is scanned in blocks.
 BLOCK_BYTES = 8 << 20
@@ -158,9 +157,24 @@ def contamination(
     )
 
 
-def drop_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``df`` whose text holds no window of any item; rows without an id are kept."""
-    bad = contamination(df, benchmark, **options).filter("contaminated").select("doc_id")
-    key = options.get("id_col", "doc_id")
-    bad = bad.select(F.col("doc_id").alias("_bad")).distinct()
-    return df.join(bad, df[key] == F.col("_bad"), "left_anti")
+def drop_contaminated(
+    df: DataFrame,
+    benchmark: DataFrame,
+    width: int = 10,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Rows of ``df`` whose text holds no window of any item, with all their columns."""
+    sc = df.sparkSession.sparkContext
+    blocks = [
+        sc.broadcast(b)
+        for b in item_blocks(benchmark, width, item_col, item_text_col, block_bytes)
+    ]
+
+    def make():
+        built = [automaton(b.value) for b in blocks]
+        return lambda text: not any(scan(text, one)[1] for one in built)
+
+    return keep_rows(df, make, text_col)

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -281,7 +281,7 @@ def _region_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame
 
     def join(pdf):
         if pdf["label"].nunique() < 2:
-            return pdf.iloc[:0][["label"]].assign(b=pdf["label"].iloc[:0]).set_axis(["a", "b"], axis=1)
+            return type(pdf)([], columns=["a", "b"])
         sets_ = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
         links = block_links(pdf["x"].tolist(), pdf["label"].tolist(), sets_, s)
         return type(pdf)(links, columns=["a", "b"])
@@ -324,7 +324,7 @@ def similar_groups(
     reps = folded.select(F.col("rep").alias("doc_id")).distinct()
 
     documents = source.filter("doc_id IS NOT NULL")
-    alone = F.min("doc_id").over(_per("signature"))
+    alone = F.min("doc_id").over(Window.partitionBy("signature"))
     regions = stored(
         _signatures(_with_ids(reps, documents, reps.count()), s)
         .withColumn("p", alone)
@@ -365,14 +365,12 @@ def similar_groups(
     )
 
 
-def _per(column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(column)
-
-
 def one_of_each_group(df: DataFrame, id_col="doc_id", **options) -> DataFrame:
-    """Rows of ``df`` but for those whose component has a smaller id; none is changed."""
+    """Rows of ``df`` but for those whose component has a smaller id, with all their columns."""
     groups = similar_groups(df, id_col=id_col, **options)
-    drop = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return df.join(drop, df[id_col] == F.col("_drop"), "left_anti")
+    drop = stored(
+        groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("id")).distinct(),
+        "dropped",
+    )
+    side = F.broadcast(drop) if drop.count() <= BROADCAST_IDS else drop
+    return df.join(side, df[id_col] == drop["id"], "left_anti")

@@ -17,7 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.llm import automata
-from marketpulse.llm.common import hex_digest, id_like, map_batches, map_rows, texts
+from marketpulse.llm.common import (
+    hex_digest,
+    id_like,
+    map_batches,
+    map_rows,
+    replace_texts,
+    texts,
+)
 
 KINDS = ("assign", "access", "hex", "format")
 _WORDS = ("passw", "secret", "token", "api")
@@ -170,12 +177,7 @@ def scan(df: DataFrame, formats: Formats, id_col="doc_id", text_col="text") -> D
         known = shared.value
 
         def row(doc_id, text):
-            base = [b[:3] for b in base_spans(text)]
-            spans = list(base)
-            if known.kinds:
-                for a, b, value in candidates(text, [x[:2] for x in base]):
-                    if known.best(value)[1] >= 0:
-                        spans.append((a, b, "format"))
+            base, spans = all_spans(text, known)
             counts = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
             return (
                 doc_id, *counts, hex_digest(joined(base)), joined(spans), redacted(text, spans),
@@ -192,6 +194,30 @@ def scan(df: DataFrame, formats: Formats, id_col="doc_id", text_col="text") -> D
     )
 
 
+def all_spans(text: str, formats: Formats) -> tuple[list[Span], list[Span]]:
+    """Base spans, and all spans."""
+    base = [b[:3] for b in base_spans(text)]
+    more = []
+    if formats.kinds:
+        more = [
+            (a, b, "format")
+            for a, b, value in candidates(text, [x[:2] for x in base])
+            if formats.best(value)[1] >= 0
+        ]
+    return base, base + more
+
+
+def redact(df: DataFrame, formats: Formats, text_col="text") -> DataFrame:
+    """All rows and columns of ``df``; every secret in a text becomes ``[SECRET]``."""
+    shared = df.sparkSession.sparkContext.broadcast(formats)
+
+    def make():
+        known = shared.value
+        return lambda text: redacted(text, all_spans(text, known)[1])
+
+    return replace_texts(df, make, text_col)
+
+
 def redacted(text: str, spans: list[Span], mark: str = "[SECRET]") -> str:
     if not spans:
         return text

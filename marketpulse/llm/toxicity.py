@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.llm import labelled
-from marketpulse.llm.common import crc_mod, id_like, map_batches, map_rows, texts
+from marketpulse.llm.common import crc_mod, id_like, keep_rows, map_batches, map_rows, texts
 
 # Letters of other scripts that look like Latin ones.
 _LOOK_ALIKES = dict(
@@ -253,6 +253,17 @@ def score_texts(df: DataFrame, lexicon: Lexicon, id_col="doc_id", text_col="text
     return map_rows(source, make, f"doc_id {id_like(source)}, score double, predicted int")
 
 
+def drop_toxic(df: DataFrame, lexicon: Lexicon, limit: float = 0.5, text_col="text") -> DataFrame:
+    """Rows of ``df`` that score below ``limit``, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
+
+    def make():
+        matcher = Matcher(shared.value)
+        return lambda text: matcher.score(text) < limit
+
+    return keep_rows(df, make, text_col)
+
+
 def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
