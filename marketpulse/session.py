@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,8 +18,6 @@ _SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
-_local_fallback: dict[str, str] = {}
-
 
 def build_session(app: str = "marketpulse", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are tuned for; ``conf`` wins."""
@@ -32,21 +29,22 @@ def build_session(app: str = "marketpulse", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
+#: Session setting that names a shared folder where ``spark.checkpoint.dir`` is unset.
+SHARED_DIR = "spark.marketpulse.sharedDir"
+
+
+def shared_dir(spark: SparkSession, purpose: str, base: str | None = None) -> str:
+    """A new folder name under a folder that driver and executors share.
 
-    A private temporary folder is used only where that setting is missing, which
-    is the case for local runs and tests.
+    That is ``base``, else the cluster's ``spark.checkpoint.dir``, else the folder named by
+    ``SHARED_DIR``. Without any of them this fails rather than write to one machine's disk.
+    Results may be read from there until they are consumed; the owner of the folder cleans it.
     """
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
+    base = (
+        base
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        or spark.conf.get(SHARED_DIR, None)
     )
     if not base:
-        app = context.applicationId
-        if app not in _local_fallback:
-            _local_fallback[app] = tempfile.mkdtemp(prefix="marketpulse-")
-        base = _local_fallback[app]
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(base)
+        raise ValueError(f"set spark.checkpoint.dir or {SHARED_DIR} to a shared folder")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

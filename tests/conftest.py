@@ -8,13 +8,13 @@ import pytest
 from marketpulse import build_session
 from marketpulse.schemas import LISTING, SALE
 
-T0 = dt.datetime(2026, 6, 1, 10, 0)
-CARD = "base1-4"
+T0 = dt.datetime(2025, 9, 1, 10, 0)
+CARD = "moor-31"
 KEY = f"{CARD}|HOLOFOIL|NM"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -22,6 +22,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "6g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketpulse.session import SHARED_DIR
+
 #: "Now" for the validator; the events lie in January 2024.
 AS_OF = "2024-02-01 00:00:00"
 #: Sets released before this day are not in the catalogue.
@@ -22,7 +24,7 @@ _CONDITION = (
     "CASE CAST(floor(user_id / 3) AS BIGINT) % 5 WHEN 0 THEN 'NM' WHEN 1 THEN 'LP' "
     "WHEN 2 THEN 'MP' WHEN 3 THEN 'HP' ELSE 'DMG' END"
 )
-_SALE_TYPES = "event_type IN ('purchase', 'click', 'signup')"
+_SALE_TYPES = "event_type <> 'view'"
 
 VIEWS: dict[str, str] = {
     "tick": f"""
@@ -54,8 +56,8 @@ VIEWS: dict[str, str] = {
                     ELSE condition END AS condition,
                CASE WHEN event_type <> 'error' THEN CAST(price AS STRING)
                     WHEN event_id % 8 = 1 THEN '0.00'
-                    WHEN event_id % 8 = 2 THEN '12.5000'
-                    WHEN event_id % 8 = 6 THEN '2000000'
+                    WHEN event_id % 8 = 2 THEN '7.350'
+                    WHEN event_id % 8 = 6 THEN '1000000.01'
                     ELSE CAST(price AS STRING) END AS price_raw,
                CASE WHEN event_type = 'error' AND event_id % 8 = 3 THEN 0
                     ELSE quantity END AS quantity,
@@ -80,21 +82,21 @@ VIEWS: dict[str, str] = {
     # Canonical sales with one defect each, before validation.
     "dirty_sales": """
         SELECT concat('sim:', event_id) AS event_id, 'sim' AS source,
-               CASE event_id % 8 WHEN 0 THEN 'ghost-9' WHEN 6 THEN concat(card_id, '|x')
+               CASE event_id % 8 WHEN 0 THEN 'nowhere-0' WHEN 6 THEN concat(card_id, '|x')
                     ELSE card_id END AS card_id,
                finish, CASE WHEN event_id % 8 = 5 THEN NULL ELSE condition END AS condition,
-               CASE event_id % 8 WHEN 1 THEN '0.00' WHEN 2 THEN '12.5000'
+               CASE event_id % 8 WHEN 1 THEN '0.00' WHEN 2 THEN '7.350'
                     ELSE CAST(price AS STRING) END AS price_raw,
                CASE WHEN event_id % 8 = 3 THEN 0 ELSE quantity END AS quantity,
                CASE WHEN event_id % 8 = 4 THEN ts + INTERVAL 400 DAY ELSE ts END AS sold_at
         FROM tick""",
     "dirty_listings": """
         SELECT concat('sim:', event_id) AS event_id, 'sim' AS source,
-               CASE event_id % 8 WHEN 0 THEN 'ghost-9' ELSE card_id END AS card_id,
+               CASE event_id % 8 WHEN 0 THEN 'nowhere-0' ELSE card_id END AS card_id,
                finish, condition,
-               CASE event_id % 8 WHEN 1 THEN '2000000' ELSE CAST(price AS STRING) END AS price_raw,
+               CASE event_id % 8 WHEN 1 THEN '1000000.01' ELSE CAST(price AS STRING) END AS price_raw,
                quantity,
-               CASE event_id % 8 WHEN 6 THEN 's|evil' WHEN 7 THEN NULL
+               CASE event_id % 8 WHEN 6 THEN 'two|parts' WHEN 7 THEN NULL
                     ELSE concat('s-', event_id % 500) END AS seller_id,
                CASE WHEN event_id % 8 = 4 THEN ts - INTERVAL 400 DAY ELSE ts END AS listed_at
         FROM tick""",
@@ -225,6 +227,9 @@ class Feeds:
 
     def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        if not spark.conf.get(SHARED_DIR, None):
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            spark.conf.set(SHARED_DIR, f"{warehouse}/_scratch")
         self.spark, self.sf_dir, self.streaming = spark, sf_dir, streaming
 
     def table(self, name: str) -> DataFrame:
