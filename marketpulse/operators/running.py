@@ -1,32 +1,26 @@
 """Statistics of everything a ticker traded before each event.
 
 A plain running window per ticker would put all rows of the hottest ticker through one
-task. Tickers with more than ``HOT_ROWS`` rows are therefore cut into time slices: their
-sales are first folded per (ticker, slice), the folded rows give every slice its opening
-balance, and the running window then works inside (ticker, slice). A ticker with a third of
-all rows spreads over as many tasks as it has slices, and the result is exact because
-decimal sums can be split anywhere. Five minutes keep a slice of even such a ticker within
-one task's reach, while its folded rows stay few: about 100,000 a year.
-
-All other tickers stay whole, a slice of their own with at most ``HOT_ROWS`` rows. The list
-of hot tickers is broadcast; it cannot have more than rows / HOT_ROWS entries, half a
-million for 10^12 events.
-
-The opening balance travels as one extra row in front of its slice, which avoids a join
-and leaves one shuffle and one sort of the event rows.
+task. All events are therefore range-partitioned by (ticker, time, tie), so that a ticker,
+and even one instant of it, spreads over as many partitions as its rows fill. Each
+partition's sums per ticker, folded over the partitions before it, are its opening balance,
+and the running window works inside (ticker, partition). The result is exact because
+decimal sums can be split anywhere.
+
+Partitions are written once with their number, to the shared folder, because range bounds
+come from a sample and must not be drawn twice. A ticker's opening balances are at most one
+row per partition. They travel as one extra row in front of each run of rows, which avoids
+a join.
 """
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.schemas import PRICE_SQ_SUM, PRICE_SUM
+from marketpulse.session import shared_dir
 
-SLICE = timedelta(minutes=5)
-HOT_ROWS = 2_000_000
 _SUMS = (("prior_count", "bigint"), ("prior_sum", PRICE_SUM), ("prior_sq_sum", PRICE_SQ_SUM))
 _PARTS = (("_n", "bigint"), ("_s1", PRICE_SUM), ("_s2", PRICE_SQ_SUM))
 
@@ -37,34 +31,27 @@ def prior_stats(
     key: str = "market_key",
     ts: str = "ts",
     counted: str = "counted",
-    slice_width: timedelta = SLICE,
-    hot_rows: int = HOT_ROWS,
     carry: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``prior_count``, ``prior_sum`` and ``prior_sq_sum`` of ``price`` to each event.
 
     Only rows with ``counted`` true feed the sums; all rows receive them. Rows are ordered
     by ``ts`` and then ``tie``, which must make the order unique. ``carry`` holds sums
-    (key, prior_*) from before these events.
+    (key, prior_*) from before these events. The events are written when this is called.
     """
-    width = int(slice_width.total_seconds() * 1_000_000)
-    sizes = events.groupBy(key).agg(F.count("*").alias("_rows"))
-    hot = sizes.filter(F.col("_rows") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    hot = F.broadcast(hot)
-    slice_no = F.when(F.col("_hot"), F.floor(F.unix_micros(ts) / F.lit(width)))
+    rows = ranged(events, [key, ts, *tie])
     price = F.when(F.col(counted), F.col("price"))
-    own = {
-        "_slice": F.coalesce(slice_no, F.lit(0)),
-        "_row": F.lit(1),
-        "_n": F.when(F.col(counted), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
-        "_s1": F.coalesce(price, F.lit(0)).cast(PRICE_SUM),
-        "_s2": F.coalesce(price * price, F.lit(0)).cast(PRICE_SQ_SUM),
-    }
-    rows = events.join(hot, key, "left").withColumns(own)
-    opening = _opening_balances(rows.filter("_hot"), key, hot, carry)
-    stacked = rows.drop("_hot").unionByName(opening, allowMissingColumns=True)
+    rows = rows.withColumns(
+        {
+            "_row": F.lit(1),
+            "_n": F.when(F.col(counted), F.lit(1)).otherwise(F.lit(0)).cast("bigint"),
+            "_s1": F.coalesce(price, F.lit(0)).cast(PRICE_SUM),
+            "_s2": F.coalesce(price * price, F.lit(0)).cast(PRICE_SQ_SUM),
+        }
+    )
+    stacked = rows.unionByName(_opening_balances(rows, key, carry), allowMissingColumns=True)
     before = (
-        Window.partitionBy(key, "_slice")
+        Window.partitionBy(key, "_part")
         .orderBy("_row", ts, *tie)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -76,6 +63,14 @@ def prior_stats(
     return scored.filter(F.col("_row") == 1).drop("_row")
 
 
+def ranged(events: DataFrame, order: list[str]) -> DataFrame:
+    """The events as written in ranges of ``order``, with the number of their range."""
+    path = shared_dir(events.sparkSession, "running")
+    parts = events.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts.write.parquet(path)
+    return events.sparkSession.read.schema(parts.schema).parquet(path)
+
+
 def batch_totals(events: DataFrame, key: str = "market_key", counted: str = "counted") -> DataFrame:
     """Sums of a whole batch per ticker, in the layout ``carry`` expects."""
     price = F.col("price")
@@ -96,32 +91,23 @@ def add_totals(left: DataFrame, right: DataFrame, key: str = "market_key") -> Da
     return both.groupBy(key).agg(*sums)
 
 
-def _opening_balances(
-    hot_rows: DataFrame, key: str, hot: DataFrame, carry: DataFrame | None
-) -> DataFrame:
-    """One row per slice that does not start from nothing."""
-    folded = hot_rows.groupBy(key, "_slice").agg(
+def _opening_balances(rows: DataFrame, key: str, carry: DataFrame | None) -> DataFrame:
+    """One row per ticker and range that does not start from nothing."""
+    folded = rows.groupBy(key, "_part").agg(
         *[F.sum(name).cast(dtype).alias(name) for name, dtype in _PARTS]
     )
-    whole = None
     if carry is not None:
-        brought = carry.join(hot, key, "left").select(
+        # Carried sums stand before the first range.
+        brought = carry.select(
             key,
-            "_hot",
+            F.lit(-1).alias("_part"),
             *[F.col(total).alias(part) for (total, _), (part, _) in zip(_SUMS, _PARTS)],
         )
-        # For a hot ticker the carried sums stand before its first slice; the one slice of
-        # any other ticker opens with them.
-        first = brought.filter("_hot").withColumn("_slice", F.lit(None).cast("bigint"))
-        folded = folded.unionByName(first.drop("_hot"))
-        whole = brought.filter("_hot IS NULL").drop("_hot").withColumn("_slice", F.lit(0))
+        folded = folded.unionByName(brought)
     earlier = (
-        Window.partitionBy(key)
-        .orderBy(F.col("_slice").asc_nulls_first())
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     )
     balances = folded.select(
-        key, "_slice", *[F.sum(c).over(earlier).cast(t).alias(c) for c, t in _PARTS]
-    ).filter((F.col("_n") > 0) & F.col("_slice").isNotNull())
-    opening = balances if whole is None else balances.unionByName(whole)
-    return opening.withColumn("_row", F.lit(0))
+        key, "_part", *[F.sum(c).over(earlier).cast(t).alias(c) for c, t in _PARTS]
+    )
+    return balances.filter("_n > 0 AND _part >= 0").withColumn("_row", F.lit(0))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.functions import keys, money
-from marketpulse.operators.running import SLICE, prior_stats
+from marketpulse.operators.running import prior_stats
 from marketpulse.schemas import Thresholds
 
 # Severity ladders, first match wins.
@@ -108,16 +107,14 @@ def discount() -> Column:
     return F.round(gap / total, 4).cast("double")
 
 
-def spike_scores(sales: DataFrame, slice_width: timedelta = SLICE) -> DataFrame:
+def spike_scores(sales: DataFrame) -> DataFrame:
     """Every sale with the statistics of all earlier sales of its ticker."""
-    scored = prior_stats(sale_events(sales), TIE, slice_width=slice_width)
+    scored = prior_stats(sale_events(sales), TIE)
     return with_scores(scored)
 
 
-def spike_events(
-    sales: DataFrame, limits: Thresholds = Thresholds(), slice_width: timedelta = SLICE
-) -> DataFrame:
-    scored = prior_stats(sale_events(sales), TIE, slice_width=slice_width)
+def spike_events(sales: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    scored = prior_stats(sale_events(sales), TIE)
     return with_scores(scored.filter(is_spike(limits))).withColumn("severity", spike_severity())
 
 
@@ -125,11 +122,10 @@ def arbitrage_flags(
     sales: DataFrame,
     listings: DataFrame,
     limits: Thresholds = Thresholds(),
-    slice_width: timedelta = SLICE,
 ) -> DataFrame:
     """Listings below the running mean of their ticker as it stood when they were listed."""
     events = market_events(sales, listings)
-    scored = prior_stats(events, TIE, slice_width=slice_width)
+    scored = prior_stats(events, TIE)
     return flag_view(scored.filter(is_arbitrage(limits)))
 
 
@@ -155,12 +151,11 @@ def market_alerts(
     sales: DataFrame | None,
     listings: DataFrame | None,
     limits: Thresholds = Thresholds(),
-    slice_width: timedelta = SLICE,
     carry: DataFrame | None = None,
 ) -> DataFrame:
     """Spike and arbitrage alerts from one pass over both feeds, not yet named."""
     events = market_events(sales, listings)
-    scored = prior_stats(events, TIE, slice_width=slice_width, carry=carry)
+    scored = prior_stats(events, TIE, carry=carry)
     return alert_view(scored, limits)
 
 
