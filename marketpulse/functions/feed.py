@@ -38,5 +38,9 @@ def release_date(text: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("yyyy/MM/dd")).cast("date")
 
 
+_INSTANT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+
+
 def iso_timestamp(text: Column) -> Column:
-    return text.try_cast("timestamp")
+    """A full ISO-8601 instant: date, time and zone; null for anything less."""
+    return F.when(text.rlike(_INSTANT), text.try_cast("timestamp"))

@@ -35,7 +35,8 @@ def card_of(key: Column) -> Column:
 
 
 def namespaced_id(source: Column, raw_id: Column) -> Column:
-    return F.concat_ws(":", source, raw_id)
+    """Null where the raw id is missing, so that such rows never share an id."""
+    return F.concat(source, F.lit(":"), raw_id)
 
 
 def alert_id(kind: Column, key: Column, event_id: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Catalogue price rules: printings by rarity, base prices, price bands."""
+"""Catalogue price rules: printings by rarity, price bands."""
 
 from __future__ import annotations
 
@@ -9,35 +9,6 @@ from pyspark.sql import functions as F
 
 from marketpulse.schemas import FINISHES, MONEY
 
-# Rarity keywords, first match wins, and their base price.
-RARITY_BASE_PRICES = (
-    (("special illustration",), Decimal("30.0")),
-    (("illustration",), Decimal("12.0")),
-    (("hyper", "secret", "rainbow", "gold"), Decimal("40.0")),
-    (("ultra",), Decimal("10.0")),
-    (("double",), Decimal("5.0")),
-    (("holo",), Decimal("3.0")),
-    (("rare",), Decimal("1.5")),
-    (("uncommon",), Decimal("0.5")),
-    (("common",), Decimal("0.25")),
-)
-DEFAULT_BASE_PRICE = Decimal("2.0")
-
-# Price multipliers.
-FINISH_MULTIPLIERS = {
-    "NORMAL": Decimal("1.0"),
-    "REVERSE_HOLOFOIL": Decimal("1.15"),
-    "HOLOFOIL": Decimal("1.4"),
-}
-CONDITION_MULTIPLIERS = {
-    "NM": Decimal("1.0"),
-    "LP": Decimal("0.8"),
-    "MP": Decimal("0.6"),
-    "HP": Decimal("0.4"),
-    "DMG": Decimal("0.25"),
-}
-PRICE_FLOOR = Decimal("0.10")
-
 # Price bands around a market price.
 PRICE_BANDS = {
     "low_price": Decimal("0.85"),
@@ -56,25 +27,8 @@ def printings(rarity: Column) -> Column:
     return F.when((F.trim(name) == "") | F.contains(name, F.lit("common")), basic).otherwise(every)
 
 
-def base_price(rarity: Column, finish: Column, condition: Column) -> Column:
-    """Starting price from rarity, finish and condition, never below the floor."""
-    name = F.coalesce(F.lower(rarity), F.lit(""))
-    ladder = F.lit(DEFAULT_BASE_PRICE)
-    for words, price in reversed(RARITY_BASE_PRICES):
-        ladder = F.when(name.rlike("|".join(words)), F.lit(price)).otherwise(ladder)
-    price = ladder * _pick(finish, FINISH_MULTIPLIERS) * _pick(condition, CONDITION_MULTIPLIERS)
-    return F.greatest(F.round(price, 2), F.lit(PRICE_FLOOR)).cast(MONEY)
-
-
 def price_bands(market_price: Column) -> list[Column]:
     return [
         F.round(market_price * F.lit(factor), 2).cast(MONEY).alias(name)
         for name, factor in PRICE_BANDS.items()
     ]
-
-
-def _pick(col: Column, table: dict[str, Decimal]) -> Column:
-    result = F.lit(None).cast("decimal(5,2)")
-    for text, value in table.items():
-        result = F.when(col == text, F.lit(value)).otherwise(result)
-    return result

@@ -19,8 +19,10 @@ def resolve(raw: DataFrame, products: DataFrame, source: str | None = None) -> D
     tagged = raw if source is None else raw.withColumn("source", F.lit(source))
     finish = feed.finish_of(F.col("sub_type_name"))
     joined = tagged.join(products.select("product_id", "card_id"), "product_id", "left")
-    reason = F.when(F.col("card_id").isNull(), "unresolved_product").when(
-        F.col("finish").isNull(), "bad_subtype"
+    reason = (
+        F.when(F.col("card_id").isNull(), "unresolved_product")
+        .when(F.col("finish").isNull(), "bad_subtype")
+        .when(F.col("event_id").isNull(), "missing_id")
     )
     out = joined.withColumns(
         {
@@ -30,7 +32,7 @@ def resolve(raw: DataFrame, products: DataFrame, source: str | None = None) -> D
             "quantity": F.coalesce("quantity", F.lit(0)),
         }
     ).withColumn("drop_reason", reason)
-    carried = [c for c in ("seller_id", "listed_at", "sold_at") if c in raw.columns]
+    carried = [c for c in ("seller_id", "listed_at", "sold_at", "arrival") if c in raw.columns]
     return out.select(
         "event_id", "source", "card_id", "finish", "condition", "price_raw", "quantity",
         *carried, "drop_reason",

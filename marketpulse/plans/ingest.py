@@ -11,8 +11,12 @@ from marketpulse.functions.keys import market_key
 from marketpulse.operators import normalize, quality
 from marketpulse.schemas import LISTING, SALE, ValidationLimits
 
-# A listing and a sale share one id space per source, and listings are taken in first.
-_ORDER = ["feed_rank", "ts", "price_raw"]
+# A listing and a sale share one id space per source, and listings are taken in first; then
+# the first delivery counts. The rest makes the order unique where arrivals are not told.
+DELIVERY_ORDER = [
+    "feed_rank", "arrival", "ts", "price_raw", "quantity", "seller_id", "card_id", "finish",
+    "condition",
+]
 
 
 @dataclass(frozen=True)
@@ -47,8 +51,11 @@ class Ingested:
         return priced.select(*columns).withColumn("market_key", market_key())
 
 
-def as_feed(normalized: DataFrame, feed: str) -> DataFrame:
-    """Normalised listings or sales in the common layout of the ingest run."""
+def as_feed(normalized: DataFrame, feed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Normalised listings or sales in the common layout of the ingest run.
+
+    ``arrival`` tells the order of deliveries within a feed; a feed that has none gets null.
+    """
     ts = "listed_at" if feed == "listing" else "sold_at"
     seller = F.col("seller_id") if feed == "listing" else F.lit(None).cast("string")
     return normalized.select(
@@ -57,6 +64,9 @@ def as_feed(normalized: DataFrame, feed: str) -> DataFrame:
         F.col(ts).alias("ts"),
         F.lit(feed).alias("feed"),
         F.lit(0 if feed == "listing" else 1).alias("feed_rank"),
+        (F.col("arrival") if "arrival" in normalized.columns else F.lit(None))
+        .cast("long").alias("arrival"),
+        *keep,
     )
 
 
@@ -82,7 +92,7 @@ def ingest(
         as_feed(df.filter(F.col("drop_reason").isNull()), feed) for df, feed in resolved
     ]
     polled = parts[0].unionByName(parts[1])
-    first = quality.dedup_events(polled, _ORDER)
+    first = quality.dedup_events(polled, DELIVERY_ORDER)
     checked = quality.with_reject_reason(first, cards, as_of, "ts", limits)
     reasons = [df.select("source", "drop_reason") for df, _ in resolved]
     return Ingested(polled, checked, normalize.drop_counts(reasons[0].unionByName(reasons[1])))

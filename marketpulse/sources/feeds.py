@@ -21,14 +21,15 @@ log = logging.getLogger(__name__)
 
 _COMMON = (
     "eventId long, productId long, skuId long, subTypeName string, condition string, "
-    "quantity int"
+    "price string, quantity int"
 )
 _LAYOUTS = {
     "listing": (_COMMON + ", sellerId string, listedAt string, _corrupt string", "listedAt"),
     "sale": (_COMMON + ", soldAt string, _corrupt string", "soldAt"),
 }
-# First "price" member of the line, number or quoted.
-_PRICE = r'"price"\s*:\s*"?(-?[0-9][0-9.]*(?:[eE][+-]?[0-9]+)?)'
+# A price written as a number is quoted before the line is parsed, so that the parser finds
+# the right member and keeps its text. Inside a JSON string the name's quotes are escaped.
+_PRICE = r'("price"\s*:\s*)(-?[0-9][0-9.eE+-]*)(?=\s*[,}])'
 
 
 def parse_lines(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
@@ -36,7 +37,7 @@ def parse_lines(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
     schema, time_field = _LAYOUTS[kind]
     text = F.col(value).cast("string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    record = F.from_json(text, schema, options)
+    record = F.from_json(F.regexp_replace(text, _PRICE, '$1"$2"'), schema, options)
     parsed = lines.select(text.alias("_line"), record.alias("r"))
     out = [
         F.col("r.eventId").alias("event_id"),
@@ -44,7 +45,7 @@ def parse_lines(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
         F.col("r.skuId").alias("sku_id"),
         F.col("r.subTypeName").alias("sub_type_name"),
         F.col("r.condition").alias("condition"),
-        F.nullif(F.regexp_extract("_line", _PRICE, 1), F.lit("")).alias("price_raw"),
+        F.col("r.price").alias("price_raw"),
         # A missing number reads as zero and is rejected by the validator.
         F.coalesce("r.quantity", F.lit(0)).alias("quantity"),
     ]
@@ -92,12 +93,28 @@ def stream_lines(
 
 
 def since(
-    events: DataFrame, ts: str, after: Column | None, limit: int, default_limit: int = 1000
+    events: DataFrame,
+    ts: str,
+    after: Column | None,
+    limit: int,
+    default_limit: int = 1000,
+    after_id: Column | None = None,
 ) -> DataFrame:
-    """Oldest events strictly after ``after`` (all when None), at most ``limit`` of them."""
-    limit = min(limit, default_limit) if limit > 0 else default_limit
-    newer = events if after is None else events.filter(F.col(ts) > after)
-    return newer.orderBy(ts, "event_id").limit(limit)
+    """Oldest events after a point, in the order of (``ts``, ``event_id``); one poll of a feed.
+
+    The point is ``after``, or the event ``after_id`` at that time: resuming from both loses
+    none of the events that share the last time. Without ``after`` all events count. A limit
+    that is not positive means the default, which is also the most one poll may ask for.
+    """
+    if limit > default_limit:
+        raise ValueError(f"one poll gives at most {default_limit} events, {limit} were asked for")
+    newer = events
+    if after is not None:
+        later = F.col(ts) > after
+        if after_id is not None:
+            later = later | ((F.col(ts) == after) & (F.col("event_id") > after_id))
+        newer = events.filter(later)
+    return newer.orderBy(ts, "event_id").limit(limit if limit > 0 else default_limit)
 
 
 def retain(events: DataFrame, ts: str, retention: timedelta) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.functions import feed, keys
 from marketpulse.operators import catalog, late, normalize, quality
+from marketpulse.plans.ingest import DELIVERY_ORDER
 from marketpulse.session import shared_dir
 from marketpulse.sources import feeds
 from workload.registry import query
@@ -285,7 +286,7 @@ def clean_listings(f):
     "SELECT event_id, source, feed, card_id, price_raw, quantity, ts FROM judged",
 )
 def dedup_events(f):
-    first = quality.dedup_events(ingested(f).polled, ["feed_rank", "ts", "price_raw"])
+    first = quality.dedup_events(ingested(f).polled, DELIVERY_ORDER)
     return first.select("event_id", "source", "feed", "card_id", "price_raw", "quantity", "ts")
 
 
