@@ -1,33 +1,43 @@
 """Live spike and arbitrage alerts.
 
 Each micro-batch runs the batch detector with the ticker sums of all earlier batches as
-its opening balance. A hot ticker is thus cut into time slices inside a micro-batch too,
-instead of passing row by row through the one task that owns its key.
+its opening balance. A hot ticker is thus spread inside a micro-batch too, instead of
+passing row by row through the one task that owns its key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from marketpulse.operators import alerts as alert_ops
+from marketpulse.operators.merge import last_per_key
 from marketpulse.operators.running import add_totals, batch_totals, prior_stats
-from marketpulse.operators.signals import TIE, alert_view
+from marketpulse.operators.signals import TIE, alert_view, flag_view, is_arbitrage
 from marketpulse.schemas import RUNNING_STATE, Thresholds
 from marketpulse.streaming.sinks import write_batch
 
+#: Batches after which the sums of all tickers are folded into one folder.
+FOLD_EVERY = 64
+_LOGGED = T.StructType([*RUNNING_STATE.fields, T.StructField("batch_id", T.LongType())])
+
+
 def alert_sink(
     alerts_path: str,
     state_path: str,
     metadata: Callable[[], DataFrame] | None = None,
     limits: Thresholds = Thresholds(),
+    flags_path: str | None = None,
+    fold_every: int = FOLD_EVERY,
 ) -> Callable[[DataFrame, int], None]:
     """Sink for a stream of market events (see ``signals.market_events``).
 
-    Ticker sums live in two folders used in turn: batch N reads the one that batch N−1
-    wrote and writes the other, so running batch N again gives the same rows and sums.
-    ``metadata`` is read anew for each batch.
+    A batch writes the new sums of the tickers it touches, and nothing of others, to a log;
+    every ``fold_every`` batches the log and the last fold become a new fold. Batch N reads
+    the fold before it and the log since, so running it again gives the same rows and sums.
+    ``metadata`` is read anew for each batch; ``flags_path`` takes the arbitrage flags.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -36,21 +46,44 @@ def alert_sink(
         try:
             state = carry = None
             if batch_id > 0:
-                state = spark.read.schema(RUNNING_STATE).parquet(_slot(state_path, batch_id - 1))
-                carry = state.join(events.select("market_key"), "market_key", "left_semi")
+                state = sums_before(spark, state_path, batch_id, fold_every)
+                carry = last_per_key(
+                    state.join(events.select("market_key"), "market_key", "left_semi"),
+                    ["market_key"], ["batch_id"],
+                ).drop("batch_id")
             scored = prior_stats(events, TIE, carry=carry)
             found = alert_view(scored, limits)
             if metadata is not None:
                 found = alert_ops.enrich(found, metadata())
             write_batch(found, alerts_path, batch_id, ("severity",))
+            if flags_path is not None:
+                write_batch(flag_view(scored.filter(is_arbitrage(limits))), flags_path, batch_id)
             totals = batch_totals(events)
-            totals = totals if state is None else add_totals(state, totals)
-            totals.write.mode("overwrite").parquet(_slot(state_path, batch_id))
+            totals = totals if carry is None else add_totals(carry, totals)
+            write_batch(totals, f"{state_path}/log", batch_id)
+            if batch_id > 0 and batch_id % fold_every == 0:
+                log = sums_before(spark, state_path, batch_id + 1, fold_every, batch_id - 1)
+                fold = last_per_key(log, ["market_key"], ["batch_id"]).drop("batch_id")
+                write_batch(fold, f"{state_path}/fold", batch_id)
         finally:
             events.unpersist()
 
     return write
 
 
-def _slot(path: str, batch_id: int) -> str:
-    return f"{path}/slot={batch_id % 2}"
+def sums_before(
+    spark: SparkSession, path: str, batch_id: int, fold_every: int, newest: int | None = None
+) -> DataFrame:
+    """Sums with the ``batch_id`` that wrote them, from the last fold and the log since.
+
+    The fold is the last one before ``batch_id``, or at most ``newest`` where that is given.
+    """
+    last = batch_id - 1 if newest is None else newest
+    fold = last // fold_every * fold_every
+    read = spark.read.schema(_LOGGED)
+    parts = [f"{path}/log/batch_id={i}" for i in range(fold + 1 if fold else 0, batch_id)]
+    log = read.option("basePath", f"{path}/log").parquet(*parts)
+    if not fold:
+        return log
+    folded = read.option("basePath", f"{path}/fold").parquet(f"{path}/fold/batch_id={fold}")
+    return folded.unionByName(log)

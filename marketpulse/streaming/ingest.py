@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from marketpulse.functions.keys import market_key
 from marketpulse.operators import normalize, quality
-from marketpulse.plans.ingest import as_feed
-from marketpulse.schemas import ValidationLimits
+from marketpulse.plans.ingest import DELIVERY_ORDER, as_feed
+from marketpulse.schemas import LISTING, SALE, ValidationLimits
 from marketpulse.streaming.sinks import write_batch
 
 DEDUP_HORIZON = "1 hour"
-
-
-def dedup_stream(events: DataFrame, horizon: str = DEDUP_HORIZON) -> DataFrame:
-    """Drop redeliveries that arrive within ``horizon`` of the first delivery.
-
-    The watermark runs on arrival time. On event time a single future-dated record would
-    push it ahead and make Spark discard everything that follows as late.
-    """
-    arrived = events.withColumn("arrived_at", F.current_timestamp())
-    marked = arrived.withWatermark("arrived_at", horizon)
-    return marked.dropDuplicatesWithinWatermark(["source", "event_id"]).drop("arrived_at")
+_TIMES = {"sale": "sold_at", "listing": "listed_at"}
+_LAYOUTS = {"sale": SALE, "listing": LISTING}
+_SEEN = "source string, event_id string, seen_at timestamp, batch_id long"
 
 
 def ingest_stream(
@@ -32,40 +26,92 @@ def ingest_stream(
     products: DataFrame,
     source: str | None = None,
 ) -> DataFrame:
-    """Normalised, deduplicated events of both feeds, ready for validation."""
+    """Resolved events of both feeds with their ``drop_reason``, for :func:`validating_sink`."""
     parts = []
-    if raw_listings is not None:
-        parts.append(as_feed(normalize.normalize(raw_listings, products, source), "listing"))
-    if raw_sales is not None:
-        parts.append(as_feed(normalize.normalize(raw_sales, products, source), "sale"))
-    events = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return dedup_stream(events)
+    for raw, feed in ((raw_listings, "listing"), (raw_sales, "sale")):
+        if raw is not None:
+            resolved = normalize.resolve(raw, products, source)
+            parts.append(as_feed(resolved, feed, keep=("drop_reason",)))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def first_deliveries(
+    batch: DataFrame, batch_id: int, seen_path: str, horizon: str = DEDUP_HORIZON
+) -> DataFrame:
+    """The first delivery of each event in the batch that no batch within ``horizon`` had.
+
+    Within a batch listings come before sales and then the order of arrival counts, as in a
+    batch run. Ids are logged by batch; a batch run again leaves its own ids out of account.
+    The horizon runs on arrival: on event time a single future-dated record would push it
+    ahead. A redelivery after it counts as new.
+    """
+    first = quality.dedup_events(batch, DELIVERY_ORDER)
+    ids = first.select("source", "event_id", F.current_timestamp().alias("seen_at"))
+    if batch_id > 0:
+        seen = (
+            batch.sparkSession.read.schema(_SEEN)
+            .parquet(seen_path)
+            .filter(F.col("batch_id") < batch_id)
+            .filter(F.col("seen_at") >= F.current_timestamp() - F.expr(f"INTERVAL {horizon}"))
+        )
+        keys = ["source", "event_id"]
+        first = first.join(seen.select(*keys), keys, "left_anti")
+        ids = ids.join(seen.select(*keys), keys, "left_anti")
+    write_batch(ids, seen_path, batch_id)
+    return first
 
 
 def validating_sink(
-    clean_path: str,
-    quarantine_path: str,
+    path: str,
     cards: Callable[[], DataFrame],
     as_of: Column | None = None,
     limits: ValidationLimits = ValidationLimits(),
-    counts_path: str | None = None,
+    horizon: str = DEDUP_HORIZON,
 ) -> Callable[[DataFrame, int], None]:
-    """Sink that validates against the catalogue as it is at each batch.
+    """Sink that drops redeliveries and validates against the catalogue as it is at each batch.
 
-    One read, several tables: accepted rows, rejected rows with their reason, and with
-    ``counts_path`` the number of rows per source, feed and outcome.
+    One read, several tables under ``path``: ``sale`` and ``listing`` with the accepted rows
+    and their ``market_key``, ``quarantine`` with the rejected rows and their reason,
+    ``counts`` with rows per source, feed and outcome (dropped rows too), and ``seen``.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         now = F.current_timestamp() if as_of is None else as_of
-        checked = quality.with_reject_reason(batch, cards(), now, "ts", limits).persist()
+        events = batch.persist()
+        dropped = events.filter("drop_reason IS NOT NULL")
+        kept = events.filter("drop_reason IS NULL").drop("drop_reason")
+        fresh = first_deliveries(kept, batch_id, f"{path}/seen", horizon)
+        checked = quality.with_reject_reason(fresh, cards(), now, "ts", limits).persist()
         try:
-            clean = normalize.with_price(quality.accepted(checked))
-            write_batch(clean, clean_path, batch_id, ("feed",))
-            write_batch(quality.quarantine(checked), quarantine_path, batch_id)
-            if counts_path is not None:
-                write_batch(quality.outcome_counts(checked), counts_path, batch_id)
+            priced = normalize.with_price(quality.accepted(checked))
+            for feed, layout in _LAYOUTS.items():
+                rows = priced.filter(F.col("feed") == feed).withColumn(_TIMES[feed], F.col("ts"))
+                rows = rows.select(*layout.names).withColumn("market_key", market_key())
+                write_batch(rows, f"{path}/{feed}", batch_id, once=True)
+            write_batch(quality.quarantine(checked), f"{path}/quarantine", batch_id)
+            outcomes = quality.outcome_counts(checked).unionByName(
+                quality.outcome_counts(dropped.withColumnRenamed("drop_reason", "reject_reason"))
+            )
+            write_batch(outcomes, f"{path}/counts", batch_id)
         finally:
             checked.unpersist()
+            events.unpersist()
+
+    return write
+
+
+def clean_table(spark: SparkSession, path: str, feed: str, live: bool = False, **options) -> DataFrame:
+    """Accepted rows of a feed as :func:`validating_sink` wrote them, as a table or a stream."""
+    schema = T.StructType([*_LAYOUTS[feed].fields, T.StructField("market_key", T.StringType())])
+    reader = spark.readStream if live else spark.read
+    return reader.schema(schema).options(**options).parquet(f"{path}/{feed}/batch_id=*")
+
+
+def corrupt_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink for parsed lines that keeps the text of the unreadable ones."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        lines = batch.filter(F.col("corrupt_line").isNotNull()).select("corrupt_line")
+        write_batch(lines, path, batch_id)
 
     return write

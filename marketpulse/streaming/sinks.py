@@ -1,7 +1,9 @@
 """Idempotent sinks.
 
 A micro-batch owns the folder ``batch_id=N`` of its table and overwrites it as a whole, so
-a batch that is run again after a failure replaces its own rows. Readers take the last (or
+a batch that is run again after a failure replaces its own rows. A table that another stream
+reads is written ``once``: a folder that is complete is left alone, so a batch that is run
+again shows its reader no new files. Readers take the last (or
 first) row per key over all batches; :func:`compact` folds a long log into a new table.
 """
 
@@ -17,14 +19,26 @@ from marketpulse.sources.tables import current_rows
 
 
 def write_batch(
-    df: DataFrame, path: str, batch_id: int, partition_by: tuple[str, ...] = ()
+    df: DataFrame,
+    path: str,
+    batch_id: int,
+    partition_by: tuple[str, ...] = (),
+    once: bool = False,
 ) -> None:
+    if once and _complete(df, f"{path}/batch_id={batch_id}"):
+        return
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
+def _complete(df: DataFrame, folder: str) -> bool:
+    spark = df.sparkSession
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def batch_writer(
     path: str, partition_by: tuple[str, ...] = ()
 ) -> Callable[[DataFrame, int], None]:

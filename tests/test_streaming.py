@@ -154,20 +154,16 @@ def test_ingest_drops_redeliveries_and_survives_a_future_record(spark, tmp_path)
     products = spark.createDataFrame([(7, "c7")], "product_id long, card_id string")
     cards = spark.createDataFrame([("c7",)], "card_id string")
     rows = ingest.ingest_stream(None, raw, products, "sim")
-    sink = ingest.validating_sink(
-        f"{tmp_path}/ok",
-        f"{tmp_path}/bad",
-        lambda: cards,
-        F.lit(T0 + dt.timedelta(hours=1)),
-        counts_path=f"{tmp_path}/counts",
-    )
+    out = str(tmp_path / "out")
+    sink = ingest.validating_sink(out, lambda: cards, F.lit(T0 + dt.timedelta(hours=1)))
     sinks.start(rows, sink, f"{tmp_path}/cp").awaitTermination()
-    clean = spark.read.parquet(f"{tmp_path}/ok")
+    clean = ingest.clean_table(spark, out, "sale")
+    assert clean.columns == [*SALE.names, "market_key"]
     assert sorted(r.event_id for r in clean.collect()) == ["sim:1", "sim:3", "sim:5"]
     assert {r.price for r in clean.collect()} == {Decimal("2.50")}
-    bad = {r.event_id: r.reject_reason for r in spark.read.parquet(f"{tmp_path}/bad").collect()}
+    bad = {r.event_id: r.reject_reason for r in spark.read.parquet(f"{out}/quarantine").collect()}
     assert bad == {"sim:2": "timestamp_out_of_window", "sim:4": "quantity_out_of_bounds"}
-    counts = spark.read.parquet(f"{tmp_path}/counts").groupBy("outcome").agg(F.sum("rows"))
+    counts = spark.read.parquet(f"{out}/counts").groupBy("outcome").agg(F.sum("rows"))
     assert {r[0]: r[1] for r in counts.collect()} == {
         "ingested": 3,
         "timestamp_out_of_window": 1,
@@ -175,6 +171,79 @@ def test_ingest_drops_redeliveries_and_survives_a_future_record(spark, tmp_path)
     }
 
 
+def _ingest_batch(spark, rows):
+    """Resolved events (event_id, feed, arrival, quantity) of one micro-batch."""
+    frame = spark.createDataFrame(rows, "event_id string, feed string, arrival long, quantity int")
+    return frame.selectExpr(
+        "event_id", "'sim' AS source", "'c7' AS card_id", "'NORMAL' AS finish", "'NM' AS condition",
+        "'2.50' AS price_raw", "quantity", "'stall' AS seller_id",
+        f"timestamp'{T0}' + make_interval(0,0,0,0,0,-arrival) AS ts", "feed",
+        "IF(feed = 'listing', 0, 1) AS feed_rank", "arrival", "CAST(NULL AS STRING) AS drop_reason",
+    )
+
+
+def test_live_ingest_takes_listings_first_and_then_by_arrival(spark, tmp_path):
+    cards = spark.createDataFrame([("c7",)], "card_id string")
+    sink = ingest.validating_sink(str(tmp_path), lambda: cards, F.lit(T0 + dt.timedelta(hours=1)))
+    first = [("a", "sale", 1, 5), ("a", "listing", 2, 6), ("b", "sale", 2, 7), ("b", "sale", 1, 8)]
+    second = [("b", "listing", 3, 9), ("c", "sale", 3, 1)]
+    for batch_id, rows in ((0, first), (1, second), (1, second)):
+        sink(_ingest_batch(spark, rows), batch_id)
+    sales = ingest.clean_table(spark, str(tmp_path), "sale").collect()
+    listings = ingest.clean_table(spark, str(tmp_path), "listing").collect()
+    assert sorted((r.event_id, r.quantity) for r in sales) == [("b", 8), ("c", 1)]
+    assert [(r.event_id, r.quantity) for r in listings] == [("a", 6)]
+
+
+def test_a_repeated_batch_shows_its_reader_no_new_files(spark, tmp_path):
+    cards = spark.createDataFrame([("c7",)], "card_id string")
+    sink = ingest.validating_sink(f"{tmp_path}/t", lambda: cards, F.lit(T0 + dt.timedelta(hours=1)))
+    rows = [("a", "sale", 1, 5)]
+
+    def drain():
+        live = ingest.clean_table(spark, f"{tmp_path}/t", "sale", live=True)
+        sinks.start(live, sinks.batch_writer(f"{tmp_path}/o"), f"{tmp_path}/cp").awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/o").count()
+
+    sink(_ingest_batch(spark, rows), 0)
+    assert drain() == 1
+    sink(_ingest_batch(spark, rows), 0)
+    assert drain() == 1
+
+
+def test_sums_written_per_batch_follow_the_batch_and_not_the_idle_tickers(spark, tmp_path):
+    def events(n, hour):
+        return signals.sale_events(
+            spark.range(n).selectExpr(
+                f"concat('e', id, '-{hour}') AS event_id", "'sim' AS source",
+                "concat('c', id) AS card_id", "'NORMAL' AS finish", "'NM' AS condition",
+                "CAST(5 AS DECIMAL(12,2)) AS price", "1 AS quantity",
+                f"timestamp'{T0}' + INTERVAL {hour} HOURS AS sold_at",
+            )
+        )
+
+    sink = alerts.alert_sink(f"{tmp_path}/al", f"{tmp_path}/st", None, LIMITS, fold_every=3)
+    for i, n in enumerate((500, 3, 3, 3, 3, 3, 3, 3)):
+        sink(events(n, i), i)
+    log = spark.read.parquet(f"{tmp_path}/st/log")
+    sizes = {r.batch_id: r["count"] for r in log.groupBy("batch_id").count().collect()}
+    assert sizes == {0: 500, **{i: 3 for i in range(1, 8)}}
+    assert log.filter("batch_id = 7").first().prior_count == 8
+    fold = spark.read.parquet(f"{tmp_path}/st/fold/batch_id=6")
+    assert fold.count() == 500 and fold.agg(F.sum("prior_count")).first()[0] == 500 + 18
+
+
+def test_arbitrage_flags_are_written_live(spark, tmp_path):
+    sales = spark.createDataFrame(_sales(), SALE).withColumn("market_key", market_key())
+    listings = spark.createDataFrame(_listings(), LISTING).withColumn("market_key", market_key())
+    sink = alerts.alert_sink(
+        f"{tmp_path}/al", f"{tmp_path}/st", None, LIMITS, flags_path=f"{tmp_path}/fl"
+    )
+    sink(signals.market_events(sales, listings), 0)
+    got = spark.read.parquet(f"{tmp_path}/fl").drop("batch_id")
+    _same(got, signals.arbitrage_flags(sales, listings, LIMITS))
+
+
 def test_messages_are_keyed_json(spark):
     sale = spark.createDataFrame(_sales(1), SALE)
     row = sinks.messages(sale, "card_id").first()

@@ -10,6 +10,7 @@ from marketpulse.sources import tables
 from marketpulse.sources.tables import read_log
 from marketpulse.schemas import ALERT, PRICE_WINDOW
 from marketpulse.streaming import alerts, ingest, sinks, snapshot, windows
+from workload.checks import windows_sql
 from workload.registry import query
 from workload.tables import as_of, catalogue, products, rounded
 from workload.views import Feeds
@@ -43,12 +44,32 @@ for _kind in ("HOURLY", "DAILY", "MA_24H"):
     )(_stream_windows(_kind))
 
 
+BATCHES = 4
+
+
+def _in_batches(f: Feeds, df, ts: str, folder: str):
+    """All rows of ``df`` as a stream of four micro-batches in the order of ``ts``.
+
+    Files are taken by age, so they are written one after the other.
+    """
+    micros = df.select(F.unix_micros(ts).cast("double").alias("t"))
+    shares = [i / BATCHES for i in range(1, BATCHES)]
+    cuts = micros.filter("t IS NOT NULL").approxQuantile("t", shares, 0.01)
+    number = sum((F.coalesce(F.unix_micros(ts) >= int(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    marked = df.withColumn("_batch", number)
+    for i in range(BATCHES):
+        part = marked.filter(F.col("_batch") == i).drop("_batch")
+        part.coalesce(1).write.mode("append").parquet(folder)
+    reader = f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(folder)
+
+
 def _stream_alerts(f):
     base = shared_dir(f.spark, "stream")
-    live = _live(f)
-    events = signals.market_events(live.sales, live.listings)
+    given = signals.market_events(f.sales, f.listings)
+    events = _in_batches(f, given, "ts", f"{base}/in")
     names = catalogue(f).metadata
-    sink = alerts.alert_sink(f"{base}/alerts", f"{base}/sums", lambda: names)
+    sink = alerts.alert_sink(f"{base}/alerts", f"{base}/sums", lambda: names, fold_every=2)
     sinks.start(events, sink, f"{base}/state").awaitTermination()
     return tables.read_alerts(f.spark, f"{base}/alerts")
 
@@ -78,27 +99,27 @@ def stream_arbitrage(f):
 )
 def stream_snapshot(f):
     base = shared_dir(f.spark, "stream")
-    snapshot.start_snapshot(
-        _live(f).sales, f"{base}/out", f"{base}/state"
-    ).awaitTermination()
+    sales = _in_batches(f, f.sales, "sold_at", f"{base}/in")
+    snapshot.start_snapshot(sales, f"{base}/out", f"{base}/state").awaitTermination()
     return rounded(tables.read_snapshot(f.spark, f"{base}/out"))
 
 
-_EVENT = "event_id, source, card_id, finish, condition, price_raw, quantity, ts"
+def _stream_ingest(f, base: str, listings: bool = True):
+    """Raw feeds in micro-batches of mixed order to the clean tables under ``base``."""
+    sides = []
+    for raw, ts in ((f.raw_listings, "listed_at"), (f.raw_sales, "sold_at")):
+        sides.append(_in_batches(f, raw, ts, f"{base}/{ts}"))
+    rows = ingest.ingest_stream(sides[0] if listings else None, sides[1], products(f), "sim")
+    cards = catalogue(f).cards
+    sink = ingest.validating_sink(f"{base}/out", lambda: cards, as_of())
+    sinks.start(rows, sink, f"{base}/state").awaitTermination()
+    return f"{base}/out"
 
 
-@query(
-    "stream_dedup",
-    "polled",
-    f"SELECT DISTINCT {_EVENT} FROM polled WHERE feed = 'sale'",
-)
+@query("stream_dedup", "polled", "SELECT DISTINCT source, event_id FROM polled WHERE feed = 'sale'")
 def stream_dedup(f):
-    base = shared_dir(f.spark, "stream")
-    rows = ingest.ingest_stream(None, _live(f).raw_sales, products(f), "sim")
-    query_ = rows.select(*_EVENT.split(", ")).writeStream.format("parquet")
-    query_ = query_.option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-    query_.trigger(availableNow=True).start().awaitTermination()
-    return f.spark.read.parquet(f"{base}/out")
+    out = _stream_ingest(f, shared_dir(f.spark, "stream"), listings=False)
+    return f.spark.read.parquet(f"{out}/seen").select("source", "event_id")
 
 
 @query(
@@ -107,15 +128,38 @@ def stream_dedup(f):
     """SELECT event_id, feed, card_id, quantity, ts, reject_reason FROM judged""",
 )
 def stream_ingest(f):
+    out = _stream_ingest(f, shared_dir(f.spark, "stream"))
+    columns = ["event_id", "feed", "card_id", "quantity", "ts", "reject_reason"]
+    frames = [f.spark.read.parquet(f"{out}/quarantine").select(*columns)]
+    for feed, ts in (("sale", "sold_at"), ("listing", "listed_at")):
+        clean = ingest.clean_table(f.spark, out, feed)
+        frames.append(
+            clean.withColumns(
+                {"feed": F.lit(feed), "ts": F.col(ts), "reject_reason": F.lit(None).cast("string")}
+            ).select(*columns)
+        )
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query(
+    "stream_pipeline",
+    "judged",
+    f"""SELECT * FROM (WITH clean AS (
+          SELECT concat(card_id, '|', finish, '|', condition) AS market_key,
+                 CAST(price_raw AS DECIMAL(12,2)) AS price, quantity, ts AS sold_at
+          FROM judged WHERE reject_reason IS NULL AND feed = 'sale')
+        SELECT market_key, window_start, window_end, avg_price, volume, sample_count
+        FROM ({windows_sql("clean", "HOURLY")}) w
+        WHERE window_end <= (SELECT max(sold_at) FROM clean)) closed""",
+)
+def stream_pipeline(f):
+    """Raw feeds to clean tables, and the clean sales, as a stream again, to closed windows."""
     base = shared_dir(f.spark, "stream")
-    live = _live(f)
-    rows = ingest.ingest_stream(live.raw_listings, live.raw_sales, products(f), "sim")
-    cards = catalogue(f).cards
-    sink = ingest.validating_sink(f"{base}/clean", f"{base}/bad", lambda: cards, as_of())
-    sinks.start(rows, sink, f"{base}/state").awaitTermination()
-    columns = ["event_id", "feed", "card_id", "quantity", "ts"]
-    clean = f.spark.read.parquet(f"{base}/clean").select(
-        *columns, F.lit(None).cast("string").alias("reject_reason")
+    out = _stream_ingest(f, base)
+    sales = ingest.clean_table(f.spark, out, "sale", live=True, maxFilesPerTrigger=1)
+    rows = windows.stream_windows(sales, "HOURLY")
+    sinks.start(rows, sinks.batch_writer(f"{base}/pw"), f"{base}/pw-state").awaitTermination()
+    found = read_log(f.spark, f"{base}/pw", PRICE_WINDOW)
+    return found.select(
+        "market_key", "window_start", "window_end", "avg_price", "volume", "sample_count"
     )
-    bad = f.spark.read.parquet(f"{base}/bad").select(*columns, "reject_reason")
-    return clean.unionByName(bad)
