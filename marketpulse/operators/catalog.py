@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.functions import feed, keys, pricing
+from marketpulse.functions import feed, keys, money, pricing
 from marketpulse.operators.merge import first_per_key
 from marketpulse.operators.numbering import consecutive_ids
 from marketpulse.schemas import CONDITIONS, FINISHES, GAMES
@@ -99,6 +99,7 @@ def clamp_page(page: int, page_size: int) -> tuple[int, int]:
 def card_page(
     cards: DataFrame, sets: DataFrame, page: int = 0, page_size: int = 50, **filters: str | None
 ) -> DataFrame:
+    """One page of the matches. More than 200 rows a page are not given (see ``clamp_page``)."""
     page, size = clamp_page(page, page_size)
     ordered = search(cards, sets, **filters).orderBy("set_id", "number", "card_id")
     return ordered.offset(page * size).limit(size)
@@ -137,9 +138,13 @@ def sku_universe(cards: DataFrame, conditions: tuple[str, ...] = CONDITIONS) ->
     return rows.select("card_id", "rarity", "finish", "condition")
 
 
-def with_base_price(skus: DataFrame) -> DataFrame:
-    price = pricing.base_price(F.col("rarity"), F.col("finish"), F.col("condition"))
-    return skus.withColumn("base_price", price)
+def with_base_price(skus: DataFrame, sales: DataFrame, cards: DataFrame) -> DataFrame:
+    """Mean traded price of an SKU's rarity, finish and condition; null where none traded."""
+    kind = ["rarity", "finish", "condition"]
+    traded = sales.join(cards.select("card_id", "rarity"), "card_id").groupBy(*kind)
+    sums = traded.agg(F.sum("price").alias("_sum"), F.count("price").alias("_n"))
+    mean = money.mean_price(F.col("_sum"), F.col("_n")).alias("base_price")
+    return skus.join(sums.select(*kind, mean), kind, "left")
 
 
 def with_price_bands(snapshots: DataFrame, price: str = "avg_price") -> DataFrame:

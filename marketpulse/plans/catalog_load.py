@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators import catalog
 from marketpulse.operators.merge import last_per_key, upsert
+from marketpulse.sources.tables import upsert_table
 
 
 @dataclass(frozen=True)
@@ -24,13 +25,41 @@ class Catalog:
         return catalog.load_summary(self.cards, self.sets, self.cutoff)
 
 
-def load_catalog(raw_sets: DataFrame, raw_cards: DataFrame, cutoff: dt.date) -> Catalog:
+def load_catalog(
+    raw_sets: DataFrame,
+    raw_cards: DataFrame,
+    cutoff: dt.date,
+    position: list[str] | None = None,
+) -> Catalog:
+    """Recent sets with their cards.
+
+    Of several rows with one id the last by ``position`` wins, such as page and place;
+    without it ids must be unique.
+    """
+    if position:
+        raw_sets = last_per_key(raw_sets, ["set_id"], position).drop(*position)
+        raw_cards = last_per_key(raw_cards, ["card_id"], position).drop(*position)
     sets = catalog.recent_sets(raw_sets, cutoff)
     cards = catalog.recent_cards(raw_cards, sets)
     return Catalog(sets, cards, catalog.card_metadata(cards, sets), cutoff)
 
 
-def refresh(base: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
-    """Upsert loaded sets or cards and stamp them; other rows keep their stamp."""
-    stamped = loaded.withColumn("updated_at", F.current_timestamp())
-    return upsert(base, last_per_key(stamped, [key], ["updated_at"]), [key])
+def write_catalog(loaded: Catalog, path: str) -> None:
+    """Upsert sets, cards and card metadata into the tables under ``path``.
+
+    Cards and metadata are partitioned by set, so a load rewrites only the sets it brings.
+    """
+    stamp = F.current_timestamp()
+    upsert_table(loaded.sets.withColumn("updated_at", stamp), f"{path}/sets", ["set_id"], ["set_id"])
+    cards = loaded.cards.withColumn("updated_at", stamp)
+    upsert_table(cards, f"{path}/cards", ["set_id", "card_id"], ["set_id"])
+    upsert_table(loaded.metadata, f"{path}/metadata", ["set", "card_id"], ["set"])
+
+
+def refresh(base: DataFrame, loaded: DataFrame, key: str, position: list[str]) -> DataFrame:
+    """Upsert loaded sets or cards and stamp them; other rows keep their stamp.
+
+    Of several rows with one key the last by ``position`` wins, such as page and place.
+    """
+    last = last_per_key(loaded, [key], position)
+    return upsert(base, last.withColumn("updated_at", F.current_timestamp()), [key])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from marketpulse.operators import alerts, signals, stats, windows
 from marketpulse.schemas import Thresholds
+from marketpulse.sources.tables import window_day
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,8 @@ def market_intelligence(
 
 def write(result: Intelligence, path: str) -> None:
     """Write the derived tables in the layout the serving queries read best."""
-    result.price_windows.write.mode("overwrite").partitionBy("window_type").parquet(
+    windows_ = result.price_windows.withColumn("window_date", window_day())
+    windows_.write.mode("overwrite").partitionBy("window_type", "window_date").parquet(
         f"{path}/price_window"
     )
     result.alerts.write.mode("overwrite").partitionBy("type").parquet(f"{path}/alert")

@@ -9,7 +9,8 @@ from decimal import Decimal
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(12, 2)
-#: Running sums: wide enough for 1e12 rows, still exact.
+#: Running sums: exact for 1e12 rows a ticker, and as long as a ticker's price sum stays
+#: below 1e17, whose square the comparisons still hold; beyond, a job fails and does not round.
 PRICE_SUM = T.DecimalType(24, 2)
 PRICE_SQ_SUM = T.DecimalType(34, 4)
 
@@ -30,7 +31,7 @@ REJECT_REASONS = (
     "quantity_out_of_bounds",
     "timestamp_out_of_window",
 )
-DROP_REASONS = ("unresolved_product", "bad_subtype")
+DROP_REASONS = ("unresolved_product", "bad_subtype", "missing_id")
 
 
 @dataclass(frozen=True)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketpulse.operators.merge import first_per_key, last_per_key
+from marketpulse.operators.merge import Order, first_per_key, last_per_key, upsert
 from marketpulse.schemas import ALERT, MARKET_SNAPSHOT, PRICE_WINDOW
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+from marketpulse.session import shared_dir
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -29,6 +29,47 @@ def first_rows(log: DataFrame, keys: list[str]) -> DataFrame:
     return first_per_key(log, keys, ["batch_id"]).drop("batch_id")
 
 
+def window_day() -> Column:
+    """Partition column of stored price windows."""
+    return F.to_date("window_start").alias("window_date")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def upsert_table(
+    delta: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    partition_by: Sequence[str],
+    order: Order | None = None,
+) -> None:
+    """Upsert ``delta`` into a partitioned table; partitions it does not touch stay as they are.
+
+    The partition columns must follow from the keys. Of several rows of ``delta`` with one key
+    the last by ``order`` wins. The touched partitions are merged into a shared scratch folder
+    first, because a table cannot be read while it is overwritten; running again after a
+    failure gives the same table. A table that does not exist begins empty.
+    """
+    spark = delta.sparkSession
+    fresh = last_per_key(delta, keys, order) if order else delta
+    drop = [c for c in order or () if isinstance(c, str) and c not in keys]
+    columns = [c for c in fresh.columns if c not in drop]
+    fresh = fresh.select(*columns)
+    if exists(spark, path):
+        base = spark.read.schema(fresh.schema).parquet(path).select(*columns)
+        parts = fresh.select(*partition_by).distinct()
+        touched = base.join(parts, list(partition_by), "left_semi").select(*columns)
+        merged = upsert(touched, fresh, keys)
+        scratch = shared_dir(spark, "upsert")
+        merged.write.parquet(scratch)
+        fresh = spark.read.schema(fresh.schema).parquet(scratch)
+    writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def read_price_windows(spark: SparkSession, path: str) -> DataFrame:
     log = read_log(spark, path, PRICE_WINDOW)
     return current_rows(log, ["market_key", "window_type", "window_start"])

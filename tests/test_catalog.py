@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketpulse.operators import catalog
-from marketpulse.plans.catalog_load import load_catalog, refresh
+from marketpulse.plans.catalog_load import load_catalog, refresh, write_catalog
 from marketpulse.sources import catalog as pages
 
 SETS = {
@@ -85,7 +85,7 @@ def test_lookup(loaded):
 def test_refresh_replaces_and_keeps(loaded):
     base = loaded.cards.withColumn("updated_at", F.timestamp_seconds(F.lit(0)))
     fresh = loaded.cards.filter("card_id = 'new-1'").withColumn("name", F.lit("Renamed"))
-    rows = {r.card_id: r for r in refresh(base, fresh, "card_id").collect()}
+    rows = {r.card_id: r for r in refresh(base, fresh, "card_id", ["name"]).collect()}
     assert len(rows) == 3 and rows["new-1"].name == "Renamed"
     assert rows["new-1"].updated_at.year > 2000 and rows["new-2"].updated_at.year == 1970
 
@@ -100,17 +100,19 @@ def test_sku_universe_by_rarity(spark):
     }
 
 
-def test_base_price(spark):
-    rows = [
-        ("Special Illustration Rare", "NORMAL", "NM", "30.00"),
-        ("Secret Rare", "HOLOFOIL", "LP", "44.80"),
-        ("Uncommon", "REVERSE_HOLOFOIL", "DMG", "0.14"),
-        ("Common", "NORMAL", "DMG", "0.10"),
-        ("Promo", "NORMAL", "HP", "0.80"),
-    ]
-    df = spark.createDataFrame(rows, "rarity string, finish string, condition string, want string")
-    for row in catalog.with_base_price(df).collect():
-        assert row.base_price == Decimal(row.want), row
+def test_base_price_is_the_mean_of_what_traded(spark):
+    cards = spark.createDataFrame(
+        [("a", "Rare"), ("b", "Rare"), ("c", "Promo")], "card_id string, rarity string"
+    )
+    sales = spark.createDataFrame(
+        [("a", "NORMAL", "NM", Decimal("2.00")), ("b", "NORMAL", "NM", Decimal("3.01"))],
+        "card_id string, finish string, condition string, price decimal(12,2)",
+    )
+    skus = catalog.sku_universe(cards, ("NM",))
+    priced = catalog.with_base_price(skus, sales, cards).filter("base_price IS NOT NULL")
+    assert {(r.card_id, r.finish, str(r.base_price)) for r in priced.collect()} == {
+        ("a", "NORMAL", "2.51"), ("b", "NORMAL", "2.51"),
+    }
 
 
 def test_price_bands(spark):
@@ -131,3 +133,26 @@ def test_distinct_cards_skip_missing_ids(spark):
     df = spark.createDataFrame([("b", 2), ("b", 1), (None, 0), ("a", 3)], "card_id string, n int")
     rows = catalog.distinct_cards(df, ["n"]).collect()
     assert {(r.card_id, r.n) for r in rows} == {("a", 3), ("b", 1)}
+
+
+def test_catalogue_job_writes_and_upserts_its_tables(spark, tmp_path):
+    sets = "set_id string, name string, series string, printed_total int, total int, release_date_raw string, logo_url string, symbol_url string, place int"
+    cards = "card_id string, set_id string, name string, number string, rarity string, supertype string, image_small string, image_large string, place int"
+
+    def load(*named):
+        raw_sets = [("s1", "One", "a", 1, 1, "2025/01/01", "l", "s", 0), ("s2", "Two", "a", 1, 1, "2025/01/01", "l", "s", 1)]
+        raw = [(c, s, n, "1", "Rare", "x", "i", None, i) for i, (c, s, n) in enumerate(named)]
+        loaded = load_catalog(
+            spark.createDataFrame(raw_sets, sets), spark.createDataFrame(raw, cards),
+            dt.date(2024, 1, 1), ["place"],
+        )
+        write_catalog(loaded, str(tmp_path))
+
+    load(("a", "s1", "old"), ("b", "s2", "kept"), ("a", "s1", "first"))
+    stamps = {r.card_id: r.updated_at for r in spark.read.parquet(f"{tmp_path}/cards").collect()}
+    load(("a", "s1", "v1"), ("a", "s1", "v2"), ("c", "s1", "new"))
+    rows = {r.card_id: r for r in spark.read.parquet(f"{tmp_path}/cards").collect()}
+    assert {c: r.name for c, r in rows.items()} == {"a": "v2", "b": "kept", "c": "new"}
+    assert rows["b"].updated_at == stamps["b"] and rows["a"].updated_at > stamps["a"]
+    assert spark.read.parquet(f"{tmp_path}/metadata").count() == 3
+    assert spark.read.parquet(f"{tmp_path}/sets").count() == 2

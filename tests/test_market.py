@@ -6,7 +6,7 @@ from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
-from conftest import KEY, T0
+from conftest import CARD, KEY, T0
 from pyspark.sql import functions as F
 
 from marketpulse.operators import alerts, merge, serving, stats, windows
@@ -148,7 +148,7 @@ def test_insert_if_absent_keeps_what_is_stored(spark):
 
 
 def test_top_movers(spark, price_table):
-    cards = spark.createDataFrame([("base1-4", "Charizard"), ("up", "Up")], "card_id string, name string")
+    cards = spark.createDataFrame([(CARD, "Bog Heron"), ("up", "Up")], "card_id string, name string")
     table = price_table(
         (KEY, 0, "10.00"), (KEY, 5, "15.00"),
         ("up|NORMAL|NM", 0, "1.00"), ("up|NORMAL|NM", 1, "4.00"), ("up|NORMAL|NM", 2, "2.00"),
@@ -156,7 +156,7 @@ def test_top_movers(spark, price_table):
         ("one|NORMAL|NM", 0, "1.00"),
     )
     gainers = serving.top_movers(table, cards).collect()
-    assert [(r.card_name, r.pct_change) for r in gainers] == [("Charizard", 0.5), ("Up", -0.5)]
+    assert [(r.card_name, r.pct_change) for r in gainers] == [("Bog Heron", 0.5), ("Up", -0.5)]
     losers = serving.top_movers(table, cards, direction="LOSERS", limit=1).collect()
     assert [r.card_name for r in losers] == ["Up"]
 

@@ -9,7 +9,7 @@ from marketpulse.operators import catalog
 from marketpulse.operators.merge import upsert
 from marketpulse.session import shared_dir
 from marketpulse.sources import catalog as pages
-from workload.checks import half_up
+from workload.checks import CENTS, half_up
 from workload.registry import query
 from workload.tables import card_views, catalogue, cutoff, snapshots
 from workload.views import CUTOFF
@@ -209,23 +209,18 @@ def sku_universe(f):
 
 @query(
     "sku_base_price",
-    "skus",
-    """SELECT card_id, finish, condition, CAST(greatest(round(base * f * c, 2), 0.10) AS DOUBLE)
-              AS base_price
-       FROM (SELECT *, CAST(CASE WHEN contains(r, 'special illustration') THEN 30.0
-                           WHEN contains(r, 'illustration') THEN 12.0
-                           WHEN contains(r, 'ultra') THEN 10.0 WHEN contains(r, 'holo') THEN 3.0
-                           WHEN contains(r, 'uncommon') THEN 0.5
-                           WHEN contains(r, 'common') THEN 0.25 END AS DECIMAL(6,2)) AS base,
-                    CAST(CASE finish WHEN 'NORMAL' THEN 1.0 WHEN 'HOLOFOIL' THEN 1.4
-                                ELSE 1.15 END AS DECIMAL(4,2)) AS f,
-                    CAST(CASE condition WHEN 'NM' THEN 1.0 WHEN 'LP' THEN 0.8 WHEN 'MP' THEN 0.6
-                                   WHEN 'HP' THEN 0.4 ELSE 0.25 END AS DECIMAL(4,2)) AS c
-             FROM (SELECT *, lower(rarity) AS r FROM skus) l) s""",
+    "skus sales cards",
+    f"""SELECT s.card_id, s.finish, s.condition, b.base_price
+        FROM skus s LEFT JOIN (
+          SELECT c.rarity, t.finish, t.condition,
+                 {half_up(f"sum({CENTS})", "(count(*) * 100)", 2)} AS base_price
+          FROM sales t JOIN cards c ON t.card_id = c.card_id GROUP BY ALL) b
+        ON s.rarity = b.rarity AND s.finish = b.finish AND s.condition = b.condition""",
 )
 def sku_base_price(f):
-    skus = catalog.sku_universe(catalogue(f).cards)
-    return catalog.with_base_price(skus).drop("rarity")
+    cards = catalogue(f).cards
+    priced = catalog.with_base_price(catalog.sku_universe(cards), f.sales, cards)
+    return priced.select("card_id", "finish", "condition", "base_price")
 
 
 _AVG_CENTS = "CAST(round(avg_price * 100) AS BIGINT)"

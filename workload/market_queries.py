@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketpulse.operators import alerts, merge, serving, signals, stats, windows
+from marketpulse.session import shared_dir
+from marketpulse.sources.tables import upsert_table, window_day
 from workload.checks import CENTS, WINDOW_COLUMNS, half_up, windows_sql
 from workload.registry import query
 from workload.tables import card_views, catalogue, price_windows, rounded, snapshots
@@ -142,16 +144,14 @@ def latest_window(f):
 
 def _movers_sql(order: str) -> str:
     return f"""
-        SELECT market_key, r.card_id, c.name AS card_name, avg_price, prev_avg_price,
-               (avg_price - prev_avg_price) / prev_avg_price AS pct_change
-        FROM (SELECT market_key, card_id, avg_price,
-                     lag(avg_price) OVER (PARTITION BY market_key ORDER BY window_start)
-                         AS prev_avg_price,
-                     row_number() OVER (PARTITION BY market_key ORDER BY window_start DESC) AS rn
-              FROM daily) r
-        JOIN cards c ON c.card_id = r.card_id
-        WHERE rn = 1 AND prev_avg_price IS NOT NULL AND prev_avg_price <> 0
-        ORDER BY pct_change {order}, market_key LIMIT 20"""
+        SELECT t.market_key, t.card_id, c.name AS card_name, t.two[1] AS avg_price,
+               t.two[2] AS prev_avg_price, (t.two[1] - t.two[2]) / t.two[2] AS pct_change
+        FROM (SELECT market_key, min(card_id) AS card_id,
+                     list(avg_price ORDER BY window_start DESC)[1:2] AS two
+              FROM daily GROUP BY market_key) t
+        JOIN cards c ON c.card_id = t.card_id
+        WHERE len(t.two) = 2 AND t.two[2] <> 0
+        ORDER BY pct_change {order}, t.market_key LIMIT 20"""
 
 
 def _movers(f, direction: str):
@@ -193,23 +193,37 @@ def card_price_history(f):
 @query(
     "upsert_price_window",
     "daily settled_windows",
-    f"""SELECT market_key, window_type, window_start, window_end,
-               avg_price + CASE WHEN fresh THEN 1 ELSE 0 END AS avg_price, sample_count
-        FROM (SELECT d.*, EXISTS (SELECT 1 FROM settled_windows s
-                                  WHERE s.market_key = d.market_key
-                                    AND s.window_type = d.window_type
-                                    AND s.window_start = d.window_start) AS fresh
-              FROM daily d) x""",
+    """SELECT * FROM (WITH again AS (
+          SELECT market_key, window_type, window_start, window_end, avg_price + 1 AS avg_price,
+                 sample_count
+          FROM settled_windows WHERE window_type = 'DAILY' AND volume >= 3),
+        stored AS (
+          SELECT market_key, window_type, window_start, window_end, avg_price, sample_count
+          FROM daily WHERE avg_price < 400)
+        SELECT * FROM again
+        UNION ALL SELECT * FROM stored s WHERE NOT EXISTS (
+          SELECT 1 FROM again a
+          WHERE a.market_key = s.market_key AND a.window_start = s.window_start)) merged""",
 )
 def upsert_price_window(f):
-    """Settled daily windows arrive again with a higher average and replace the stored ones."""
+    """Cheap daily windows are stored; then settled ones with some volume arrive twice.
+
+    The second arrival counts. Some replace stored windows, some are new, and others stay.
+    """
     columns = [
         "market_key", "window_type", "window_start", "window_end", "avg_price", "sample_count",
     ]
-    daily = windows.windowed_aggregates(f.sales, ("DAILY",)).select(*columns)
-    daily = daily.withColumn("avg_price", F.col("avg_price").cast("double"))
-    again = windows.settled(daily, f.sales).withColumn("avg_price", F.col("avg_price") + 1)
-    return merge.upsert(daily, again, ["market_key", "window_type", "window_start"])
+    keys = ["market_key", "window_type", "window_start"]
+    parts = ["window_type", "window_date"]
+    daily = windows.windowed_aggregates(f.sales, ("DAILY",))
+    daily = daily.withColumns({"avg_price": F.col("avg_price").cast("double"), "window_date": window_day()})
+    table = shared_dir(f.spark, "price-window")
+    upsert_table(daily.filter("avg_price < 400").select(*columns, "window_date"), table, keys, parts)
+    settled = windows.settled(daily, f.sales).filter("volume >= 3").select(*columns, "window_date")
+    twice = settled.withColumn("version", F.explode(F.array(F.lit(1), F.lit(0))))
+    raised = F.col("avg_price") + F.when(F.col("version") == 1, 1).otherwise(7)
+    upsert_table(twice.withColumn("avg_price", raised), table, keys, parts, ["version"])
+    return f.spark.read.schema(daily.select(*columns).schema).parquet(table).select(*columns)
 
 
 # ---- signals
