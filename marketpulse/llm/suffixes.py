@@ -7,9 +7,11 @@ A byte goes if it lies in a string of ``width`` bytes that also starts earlier i
    anchor form a run; its bytes are the run's context.
 2. A bitmap of fixed size tells which anchors can occur twice. Runs of others are unique.
    Runs of equal bytes are folded in the map task: all but the earliest are repeats.
-3. The runs left are shuffled by anchor. Windows of a crowded anchor are shuffled one by one,
-   by their bytes, so no anchor's runs meet in one task.
-4. Each bucket's suffixes are sorted by the difference-cover algorithm: triples at positions
+3. The runs left are shuffled by anchor. Of a crowded anchor only windows that can occur
+   twice, by a bitmap of their own, are shuffled, one by one by their bytes, so that no
+   anchor's runs need meet in one task.
+4. Windows alone in their bucket by a hash are dropped, stretches of equal bytes folded. The
+   suffixes of what is left are sorted by the difference-cover algorithm: triples at positions
    not divisible by three are sorted and named, names are sorted recursively, the remaining
    suffixes are merged in. Adjacent suffixes are compared over ``width`` bytes; of a class of
    equal windows all but the earliest are repeats.
@@ -43,7 +45,7 @@ class Settings:
 
     width: int = 100
     filter_bits: int = 28
-    crowded: int = 20_000
+    crowded: int = 50_000
     bucket_bytes: int = 4 << 20
     stretch: int = 1 << 20
 
@@ -152,17 +154,49 @@ def repeated_windows(runs: list[bytes], width: int) -> list[np.ndarray]:
     ]
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the 32 bytes from each position on, by doubling."""
+def gram_hashes(data: np.ndarray, width: int = GRAM) -> np.ndarray:
+    """A hash of the ``width`` bytes from each position on, by doubling."""
     h, size = data.astype(np.uint64) + np.uint64(1), 1
-    while size < GRAM:
-        h = h[:-size] * (_ODD + np.uint64(2 * size)) + h[size:]
+    while size < width:
+        step = min(size, width - size)
+        h = h[:-step] * (_ODD + np.uint64(2 * step)) + h[step:]
         h ^= h >> np.uint64(29)
-        size *= 2
+        size += step
     h *= _ODD
     return h ^ (h >> np.uint64(32))
 
 
+def likely_repeated(runs: list[bytes], width: int) -> list[tuple[int, int, bytes]]:
+    """Stretches of the runs' windows whose hash occurs twice: (run, first window, bytes).
+
+    A window whose hash is alone among the runs equals no other, so none is lost.
+    """
+    sizes = np.array([len(r) for r in runs])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(runs), np.uint8)
+    edge = np.zeros(len(data) + 1, np.int64)
+    edge[ends - sizes] += 1
+    edge[ends - width + 1] -= 1
+    at = np.flatnonzero(np.cumsum(edge[:-1]))
+    h = gram_hashes(data, width)[at]
+    ordered = np.sort(h)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return []
+    found = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
+    at = at[twice[found] == h]
+    owner = np.searchsorted(ends, at, side="right")
+    first = np.flatnonzero(
+        np.concatenate([[True], (np.diff(at) != 1) | (owner[1:] != owner[:-1])])
+    )
+    last = np.append(first[1:], len(at)) - 1
+    begin = (ends - sizes)[owner[first]]
+    return [
+        (int(r), int(a - b), data[a : z + width].tobytes())
+        for r, a, z, b in zip(owner[first], at[first], at[last], begin, strict=True)
+    ]
+
+
 def runs_of(data: np.ndarray, s: Settings):
     """(anchor hash, first window, last window) arrays of one document's runs."""
     parts = []
@@ -186,35 +220,60 @@ def runs_of(data: np.ndarray, s: Settings):
 
 
 def _anchor_filter(source: DataFrame, s: Settings):
-    """(bitmap of anchor slots seen twice, crowded slots, runs in slots seen twice).
+    """(bitmap of anchor slots seen twice, crowded slots, runs in slots seen twice)."""
+    twice = _seen_twice(source, s, lambda data: runs_of(data, s)[0], "anchors")
+    n_runs = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    crowded = twice.filter(F.col("n") >= max(s.crowded, n_runs // MOST_CROWDED)).select("slot")
+    many = np.array(sorted(r.slot for r in crowded.collect()), np.int64)
+    return _bitmap(twice, s), many, n_runs
 
-    The bitmap's size is a setting; full, it lets every run through but loses none.
-    """
+
+def _window_filter(source: DataFrame, s: Settings, many) -> np.ndarray:
+    """Bitmap of the slots that windows of crowded anchors fill twice."""
+    shared = source.sparkSession.sparkContext.broadcast(many)
+    shift = np.uint64(64 - s.filter_bits)
+
+    def keys(data):
+        anchor, first, last = runs_of(data, s)
+        hot = np.isin((anchor >> shift).astype(np.int64), shared.value)
+        return gram_hashes(data, s.width)[_windows(first[hot], last[hot])] if hot.any() else anchor[:0]
+
+    return _bitmap(_seen_twice(source, s, keys, "windows"), s)
+
+
+def _windows(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    sizes = last - first + 1
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _seen_twice(source: DataFrame, s: Settings, keys, name: str) -> DataFrame:
+    """(slot, n) of the slots that the 64-bit ``keys`` of all texts fill more than once."""
     shift = np.uint64(64 - s.filter_bits)
 
     def slots(batches):
         for batch in batches:
             found = [
-                runs_of(np.frombuffer(t.encode("utf-8"), np.uint8), s)[0] >> shift
-                for t in batch["text"]
+                keys(np.frombuffer(t.encode("utf-8"), np.uint8)) >> shift for t in batch["text"]
             ]
             slot, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             yield {"slot": np.asarray(slot, np.int64), "n": np.asarray(n, np.int64)}
 
+    found = map_batches(source, slots, "slot long, n long").groupBy("slot")
+    return stored(found.agg(F.sum("n").alias("n")).filter("n > 1"), name)
+
+
+def _bitmap(twice: DataFrame, s: Settings) -> np.ndarray:
+    """The slots as bits. Its size is a setting; full, it lets everything through."""
+
     def block(key, pdf):
         words = np.zeros(_WORDS, "<i8")
         words[pdf["word"] % _WORDS] = pdf["bits"]
         return type(pdf)([(key[0], words.tobytes())], columns=["block", "bits"])
 
-    twice = stored(
-        map_batches(source, slots, "slot long, n long")
-        .groupBy("slot")
-        .agg(F.sum("n").alias("n"))
-        .filter("n > 1"),
-        "anchors",
-    )
-    n_runs = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    crowded = twice.filter(F.col("n") >= max(s.crowded, n_runs // MOST_CROWDED)).select("slot")
     blocks = (
         twice.groupBy(F.expr("slot >> 6").alias("word"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits"))
@@ -224,8 +283,7 @@ def _anchor_filter(source: DataFrame, s: Settings):
     bitmap = np.zeros(-(-(1 << s.filter_bits) // 64 // _WORDS) * _WORDS, "<i8")
     for r in blocks.collect():
         bitmap[r.block * _WORDS : (r.block + 1) * _WORDS] = np.frombuffer(r.bits, "<i8")
-    many = np.array(sorted(r.slot for r in crowded.collect()), np.int64)
-    return bitmap.view(np.uint64), many, n_runs
+    return bitmap.view(np.uint64)
 
 
 class _Fold:
@@ -285,31 +343,33 @@ def repeats(source: DataFrame, s: Settings) -> DataFrame:
     """
     kind = id_like(source)
     bitmap, crowded, n_runs = _anchor_filter(source.select("text"), s)
-    shared = source.sparkSession.sparkContext.broadcast((bitmap, crowded))
+    windows = _window_filter(source.select("text"), s, crowded) if len(crowded) else None
+    shared = source.sparkSession.sparkContext.broadcast((bitmap, crowded, windows))
     mean = s.width + (s.width - GRAM) // 2
     buckets = max(1, n_runs * mean // s.bucket_bytes)
     shift = np.uint64(64 - s.filter_bits)
 
     def open_runs(batches):
-        seen, many = shared.value
+        seen, many, seen_windows = shared.value
         fold = _Fold(buckets)
         for batch in batches:
             for doc_id, tie, text in zip(*(batch[c] for c in ("doc_id", "tie", "text")), strict=True):
                 raw = text.encode("utf-8")
                 anchor, first, last = runs_of(np.frombuffer(raw, np.uint8), s)
                 slot = (anchor >> shift).astype(np.int64)
-                twice = (seen[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
-                hot = np.isin(slot, many)
-                for key, a, b, each in zip(
-                    anchor[twice].tolist(), first[twice].tolist(), last[twice].tolist(),
-                    hot[twice].tolist(), strict=True,
+                twice, hot = _bit(seen, slot), np.isin(slot, many)
+                plain = twice & ~hot
+                for key, a, b in zip(
+                    anchor[plain].tolist(), first[plain].tolist(), last[plain].tolist(),
+                    strict=True,
                 ):
-                    if not each:
-                        fold.add(key, (doc_id, tie, a), raw[a : b + s.width])
-                        continue
-                    for p in range(a, b + 1):
-                        window = raw[p : p + s.width]
-                        fold.add(xxhash.xxh3_64_intdigest(window), (doc_id, tie, p), window)
+                    fold.add(key, (doc_id, tie, a), raw[a : b + s.width])
+                if hot.any():
+                    each = _windows(first[hot], last[hot])
+                    code = gram_hashes(np.frombuffer(raw, np.uint8), s.width)[each]
+                    again = _bit(seen_windows, (code >> shift).astype(np.int64))
+                    for key, p in zip(code[again].tolist(), each[again].tolist(), strict=True):
+                        fold.add(key, (doc_id, tie, p), raw[p : p + s.width])
                 if len(fold.kept) + len(fold.repeats) > fold.most:
                     yield _columns(fold.rows())
         yield _columns(fold.rows())
@@ -330,11 +390,17 @@ def repeats(source: DataFrame, s: Settings) -> DataFrame:
                 out.append(row[:4])
             else:
                 best[row[4]] = row
-        if len(best) > 1 or any(r[3] - r[2] > s.width for r in best.values()):
-            found = repeated_windows(list(best), s.width)
-            for row, windows in zip(best.values(), found, strict=True):
-                for a, b in joined_ranges((int(p), int(p) + s.width) for p in windows):
-                    out.append((row[0], row[1], row[2] + a, row[2] + b))
+        rows, left = list(best.values()), {}
+        for r, first, data in likely_repeated(list(best), s.width) if best else ():
+            place = (*rows[r][:2], rows[r][2] + first)
+            if data in left:
+                out.append((*place, place[2] + len(data)))
+            else:
+                left[data] = place
+        found = repeated_windows(list(left), s.width) if left else ()
+        for (doc_id, tie, first), windows in zip(left.values(), found, strict=True):
+            for a, b in joined_ranges((int(p), int(p) + s.width) for p in windows):
+                out.append((doc_id, tie, first + a, first + b))
         return type(pdf)(out, columns=["doc_id", "tie", "first", "end"]).astype(
             {"doc_id": pdf["doc_id"].dtype}
         )
