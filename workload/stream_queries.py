@@ -47,23 +47,33 @@ for _kind in ("HOURLY", "DAILY", "MA_24H"):
 BATCHES = 4
 
 
-def _in_batches(f: Feeds, df, ts: str, folder: str):
-    """All rows of ``df`` as a stream of four micro-batches in the order of ``ts``.
-
-    Files are taken by age, so they are written one after the other.
-    """
+def _parts(df, ts: str):
+    """All rows of ``df`` in parts of about equal size, in the order of ``ts``."""
     micros = df.select(F.unix_micros(ts).cast("double").alias("t"))
     shares = [i / BATCHES for i in range(1, BATCHES)]
     cuts = micros.filter("t IS NOT NULL").approxQuantile("t", shares, 0.01)
     number = sum((F.coalesce(F.unix_micros(ts) >= int(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
     marked = df.withColumn("_batch", number)
-    for i in range(BATCHES):
-        part = marked.filter(F.col("_batch") == i).drop("_batch")
-        part.coalesce(1).write.mode("append").parquet(folder)
-    reader = f.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return [marked.filter(F.col("_batch") == i).drop("_batch") for i in range(BATCHES)]
+
+
+def _deliver(part, folder: str) -> None:
+    part.coalesce(1).write.mode("append").parquet(folder)
+
+
+def _feed(f: Feeds, schema, folder: str):
+    """The files of a folder as a stream, one a micro-batch, by age."""
+    reader = f.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
     return reader.parquet(folder)
 
 
+def _in_batches(f: Feeds, df, ts: str, folder: str):
+    """All rows of ``df`` as a stream of four micro-batches in the order of ``ts``."""
+    for part in _parts(df, ts):
+        _deliver(part, folder)
+    return _feed(f, df.schema, folder)
+
+
 def _stream_alerts(f):
     base = shared_dir(f.spark, "stream")
     given = signals.market_events(f.sales, f.listings)
@@ -105,15 +115,18 @@ def stream_snapshot(f):
 
 
 def _stream_ingest(f, base: str, listings: bool = True):
-    """Raw feeds in micro-batches of mixed order to the clean tables under ``base``."""
-    sides = []
-    for raw, ts in ((f.raw_listings, "listed_at"), (f.raw_sales, "sold_at")):
-        sides.append(_in_batches(f, raw, ts, f"{base}/{ts}"))
-    rows = ingest.ingest_stream(sides[0] if listings else None, sides[1], products(f), "sim")
+    """Raw feeds, in micro-batches, to the clean tables under ``base``."""
+    listed = _in_batches(f, f.raw_listings, "listed_at", f"{base}/listed") if listings else None
+    sold = _in_batches(f, f.raw_sales, "sold_at", f"{base}/sold")
+    _run_ingest(f, base, listed, sold)
+    return f"{base}/out"
+
+
+def _run_ingest(f, base: str, listed, sold) -> None:
+    rows = ingest.ingest_stream(listed, sold, products(f), "sim")
     cards = catalogue(f).cards
     sink = ingest.validating_sink(f"{base}/out", lambda: cards, as_of())
     sinks.start(rows, sink, f"{base}/state").awaitTermination()
-    return f"{base}/out"
 
 
 @query("stream_dedup", "polled", "SELECT DISTINCT source, event_id FROM polled WHERE feed = 'sale'")
@@ -155,10 +168,16 @@ def stream_ingest(f):
 def stream_pipeline(f):
     """Raw feeds to clean tables, and the clean sales, as a stream again, to closed windows."""
     base = shared_dir(f.spark, "stream")
-    out = _stream_ingest(f, base)
-    sales = ingest.clean_table(f.spark, out, "sale", live=True, maxFilesPerTrigger=1)
-    rows = windows.stream_windows(sales, "HOURLY")
-    sinks.start(rows, sinks.batch_writer(f"{base}/pw"), f"{base}/pw-state").awaitTermination()
+    deliveries = zip(_parts(f.raw_listings, "listed_at"), _parts(f.raw_sales, "sold_at"))
+    for listed, sold in deliveries:  # both jobs go on from where they were
+        _deliver(listed, f"{base}/listed")
+        _deliver(sold, f"{base}/sold")
+        _run_ingest(
+            f, base, _feed(f, listed.schema, f"{base}/listed"), _feed(f, sold.schema, f"{base}/sold")
+        )
+        sales = ingest.clean_table(f.spark, f"{base}/out", "sale", live=True)
+        rows = windows.stream_windows(sales, "HOURLY")
+        sinks.start(rows, sinks.batch_writer(f"{base}/pw"), f"{base}/pw-state").awaitTermination()
     found = read_log(f.spark, f"{base}/pw", PRICE_WINDOW)
     return found.select(
         "market_key", "window_start", "window_end", "avg_price", "volume", "sample_count"
