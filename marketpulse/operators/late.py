@@ -7,6 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+_DAY = 24 * 60 * 60 * 1_000_000
 
 def with_stream_time(
     events: DataFrame,
@@ -19,19 +20,18 @@ def with_stream_time(
     """Add ``stream_time``: the newest ``ts`` among this and all earlier arrivals.
 
     Arrivals are cut into time slices and each slice starts from the maximum of those
-    before it, so a task sees single slices of events, never the whole stream. Only the
-    maxima, one narrow row per slice, are scanned in one go. ``scope`` splits stream time,
-    for example per source; None means one stream.
+    before it, so a task sees single slices of events, never the whole stream. The slices'
+    maxima are scanned by day, and each day starts from the maximum of the days before it;
+    only one narrow row per day is scanned in one go. ``scope`` splits stream time, for
+    example per source; None means one stream.
     """
     scope = scope or []
     width = int(slice_width.total_seconds() * 1_000_000)
     slice_no = F.floor(F.unix_micros(arrival) / F.lit(width))
     rows = events.withColumns({"_slice": slice_no, "_row": F.lit(1), "_ts": F.col(ts)})
-    peaks = rows.groupBy(*scope, "_slice").agg(F.max("_ts").alias("_peak"))
-    earlier = Window.partitionBy(*scope).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    opening = peaks.select(
-        *scope, "_slice", F.lit(0).alias("_row"), F.max("_peak").over(earlier).alias("_ts")
-    )
+    day = F.floor(F.col("_slice") * F.lit(width) / F.lit(_DAY)).alias("_day")
+    peaks = rows.groupBy(*scope, "_slice").agg(F.max("_ts").alias("_peak")).select("*", day)
+    opening = _openings(peaks, scope)
     so_far = (
         Window.partitionBy(*scope, "_slice")
         .orderBy("_row", arrival, tie)
@@ -42,6 +42,20 @@ def with_stream_time(
     return timed.filter(F.col("_row") == 1).drop("_row", "_slice", "_ts")
 
 
+def _openings(peaks: DataFrame, scope: list[str]) -> DataFrame:
+    """The newest time before each slice, as a row that stands in front of the slice."""
+    before = lambda *keys: (
+        Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    days = peaks.groupBy(*scope, "_day").agg(F.max("_peak").alias("_peak"))
+    newest = F.max("_peak").over(before(*scope).orderBy("_day")).alias("_peak")
+    first = days.select(*scope, "_day", newest).withColumn("_own", F.lit(0))
+    stacked = peaks.withColumn("_own", F.lit(1)).unionByName(first, allowMissingColumns=True)
+    inside = F.max("_peak").over(before(*scope, "_day").orderBy("_own", "_slice"))
+    timed = stacked.select(*scope, "_slice", "_own", inside.alias("_ts"))
+    return timed.filter("_own = 1").select(*scope, "_slice", F.lit(0).alias("_row"), "_ts")
+
+
 def with_lateness(timed: DataFrame, ts: str, window: str = "1 hour") -> DataFrame:
     """Add ``late``: the tumbling window of the event had closed when it arrived."""
     end = F.window(ts, window)["end"]
