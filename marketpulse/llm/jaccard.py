@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketpulse.llm.common import id_like, map_rows, stored, texts
+from marketpulse.llm.common import id_like, map_batches, map_rows, stored, texts
 from marketpulse.llm.graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -275,22 +276,32 @@ def _blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
 
 def _region_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     kind = id_like(sets)
-    tasks = _blocks(members, sets, s).join(
-        sets.select(F.col("doc_id").alias("x"), "hashes"), "x"
+    tasks = (
+        _blocks(members, sets, s)
+        .join(sets.select(F.col("doc_id").alias("x"), "hashes"), "x")
+        .select("task.p", "task.i", "task.j", "x", "label", "hashes")
     )
 
-    def join(pdf):
-        if pdf["label"].nunique() < 2:
-            return type(pdf)([], columns=["a", "b"])
-        sets_ = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
-        links = block_links(pdf["x"].tolist(), pdf["label"].tolist(), sets_, s)
-        return type(pdf)(links, columns=["a", "b"])
+    def rows(batches):
+        for batch in batches:
+            yield from zip(*batch.values(), strict=True)
 
-    return (
-        tasks.select("task", "x", "label", "hashes")
-        .groupBy("task")
-        .applyInPandas(join, f"a {kind}, b {kind}")
-    )
+    def run(batches):
+        # Regions are many and mostly small: they are read one after the other.
+        out = []
+        for _, own in groupby(rows(batches), key=lambda r: r[:3]):
+            _, _, _, ids, labels, hashes = zip(*own, strict=True)
+            if len(set(labels)) > 1:
+                found = [np.frombuffer(h, np.uint64) for h in hashes]
+                out += block_links(list(ids), list(labels), found, s)
+            if len(out) > 10_000:
+                yield {"a": [r[0] for r in out], "b": [r[1] for r in out]}
+                out = []
+        yield {"a": [r[0] for r in out], "b": [r[1] for r in out]}
+
+    key = ["p", "i", "j"]
+    ordered = tasks.repartition(*key).sortWithinPartitions(*key)
+    return map_batches(ordered, run, f"a {kind}, b {kind}")
 
 
 def similar_groups(
