@@ -52,7 +52,7 @@ class Model:
 class Tokens:
     """Bucket numbers of a text's tokens; words in capitals share one token."""
 
-    def __init__(self, settings: Settings, remember: int = 500_000):
+    def __init__(self, settings: Settings, remember: int = 250_000):
         self.buckets, self.remember = settings.buckets, remember
         self.known: dict[str, int] = {}
 

@@ -51,7 +51,7 @@ def model_pieces(path: str) -> list[tuple[str, float, int]]:
 class PieceCodec:
     """Encoder and decoder of one model; ``cache`` bounds the chunks and pairs it remembers."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], cache: int = 400_000):
+    def __init__(self, pieces: list[tuple[str, float, int]], cache: int = 200_000):
         self.text = [p[0] for p in pieces]
         self.kind = [p[2] for p in pieces]
         self.cache = cache
@@ -255,15 +255,16 @@ def _valid_parts(data: bytes):
 def piece_codes(
     df: DataFrame,
     model_path: str,
+    with_ids: bool = False,
     with_text: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
-    cache: int = 400_000,
+    cache: int = 200_000,
 ) -> DataFrame:
     """Ids of every row's text with begin and end, and the text decoded from them.
 
-    Every row gives one row: ``n_tokens``, digests of ids and decoded text, and with
-    ``with_text`` also ``ids`` (little-endian unsigned 32-bit integers) and ``decoded``.
+    Every row gives one row: ``n_tokens``, digests of ids and decoded text, with ``with_ids``
+    also ``ids`` (little-endian unsigned 32-bit integers) and with ``with_text`` ``decoded``.
     A null or empty text has the begin and end ids alone. ``model_path`` must exist on the
     driver; its pieces are broadcast (their number is that of the vocabulary).
     """
@@ -275,12 +276,13 @@ def piece_codes(
         def row(doc_id, text):
             n, packed, decoded = codec.packed(text)
             out = doc_id, n, hex_digest(packed), hex_digest(decoded)
-            return (*out, packed, decoded.decode("utf-8")) if with_text else out
+            out += (packed,) if with_ids else ()
+            return (*out, decoded.decode("utf-8")) if with_text else out
 
         return row
 
     source = texts(df, id_col, text_col)
-    more = ", ids binary, decoded string" if with_text else ""
+    more = (", ids binary" if with_ids else "") + (", decoded string" if with_text else "")
     return map_rows(
         source,
         make,
