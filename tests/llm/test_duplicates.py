@@ -56,6 +56,13 @@ def test_groups_against_brute_force(spark, docs, limit, num):
     assert len({g[2] for g in got}) < len(found)
 
 
+def test_groups_without_broadcast(docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    found = [*family(random.Random(3), 15, 60, 3), "one", "two words", ""]
+    got = sorted(tuple(r) for r in jaccard.similar_groups(docs(*found)).collect())
+    assert got == brute_groups(found, jaccard.Settings())
+
+
 def test_linked_sets_share_a_part():
     rng = np.random.default_rng(1)
     s = jaccard.Settings()
