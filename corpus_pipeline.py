@@ -47,7 +47,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every text left, with begin and end."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepieces.piece_codes(docs, model, with_text=True).drop("decoded")
+    return sentencepieces.piece_codes(docs, model, with_ids=True)
 
 
 STAGES = [
