@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+SLICE_ROWS = 2048
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -38,7 +39,8 @@ def map_batches(
     """Run ``fn`` over column batches of ``df`` inside the tasks.
 
     Spark bounds a batch by bytes as well as rows, so a partition of very long texts does
-    not become one huge batch. ``fn`` gets and yields dicts of column lists.
+    not become one huge batch; it becomes Python objects in slices. ``fn`` gets and yields
+    dicts of column lists.
     """
     _importable(df.sparkSession)
     struct = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -46,7 +48,9 @@ def map_batches(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (
-            {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches
+            {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+            for b in batches
+            for part in (b.slice(at, SLICE_ROWS) for at in range(0, b.num_rows, SLICE_ROWS))
         )
         for out in fn(columns):
             yield pa.RecordBatch.from_arrays(
