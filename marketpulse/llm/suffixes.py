@@ -231,11 +231,10 @@ def _anchor_filter(source: DataFrame, s: Settings):
 def _window_filter(source: DataFrame, s: Settings, many) -> np.ndarray:
     """Bitmap of the slots that windows of crowded anchors fill twice."""
     shared = source.sparkSession.sparkContext.broadcast(many)
-    shift = np.uint64(64 - s.filter_bits)
 
     def keys(data):
         anchor, first, last = runs_of(data, s)
-        hot = np.isin((anchor >> shift).astype(np.int64), shared.value)
+        hot = np.isin(_slots(anchor, s), shared.value)
         return gram_hashes(data, s.width)[_windows(first[hot], last[hot])] if hot.any() else anchor[:0]
 
     return _bitmap(_seen_twice(source, s, keys, "windows"), s)
@@ -246,18 +245,23 @@ def _windows(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _slots(keys: np.ndarray, s: Settings) -> np.ndarray:
+    """Slots of 64-bit hashes. Anchors are least hashes, so their bits are spread first."""
+    spread = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (spread >> np.uint64(64 - s.filter_bits)).astype(np.int64)
+
+
 def _bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
 def _seen_twice(source: DataFrame, s: Settings, keys, name: str) -> DataFrame:
     """(slot, n) of the slots that the 64-bit ``keys`` of all texts fill more than once."""
-    shift = np.uint64(64 - s.filter_bits)
 
     def slots(batches):
         for batch in batches:
             found = [
-                keys(np.frombuffer(t.encode("utf-8"), np.uint8)) >> shift for t in batch["text"]
+                _slots(keys(np.frombuffer(t.encode("utf-8"), np.uint8)), s) for t in batch["text"]
             ]
             slot, n = np.unique(np.concatenate(found), return_counts=True) if found else ([], [])
             yield {"slot": np.asarray(slot, np.int64), "n": np.asarray(n, np.int64)}
@@ -347,7 +351,6 @@ def repeats(source: DataFrame, s: Settings) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast((bitmap, crowded, windows))
     mean = s.width + (s.width - GRAM) // 2
     buckets = max(1, n_runs * mean // s.bucket_bytes)
-    shift = np.uint64(64 - s.filter_bits)
 
     def open_runs(batches):
         seen, many, seen_windows = shared.value
@@ -356,7 +359,7 @@ def repeats(source: DataFrame, s: Settings) -> DataFrame:
             for doc_id, tie, text in zip(*(batch[c] for c in ("doc_id", "tie", "text")), strict=True):
                 raw = text.encode("utf-8")
                 anchor, first, last = runs_of(np.frombuffer(raw, np.uint8), s)
-                slot = (anchor >> shift).astype(np.int64)
+                slot = _slots(anchor, s)
                 twice, hot = _bit(seen, slot), np.isin(slot, many)
                 plain = twice & ~hot
                 for key, a, b in zip(
@@ -367,7 +370,7 @@ def repeats(source: DataFrame, s: Settings) -> DataFrame:
                 if hot.any():
                     each = _windows(first[hot], last[hot])
                     code = gram_hashes(np.frombuffer(raw, np.uint8), s.width)[each]
-                    again = _bit(seen_windows, (code >> shift).astype(np.int64))
+                    again = _bit(seen_windows, _slots(code, s))
                     for key, p in zip(code[again].tolist(), each[again].tolist(), strict=True):
                         fold.add(key, (doc_id, tie, p), raw[p : p + s.width])
                 if len(fold.kept) + len(fold.repeats) > fold.most:
