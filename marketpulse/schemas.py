@@ -22,17 +22,6 @@ SEVERITIES = ("LOW", "MED", "HIGH")
 ALERT_TYPES = ("SPIKE", "ARBITRAGE")
 WINDOW_TYPES = ("HOURLY", "DAILY", "MA_24H")
 
-# Reject and drop reasons.
-REJECT_REASONS = (
-    "missing_enum",
-    "bad_identifier",
-    "unknown_card",
-    "price_out_of_bounds",
-    "quantity_out_of_bounds",
-    "timestamp_out_of_window",
-)
-DROP_REASONS = ("unresolved_product", "bad_subtype", "missing_id")
-
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -75,11 +64,6 @@ LISTING = _struct(
     ("price", MONEY), ("quantity", _I), ("seller_id", _S), ("listed_at", _TS),
 )
 
-PRICE_UPDATE = _struct(
-    ("event_id", _S), ("source", _S), ("card_id", _S), ("finish", _S), ("condition", _S),
-    ("old_price", MONEY), ("new_price", MONEY), ("listing_id", _S), ("updated_at", _TS),
-)
-
 CARD_METADATA = _struct(
     ("card_id", _S), ("name", _S), ("set", _S), ("rarity", _S), ("game", _S), ("image_url", _S),
 )
@@ -90,12 +74,6 @@ PRICE_WINDOW = _struct(
     ("sample_count", _L),
 )
 
-ARBITRAGE_FLAG = _struct(
-    ("market_key", _S), ("card_id", _S), ("finish", _S), ("condition", _S), ("source", _S),
-    ("seller_id", _S), ("listing_price", MONEY), ("reference_avg", MONEY),
-    ("discount_pct", _D), ("sample_count", _L), ("detected_at", _TS),
-)
-
 ALERT = _struct(
     ("alert_id", _S), ("type", _S), ("severity", _S), ("card_id", _S), ("market_key", _S),
     ("name", _S), ("detail", _S), ("ts", _TS),
@@ -113,18 +91,6 @@ RUNNING_STATE = _struct(
     ("prior_sq_sum", PRICE_SQ_SUM),
 )
 
-WATCHLIST = _struct(("user_id", _S), ("card_id", _S), ("created_at", _TS))
-
-RAW_SALE = _struct(
-    ("event_id", _L), ("product_id", _L), ("sku_id", _L), ("sub_type_name", _S),
-    ("condition", _S), ("price_raw", _S), ("quantity", _I), ("sold_at", _TS),
-)
-
-RAW_LISTING = _struct(
-    ("event_id", _L), ("product_id", _L), ("sku_id", _L), ("sub_type_name", _S),
-    ("condition", _S), ("price_raw", _S), ("quantity", _I), ("seller_id", _S),
-    ("listed_at", _TS),
-)
 
 # Upstream page envelopes keep the feed's own field names.
 PRODUCT_PAGE = _struct(
