@@ -8,7 +8,7 @@ one, decoding can begin at any checkpoint.
 
 from __future__ import annotations
 
-import re
+import functools
 import zlib
 
 import numpy as np
@@ -20,46 +20,103 @@ from pyspark.sql import functions as F
 from marketpulse.llm.common import id_like, map_batches, shared_folder, stored, texts
 from marketpulse.llm.huffman import Code, code_lengths
 
-_WORD = re.compile("[^ \n]+")
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _core(word: str) -> tuple[str, ...]:
+    """A word without the signs at its end, and these; ASCII letters in lower case.
+
+    A sign after a letter or digit begins a token of its own, and the tokenizer lowers case
+    itself, so the parts have the ids of the word. Words that could hold a special token
+    stay whole.
+    """
+    if "<|" in word:
+        return (word,)
+    core = word.rstrip(_SIGNS)
+    if not core or not core[-1].isalnum():
+        return (word,)
+    tail = word[len(core) :]
+    core = core.lower() if core.isascii() else core
+    return (core, tail) if tail else (core,)
 
 
 class WordTokenizer:
     """A tokenizer that drops blanks and never joins across them, with words remembered.
 
-    Ids of texts are those of their words in turn, so each distinct word of a batch is
-    encoded once; ``cache`` bounds the words remembered.
+    Ids of texts are those of their words in turn, so each distinct word is encoded once
+    while it is remembered. ``cache`` bounds the words of a generation; words of the last
+    generation move on when they are met again.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = self._ids(["a b\nc", "a", "b", "c"])
-        if probe[0] != probe[1] + probe[2] + probe[3]:
+        probe = self._ids(["A1, b\nc", "a1", ",", "b", "c"])
+        if probe[0] != [i for ids in probe[1:] for i in ids]:
             raise ValueError("this tokenizer does not work word by word")
         self.cache = cache
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        mark = self._ids(["\0"])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def packed(self, texts_: list[str]) -> list[bytes]:
+    def _learn(self, words: list[str]) -> None:
+        """Encode words in lines of many.
+
+        Each word of letters ends with the one token of it that the vocabulary marks as a
+        word's end. Other words are parted by a character that none of them holds; what
+        neither can part is encoded word by word.
+        """
+        letters = [w for w in words if w.isalpha()] if self.last.any() else []
+        plain = [w for w in words if "\0" not in w and not w.isalpha()] if self.mark is not None else []
+        for group, gap in ((letters, " "), (plain, " \0 ")):
+            lines = [group[i : i + 500] for i in range(0, len(group), 500)]
+            for line, found in zip(lines, self._ids([gap.join(x) for x in lines]), strict=True):
+                if gap == " ":
+                    ids = np.array(found, "<u4")
+                    ends = np.flatnonzero(self.last[ids]) + 1
+                    starts = np.concatenate([[0], ends])
+                else:
+                    ids = np.array([*found, self.mark], "<u4")
+                    ends = np.flatnonzero(ids == self.mark)
+                    starts = np.concatenate([[0], ends + 1])
+                if len(ends) == len(line):
+                    data = ids.tobytes()
+                    for w, a, b in zip(line, (4 * starts).tolist(), (4 * ends).tolist()):
+                        self.known[w] = data[a:b]
+        rest = [w for w in words if w not in self.known]
+        for w, ids in zip(rest, self._ids(rest), strict=True):
+            self.known[w] = np.array(ids, "<u4").tobytes()
+
+    def packed(self, found: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > self.cache:
-            known.clear()
-        out = []
-        for start in range(0, len(texts_), 256):
-            split = [_WORD.findall(t) for t in texts_[start : start + 256]]
-            new = list({w for words in split for w in words if w not in known})
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for w, ids in zip(part, self._ids(part), strict=True):
-                    known[w] = np.array(ids, "<u4").tobytes()
-            out += [b"".join([known[w] for w in words]) for words in split]
-            if len(known) > 2 * self.cache:
-                known.clear()
-        return out
+        if len(self.known) > self.cache:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        split = [t.replace("\n", " ").split(" ") for t in found]
+        new = set().union(*split).difference(known)
+        for w in new.intersection(old):
+            known[w] = old[w]
+        split_words = {w: _core(w) for w in new.difference(old)}
+        cores = {part for parts in split_words.values() for part in parts}.difference(known)
+        self._learn(list(cores))
+        for w, parts in split_words.items():
+            if w not in known:
+                known[w] = b"".join([known[part] for part in parts])
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer per Python worker, which outlives its tasks."""
+    return WordTokenizer(path)
 
 
 def tokenized(
@@ -68,16 +125,17 @@ def tokenized(
     """(doc_id, n_tokens, ids): compressed ids of every row's text, with the end id."""
 
     def run(batches):
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         pack = zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            full = [ids + end for ids in tokenizer.packed(batch["text"])]
-            yield {
-                "doc_id": batch["doc_id"],
-                "n_tokens": [len(ids) // 4 for ids in full],
-                "ids": [pack.compress(_planes(ids)) for ids in full],
-            }
+            for at in range(0, len(batch["doc_id"]), 256):
+                full = [ids + end for ids in tokenizer.packed(batch["text"][at : at + 256])]
+                yield {
+                    "doc_id": batch["doc_id"][at : at + 256],
+                    "n_tokens": [len(ids) // 4 for ids in full],
+                    "ids": [pack.compress(_planes(ids)) for ids in full],
+                }
 
     source = texts(df, id_col, text_col)
     return map_batches(source, run, f"doc_id {id_like(source)}, n_tokens long, ids binary")
@@ -122,7 +180,7 @@ def write_token_files(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_ids: int = 1 << 17,
+    block_ids: int = 1 << 19,
     file_ids: int = 1 << 24,
 ) -> None:
     """Tokenize every row's text and write the ids in ascending id order.
