@@ -13,8 +13,8 @@ join therefore finds its pivots from the texts themselves, in three steps:
 3. The other regions are joined exactly. A region too large for one task is cut into rings by
    distance from its pivot. By the triangle inequality, linked sets lie in rings at most the
    threshold apart, so a ring is joined with itself and those inside its window only; and
-   rings linked to the pivot need not be joined with each other. Rings are cut further into
-   blocks, and blocks are joined with blocks.
+   rings linked to the pivot need not be joined with each other, as their links to the pivot
+   are kept. Rings are cut further into blocks, and blocks are joined with blocks.
 
 Copies of one word sequence are folded before all of this.
 """
@@ -229,10 +229,11 @@ def block_links(ids: list, labels: list, sets: list[np.ndarray], s: Settings) ->
     return out
 
 
-def _blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(task, x, label) for the regions left: whole, or as pairs of ring blocks.
+def _blocks(members: DataFrame, sets: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(task, x, label) for the regions left, whole or as pairs of ring blocks; links (a, b).
 
-    ``members`` has (p, x, n, label).
+    ``members`` has (p, x, n, label). The links are those between a large region's sets and
+    its pivot. Sets on them have the pivot's label, and no task looks for them again.
     """
     region = members.groupBy("p").agg(F.sum("n").alias("weight"))
     sized = stored(members.join(region, "p"), "regions")
@@ -241,8 +242,13 @@ def _blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     )
     large = sized.filter(F.col("weight") > s.task_shingles)
     far = stored(_distances(large.select("x", "p"), sets, s), "rings")
-    ringed = large.join(far.select("x", "p", "ring", "linked"), ["x", "p"]).withColumn(
-        "ring", F.col("ring") * 2 + F.when(F.col("linked"), 0).otherwise(1)
+    hung = far.filter("linked AND x <> p").select(F.col("x").alias("a"), F.col("p").alias("b"))
+    centre = large.filter("x = p").select("p", F.col("label").alias("centre"))
+    ringed = (
+        large.join(far.select("x", "p", "ring", "linked"), ["x", "p"])
+        .join(centre, "p")
+        .withColumn("label", F.when(F.col("linked"), F.col("centre")).otherwise(F.col("label")))
+        .withColumn("ring", F.col("ring") * 2 + F.when(F.col("linked"), 0).otherwise(1))
     )
     rings = ringed.groupBy("p", "ring").agg(
         F.ceil(F.sum("n") * 2 / s.task_shingles).cast("int").alias("blocks")
@@ -271,14 +277,14 @@ def _blocks(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     sides = pairs.select(task, "p", "ring", F.col("i").alias("k")).union(
         pairs.select(task, "p", F.col("other").alias("ring"), F.col("j").alias("k"))
     ).distinct()
-    return whole.union(cut.join(sides, ["p", "ring", "k"]).select("task", "x", "label"))
+    return whole.union(cut.join(sides, ["p", "ring", "k"]).select("task", "x", "label")), hung
 
 
 def _region_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     kind = id_like(sets)
+    blocks, hung = _blocks(members, sets, s)
     tasks = (
-        _blocks(members, sets, s)
-        .join(sets.select(F.col("doc_id").alias("x"), "hashes"), "x")
+        blocks.join(sets.select(F.col("doc_id").alias("x"), "hashes"), "x")
         .select("task.p", "task.i", "task.j", "x", "label", "hashes")
     )
 
@@ -301,7 +307,7 @@ def _region_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame
 
     key = ["p", "i", "j"]
     ordered = tasks.repartition(*key).sortWithinPartitions(*key)
-    return map_batches(ordered, run, f"a {kind}, b {kind}")
+    return map_batches(ordered, run, f"a {kind}, b {kind}").union(hung)
 
 
 def similar_groups(

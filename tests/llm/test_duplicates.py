@@ -63,6 +63,26 @@ def test_groups_without_broadcast(docs, monkeypatch):
     assert got == brute_groups(found, jaccard.Settings())
 
 
+def test_a_large_regions_links_to_its_pivot_are_kept(docs):
+    """The last text's first pivot shares a passage with it only and is linked with nothing."""
+    s = jaccard.Settings(num=60, task_shingles=500)
+    base = [f"w{i}" for i in range(120)]
+    copies = [" ".join([*base[:i], f"c{i}", *base[i + 1 :]]) for i in range(10, 50, 4)]
+    passage = [f"p{i}" for i in range(24)]
+    variant = " ".join([*base[:60], *passage, *base[84:]])
+    other = " ".join([*passage, *(f"o{i}" for i in range(96))])
+    found = [other, " ".join(base), *copies, variant]
+
+    first, *group, last = (
+        set(jaccard.parts_of(jaccard.shingle_hashes(t.encode().split(), 4, jaccard._Hashes()), s))
+        for t in found
+    )
+    assert first & last and last & group[0] and not any(first & x for x in group)
+    want = brute_groups(found, s)
+    assert [r[2] for r in want] == [0] + [1] * (len(found) - 1)
+    assert sorted(tuple(r) for r in jaccard.similar_groups(docs(*found), s).collect()) == want
+
+
 def test_linked_sets_share_a_part():
     rng = np.random.default_rng(1)
     s = jaccard.Settings()
