@@ -2,8 +2,9 @@
 
 A text is compressed whole and in fixed chunks. Its ratio (bytes before over bytes after)
 must lie between two limits that depend on its length: text that repeats itself compresses
-too well, noise hardly at all. A chunk is held to the limits of its own length, so a long
-clean text with one repetitive or random stretch is found as well.
+too well, noise hardly at all. A chunk is held to the limits of its own length, and one
+outside them is enough, so a long clean text is found as well if a repetitive or random
+stretch fills one of its chunks.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ class Bands:
 
     ``limits`` holds (bytes up to, least ratio, greatest ratio), by length. The least ratio
     of short texts is below one because the frame header counts. ``bad_chunks`` is the share
-    of chunks outside their limits from which a text is rejected.
+    of chunks outside their limits from which a text is rejected; at zero, one such chunk is
+    enough in a text of any length.
     """
 
     level: int = 3
     chunk_bytes: int = 8192
-    bad_chunks: float = 0.5
+    bad_chunks: float = 0.0
     limits: tuple[tuple[float, float, float], ...] = (
         (64, 0.0, 2.0),
         (256, 0.80, 2.2),

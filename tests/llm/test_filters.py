@@ -176,3 +176,18 @@ def test_secrets_of_odd_rows(odd, none):
     formats = secrets.formats_of({}, secrets.Settings())
     kept = secrets.redact(odd, formats)
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, odd.collect()))
+
+
+def test_one_bad_chunk_in_a_long_clean_text(docs):
+    rng = random.Random(5)
+    letters = "etaoinshrdlu"
+    words = ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choices(words, k=20_000))
+    size = quality_rules.Bands().chunk_bytes
+    noise = "".join(chr(rng.randint(33, 126)) for _ in range(size))
+    again = ("the same line once again\n" * size)[:size]
+    parts = [prose[i : i + size] for i in range(0, 8 * size, size)]
+    found = ["".join(parts)] + ["".join([*parts[:3], x, *parts[4:]]) for x in (noise, again)]
+    rows = quality_rules.compression_bands(docs(*found)).collect()
+    got = {r.doc_id: (r.n_chunks, r.bad_chunks, r.base_failed, r.kept) for r in rows}
+    assert got == {0: (8, 0, False, True), 1: (8, 1, False, False), 2: (8, 1, False, False)}
