@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketpulse.llm.common import crc_mod, map_batches, texts
+from marketpulse.llm.common import crc_mod, map_batches, stored, texts
 
 
 def sample(
@@ -21,18 +21,27 @@ def sample(
 ) -> DataFrame:
     """Up to ``max_rows`` labelled rows outside the held-out fold, as (doc_id, text, label).
 
-    Rows are taken in the order of a hash of their id, so the sample does not depend on
-    partitioning. Rows without an id or a label teach nothing.
+    Distinct documents are joined with their labels first, so the bound holds for the rows
+    learned from: a repeated id cannot exceed it, and labels without a document do not use it
+    up. Rows are taken in the order of a hash, so the sample does not depend on partitioning;
+    texts are read for the rows taken only. Rows without an id or a label teach nothing.
     """
-    picked = (
+    given = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
         .filter("_id IS NOT NULL AND label IN (0, 1)")
         .filter(crc_mod("_id", modulus) != held_out)
-        .orderBy(F.xxhash64("_id"), "_id", "label")
+        .distinct()
+    )
+    found = texts(docs, id_col, text_col).withColumn("_digest", F.md5(F.col("text").cast("binary")))
+    keys = found.select("doc_id", "_digest").distinct()
+    picked = (
+        keys.join(given, keys.doc_id == given._id)
+        .select("_id", F.col("_digest").alias("_taken"), "label")
+        .orderBy(F.xxhash64("_id", "_taken"), "_id", "_taken", "label")
         .limit(max_rows)
     )
-    found = texts(docs, id_col, text_col)
-    return found.join(picked, found.doc_id == picked._id).select("doc_id", "text", "label")
+    rows = found.join(picked, (found.doc_id == picked._id) & (found._digest == picked._taken))
+    return stored(rows.select("doc_id", "text", "label").distinct(), "sample")
 
 
 def matrix_sum(df: DataFrame, add, shape: tuple[int, int], block_rows: int = 1024) -> np.ndarray:

@@ -28,6 +28,17 @@ def test_held_out_accuracy(spark, name, label, modulus, rest, least):
     assert np.mean(judged) >= least
 
 
+def test_sample_bounds_the_rows_learned_from(spark):
+    rows = [(i, f"text {i}") for i in range(50)] + [(7, f"more {i % 200}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = range(1000, 3000)
+    labels = spark.createDataFrame([(i, i % 2) for i in (*range(50), *gone)], "doc_id long, y int")
+    for most, want in ((20, 20), (100, 100), (5000, 250)):
+        got = [tuple(r) for r in labelled.sample(docs, labels, "y", 5, -1, most).collect()]
+        assert len(got) == len(set(got)) == want
+        assert {r[:2] for r in got} <= set(rows) and all(r[2] == r[0] % 2 for r in got)
+
+
 def test_disguises_fold_to_the_same_word():
     for text in ("M0ron", "mörön", "mоron", "ＭＯＲＯＮ", "m0r0n!"):  # noqa: RUF001
         assert "moron" in toxicity.folded(text)
