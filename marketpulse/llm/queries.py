@@ -15,6 +15,7 @@ from marketpulse.llm import (
     suffixes,
     token_files,
     toxicity,
+    variants,
 )
 from marketpulse.llm.registry import query, table
 
@@ -168,3 +169,74 @@ def op6(spark, sf_dir):
 @query("op10_suffixes")
 def op10(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: crc32 of a text in SQL: one table look-up per byte.
+CRC32_SQL = r"""
+table_bits AS (
+  SELECT i, 0 AS step, CAST(i AS UBIGINT) AS v FROM range(256) t(i)
+  UNION ALL SELECT i, step + 1,
+    CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END
+  FROM table_bits WHERE step < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS entry FROM table_bits WHERE step = 8)"""
+
+
+def _crc32_sql(text: str) -> str:
+    return (
+        "xor(list_reduce(list_transform(regexp_extract_all(hex(encode("
+        + text
+        + ")), '..'), lambda h: CAST('0x' || h AS UBIGINT)), lambda c, b: "
+        "xor(c >> 8, entry[CAST(xor(c & 255, b) AS BIGINT) + 1]), 4294967295::UBIGINT), "
+        "4294967295::UBIGINT)"
+    )
+
+
+VARIANTS_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+    FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (
+  SELECT run, n, {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")} AS h
+  FROM runs, crc_table),
+cut AS (
+  SELECT n, CASE WHEN h % 31 <> 0 THEN run ELSE
+    substr(run, 1, CAST(h % length(run) AS BIGINT)) ||
+    substr(run, CAST(h % length(run) AS BIGINT) + 2) END AS word FROM hashed),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut GROUP BY word
+  HAVING length(word) >= 7 AND sum(n) >= 2),
+shorter AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n AS n_b
+  FROM shorter a JOIN shorter b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.rest = w.word),
+near AS (
+  SELECT a AS word, count(*) AS n_near, max(n_b) AS top FROM pairs GROUP BY a),
+best AS (
+  SELECT p.a AS word, min(p.b) AS form FROM pairs p JOIN near x ON p.a = x.word
+  WHERE p.n_b = x.top GROUP BY p.a),
+formed AS (
+  SELECT w.word, w.n, coalesce(x.n_near, 0) AS n_near,
+    CASE WHEN x.top >= 10 * w.n THEN b.form END AS form,
+    CASE WHEN x.top >= 10 * w.n THEN x.top END AS form_n
+  FROM words w LEFT JOIN near x USING (word) LEFT JOIN best b USING (word)),
+chain AS (
+  SELECT word, word AS root, 0 AS step FROM formed
+  UNION ALL SELECT c.word, f.form, c.step + 1 FROM chain c JOIN formed f ON f.word = c.root
+  WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word) r
+USING (word)
+"""
+
+
+@query("op11_spelling_variants", VARIANTS_SQL)
+def op11(spark, sf_dir):
+    words = variants.word_counts(table(spark, sf_dir, "documents"), misspell_every=31)
+    return variants.spelling_variants(words)
