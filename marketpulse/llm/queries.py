@@ -8,6 +8,7 @@ from marketpulse.llm import (
     chat,
     decontaminate,
     jaccard,
+    minhash,
     quality_model,
     quality_rules,
     secrets,
@@ -240,3 +241,16 @@ USING (word)
 def op11(spark, sf_dir):
     words = variants.word_counts(table(spark, sf_dir, "documents"), misspell_every=31)
     return variants.spelling_variants(words)
+
+
+#: The links and components of the Jaccard join, on shingles of three words.
+MINHASH_SQL = (
+    JACCARD_SQL.replace("least(4, len(w))", "least(3, len(w))")
+    .replace("greatest(len(w) - 3, 1)", "greatest(len(w) - 2, 1)")
+    .replace("c.component_id\nFROM documents", "c.component_id,\n  d.doc_id = c.component_id AS kept\nFROM documents")
+)
+
+
+@query("op13_minhash", MINHASH_SQL)
+def op13(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
