@@ -36,6 +36,8 @@ _STRIP = 256
 #: Words up to this length are verified as rows of one matrix.
 _WIDE = 48
 _COMBO_BITS = 4
+#: Candidates of a task that are verified at once.
+_VERIFY = 50_000
 
 
 @dataclass(frozen=True)
@@ -124,11 +126,15 @@ def letter_groups(words: DataFrame, groups: int) -> np.ndarray:
     return out
 
 
-def _keyed(words: DataFrame, group: np.ndarray, s: Settings) -> DataFrame:
+def group_weights(group: np.ndarray, groups: int) -> np.ndarray:
+    """Random weights by letter and group; letter counts times these are a hash per group."""
+    weights = np.random.default_rng(7).integers(1, 1 << 62, LETTERS, np.int64)
+    return np.where(group[:, None] == np.arange(groups), weights[:, None], 0)
+
+
+def _keyed(words: DataFrame, by_group: np.ndarray, s: Settings) -> DataFrame:
     """(key, word, n): a word once per choice of groups; the low bits tell the choice."""
     combos = s.combos
-    weights = np.random.default_rng(7).integers(1, 1 << 62, LETTERS, np.int64)
-    by_group = np.where(group[:, None] == np.arange(s.groups), weights[:, None], 0)
     schema = T._parse_datatype_string("key long, word string, n long")
     arrow = to_arrow_schema(schema)
 
@@ -219,7 +225,7 @@ def _strips(block: np.ndarray, size: np.ndarray) -> Iterator[tuple[slice, slice]
 
 def block_pairs(
     words: list[str], block: np.ndarray, tile: np.ndarray, split: np.ndarray, choice: np.ndarray,
-    combos: list[tuple[int, ...]], group: np.ndarray,
+    combos: list[tuple[int, ...]], by_group: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of words one edit apart in rows sorted by block and length.
 
@@ -233,7 +239,18 @@ def block_pairs(
     one = np.ones_like(half)
     # Products of these rows are minus half the squared distance.
     row, col = np.hstack([x, half, one]), np.hstack([x, one, half])
-    lefts, rights = [], []
+    sums = counts @ by_group
+    held, rows, out = [], 0, [np.empty((2, 0), np.int64)]
+
+    def verified() -> np.ndarray:
+        left, right = np.concatenate(held, axis=1)
+        same = sums[left] == sums[right]
+        clean = np.stack([same[:, list(c)].all(axis=1) for c in combos], axis=1)
+        own = clean.argmax(axis=1) == choice[left]
+        left, right = left[own], right[own]
+        near = _edits(words, size, letters, left, right)
+        return np.stack([left[near], right[near]])
+
     for a, b in _strips(block, size):
         product = row[a] @ col[b].T
         i, j = np.nonzero((product > -1.25) & (product < -0.25))
@@ -243,27 +260,24 @@ def block_pairs(
         fine = (block[i] == block[j]) & (twice == np.where(gap == 0, 2, 1))
         fine &= (gap == 1) | ((gap == 0) & (i < j)) if a == b else (gap >= 0) & (gap <= 1)
         fine &= ~split[i] | (tile[i] != tile[j])
-        lefts.append(i[fine])
-        rights.append(j[fine])
-    left, right = np.concatenate(lefts), np.concatenate(rights)
-    differ = counts[left] != counts[right]
-    touched = np.stack([differ[:, group == g].any(axis=1) for g in range(group.max() + 1)], axis=1)
-    clean = np.stack([~touched[:, list(c)].any(axis=1) for c in combos], axis=1)
-    own = clean.argmax(axis=1) == choice[left]
-    left, right = left[own], right[own]
-    near = _edits(words, size, letters, left, right)
-    return left[near], right[near]
+        held.append(np.stack([i[fine], j[fine]]))
+        rows += len(held[-1][0])
+        if rows > _VERIFY:
+            out.append(verified())
+            held, rows = [], 0
+    if rows:
+        out.append(verified())
+    return tuple(np.concatenate(out, axis=1))
 
 
 def near_pairs(words: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(a, n_a, b, n_b): each pair of words of ``words`` (word, n) one edit apart, once."""
     s = settings or Settings()
-    group = letter_groups(words, s.groups)
-    group = np.where(group >= s.groups, 0, group)
+    by_group = group_weights(letter_groups(words, s.groups), s.groups)
     combos = s.combos
     key = ["key", "i", "j"]
     tasks = (
-        _tiles(_keyed(words, group, s), s)
+        _tiles(_keyed(words, by_group, s), s)
         .repartition(*key)
         .sortWithinPartitions(*key, "size")
         .select("key", "i", "j", "tile", "word", "n")
@@ -277,7 +291,7 @@ def near_pairs(words: DataFrame, settings: Settings | None = None) -> DataFrame:
         new = np.ones(len(words), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         choice = keys & ((1 << _COMBO_BITS) - 1)
-        left, right = block_pairs(words, np.cumsum(new), tile, i != j, choice, combos, group)
+        left, right = block_pairs(words, np.cumsum(new), tile, i != j, choice, combos, by_group)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([words[k] for k in left], pa.string()), pa.array(n[left]),
