@@ -8,12 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SLICE_ROWS = 2048
+#: Tasks over which the rows of one hot key are dealt.
+SALTS = 8
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -139,6 +141,20 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def salt(column: str, salts):
+    """A number below ``salts``, a number or column, from a hash of ``column``."""
+    return F.pmod(F.xxhash64(column), salts if isinstance(salts, Column) else F.lit(salts)).cast("int")
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str) -> DataFrame:
+    """Join ``rows`` with the one row per key of ``small``; rows of a key are dealt over tasks.
+
+    Rows go by a hash of their column ``by``, and ``small`` is repeated for each task.
+    """
+    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt(by, SALTS)).join(copies, [key, "salt"], how).drop("salt")
+
+
 def hex_digest(text: str | bytes) -> str:
     data = text if isinstance(text, bytes) else text.encode("utf-8")
     return hashlib.sha256(data).hexdigest()

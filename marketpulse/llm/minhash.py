@@ -28,12 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.llm import jaccard
-from marketpulse.llm.common import id_like, map_batches, map_rows, stored, texts
+from marketpulse.llm.common import id_like, map_batches, map_rows, salt, salted_join, stored, texts
 from marketpulse.llm.graph import components
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Tasks over which the rows of one hot bucket or group of copies are dealt.
-SALTS = 8
 #: Edges of one star centre in a task.
 STAR_ROWS = 1000
 #: Ids are broadcast up to this number, 32 MB of hash table at most.
@@ -131,17 +129,6 @@ def _prepared(source: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def _salt(column: str, salts=SALTS):
-    return F.pmod(F.xxhash64(column), F.lit(salts) if isinstance(salts, int) else salts)
-
-
-def _salted_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str) -> DataFrame:
-    """Join ``rows`` with one row per key of ``small``, each key's rows dealt over tasks."""
-    copies = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("salt", _salt(by).cast("int"))
-    return dealt.join(copies, [key, "salt"], how).drop("salt")
-
-
 def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Star edges (x, c, salts) of all buckets, and rows (key, x, n) of those above two.
 
@@ -156,7 +143,7 @@ def _members(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     two = buckets.filter("size = 2").select(F.col("most").alias("x"), "c", F.lit(1).alias("salts"))
     salts = F.ceil(F.col("size") / STAR_ROWS).cast("int").alias("salts")
     many = buckets.filter("size > 2").select("key", "c", salts)
-    members = stored(_salted_join(rows, many, "key", "x", "inner"), "members")
+    members = stored(salted_join(rows, many, "key", "x", "inner"), "members")
     return two.union(members.filter("x <> c").select("x", "c", "salts")), members
 
 
@@ -165,7 +152,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     kind, exact = id_like(sets), s.exact
     pairs = edges.groupBy("x", "c").agg(F.max("salts").alias("salts"))
     dealt = stored(
-        pairs.select("x", "c", _salt("x", F.col("salts")).cast("int").alias("salt")), "stars"
+        pairs.select("x", "c", salt("x", F.col("salts")).cast("int").alias("salt")), "stars"
     )
     own = dealt.join(sets.select(F.col("doc_id").alias("x"), F.col("hashes").alias("hx")), "x")
     centres = (
@@ -215,7 +202,7 @@ def _open_tasks(members: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
     step = math.log(100 / s.percent) * 1.0001
     ring = F.floor(F.log("n") / step).cast("int")
     rows = stored(
-        _salted_join(labelled, open_, "key", "x", "inner").select(
+        salted_join(labelled, open_, "key", "x", "inner").select(
             "key", "x", "n", "label", F.explode(F.array(ring, ring - 1)).alias("ring")
         ),
         "open",
@@ -233,7 +220,7 @@ def _open_tasks(members: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
             .alias("blocks"),
         )
     )
-    block = _salt("x", F.col("blocks")).cast("int")
+    block = salt("x", F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     return (
         rows.join(sizes, ["key", "ring"])
@@ -341,7 +328,7 @@ def near_duplicates(
         "copy", F.coalesce("label", "rep").alias("label"), "copies", "rep"
     )
     moved = named.filter("copies > 1 OR label <> rep").select("copy", "label")
-    placed = _salted_join(prepared.select("doc_id", "n", "copy"), moved, "copy", "doc_id", "left")
+    placed = salted_join(prepared.select("doc_id", "n", "copy"), moved, "copy", "doc_id", "left")
     usable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     component = F.when(usable, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
     return placed.select(

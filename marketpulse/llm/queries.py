@@ -16,6 +16,7 @@ from marketpulse.llm import (
     suffixes,
     token_files,
     toxicity,
+    tries,
     variants,
 )
 from marketpulse.llm.registry import query, table
@@ -243,6 +244,57 @@ def op11(spark, sf_dir):
     return variants.spelling_variants(words)
 
 
+TRIE_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT i.conv_id, 0 AS part, t.pos, t.role, t.text
+  FROM ids i JOIN turns t ON t.conv_id = i.base AND t.pos <= i.h
+  UNION ALL SELECT i.conv_id, 1, t.pos, t.role, t.text
+  FROM ids i JOIN turns t ON t.conv_id = i.conv_id AND t.pos > i.h),
+paths AS (
+  SELECT i.conv_id, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY part, pos)
+      FILTER (part IS NOT NULL), []) AS path,
+    list(length(text) ORDER BY part, pos) AS chars
+  FROM ids i LEFT JOIN rebuilt r ON r.conv_id = i.conv_id GROUP BY i.conv_id),
+members AS (
+  SELECT conv_id, depth, path[1:depth] AS node, len(path) = depth AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE chars[depth] END AS chars
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM paths)),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(chars) AS saves,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), ''))
+      AS ends_sha256
+  FROM members GROUP BY node, depth),
+children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+subtrees AS (
+  SELECT node[1:d] AS node, count(*) FILTER (leaf) AS n_leaves, sum(saves) AS saved_tokens
+  FROM (SELECT n.node, n.saves, c.node IS NULL AS leaf, unnest(range(0, depth + 1)) AS d
+        FROM nodes n LEFT JOIN children c ON c.node = n.node) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
+  coalesce(c.n_children, 0) AS n_children, s.n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN subtrees s ON s.node = n.node LEFT JOIN children c ON c.node = n.node
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.node[1:n.depth - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations")
+    turns = tries.with_common_beginning(tries.ordered_turns(given))
+    return tries.prefix_trie(turns, given)
+
+
 #: The links and components of the Jaccard join, on shingles of three words.
 MINHASH_SQL = (
     JACCARD_SQL.replace("least(4, len(w))", "least(3, len(w))")
