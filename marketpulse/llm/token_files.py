@@ -9,53 +9,71 @@ one, decoding can begin at any checkpoint.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from marketpulse.llm.common import id_like, map_batches, shared_folder, stored, texts
 from marketpulse.llm.huffman import Code, code_lengths
 
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A last character that the tokenizer takes for a letter or digit, whatever it does before.
+#: It composes and lowers case first: beyond ASCII these are Latin letters whose lower case is
+#: one letter too. Others may end in a mark, which makes one token with a sign after it.
+_LETTER_LAST = (
+    "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u024f]\\z"
+)
+#: Words longer than this are encoded anew each time.
+_KEPT_CHARS = 64
+#: Text and words of one step; bounds what a step holds beside the text itself.
+_STEP_BYTES, _STEP_WORDS = 16 << 20, 1 << 20
 
 
-def _core(word: str) -> tuple[str, ...]:
-    """A word without the signs at its end, and these; ASCII letters in lower case.
+def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words without the signs at their end, and these; ASCII words in lower case.
 
     A sign after a letter or digit begins a token of its own, and the tokenizer lowers case
     itself, so the parts have the ids of the word. Words that could hold a special token
     stay whole.
     """
-    if "<|" in word:
-        return (word,)
-    core = word.rstrip(_SIGNS)
-    if not core or not core[-1].isalnum():
-        return (word,)
-    tail = word[len(core) :]
-    core = core.lower() if core.isascii() else core
-    return (core, tail) if tail else (core,)
+    core = pc.utf8_rtrim(words, _SIGNS)
+    cut = pc.and_(
+        pc.match_substring_regex(core, _LETTER_LAST),
+        pc.invert(pc.match_substring(words, "<|")),
+    )
+    signs = pc.struct_field(pc.extract_regex(words, f"(?P<tail>[{re.escape(_SIGNS)}]*)\\z"), [0])
+    tail = pc.if_else(cut, signs, pa.scalar("", words.type))
+    core = pc.if_else(cut, core, words)
+    core = pc.if_else(pc.and_(cut, pc.string_is_ascii(core)), pc.ascii_lower(core), core)
+    return core, tail
 
 
 class WordTokenizer:
     """A tokenizer that drops blanks and never joins across them, with words remembered.
 
     Ids of texts are those of their words in turn, so each distinct word is encoded once
-    while it is remembered. ``cache`` bounds the words of a generation; words of the last
-    generation move on when they are met again.
+    while it is remembered. A generation takes the words of a step until it holds ``cache``
+    bytes; words of the last generation move on when they are met again.
     """
 
-    def __init__(self, path: str, cache: int = 700_000):
+    def __init__(self, path: str, cache: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         probe = self._ids(["A1, b\nc", "a1", ",", "b", "c"])
         if probe[0] != [i for ids in probe[1:] for i in ids]:
             raise ValueError("this tokenizer does not work word by word")
-        self.cache = cache
+        self.cache, self.held = cache, 0
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -67,13 +85,14 @@ class WordTokenizer:
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Encode words in lines of many.
 
         Each word of letters ends with the one token of it that the vocabulary marks as a
         word's end. Other words are parted by a character that none of them holds; what
         neither can part is encoded word by word.
         """
+        out = {}
         letters = [w for w in words if w.isalpha()] if self.last.any() else []
         plain = [w for w in words if "\0" not in w and not w.isalpha()] if self.mark is not None else []
         for group, gap in ((letters, " "), (plain, " \0 ")):
@@ -90,27 +109,51 @@ class WordTokenizer:
                 if len(ends) == len(line):
                     data = ids.tobytes()
                     for w, a, b in zip(line, (4 * starts).tolist(), (4 * ends).tolist()):
-                        self.known[w] = data[a:b]
-        rest = [w for w in words if w not in self.known]
+                        out[w] = data[a:b]
+        rest = [w for w in words if w not in out]
         for w, ids in zip(rest, self._ids(rest), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
-
-    def packed(self, found: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.cache:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        split = [t.replace("\n", " ").split(" ") for t in found]
-        new = set().union(*split).difference(known)
-        for w in new.intersection(old):
-            known[w] = old[w]
-        split_words = {w: _core(w) for w in new.difference(old)}
-        cores = {part for parts in split_words.values() for part in parts}.difference(known)
-        self._learn(list(cores))
-        for w, parts in split_words.items():
-            if w not in known:
-                known[w] = b"".join([known[part] for part in parts])
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            out[w] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, as little-endian unsigned 32-bit integers."""
+        old, out = self.old, list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(out) if ids is None]
+        fresh = self._learn([words[k] for k in missing if words[k] not in old])
+        kept = {}
+        for k in missing:
+            word = words[k]
+            ids = out[k] = fresh[word] if word in fresh else old[word]
+            if len(word) <= _KEPT_CHARS:
+                kept[word] = ids
+        self.known |= kept
+        self.held += 200 * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))
+        if self.held > self.cache:
+            self.old, self.known, self.held = self.known, {}, 0
+        return out
+
+    def packed(self, found: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string array. Words are told apart for all texts at once."""
+        split = pc.split_pattern(pc.replace_substring(found, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        core, tail = _parts(coded.dictionary)
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        ids = self.of_words(both.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        part_of = both.indices.to_numpy().reshape(2, -1)
+        word, parts = coded.indices.to_numpy(), []
+        for at in range(0, len(word), _STEP_WORDS):
+            own = part_of[:, word[at : at + _STEP_WORDS]].T.ravel()
+            n = sizes[own]
+            shift = np.repeat(starts[own] - (np.cumsum(n) - n), n)
+            parts.append(flat[shift + np.arange(len(shift))])
+        whole = np.concatenate(parts) if parts else flat
+        of_word = sizes[part_of].sum(axis=0)
+        upto = np.concatenate([[0], np.cumsum(of_word[word])])
+        bounds = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield whole[a:b]
 
 
 @functools.lru_cache(maxsize=1)
@@ -124,21 +167,38 @@ def tokenized(
 ) -> DataFrame:
     """(doc_id, n_tokens, ids): compressed ids of every row's text, with the end id."""
 
-    def run(batches):
+    source = texts(df, id_col, text_col)
+    schema = T._parse_datatype_string(f"doc_id {id_like(source)}, n_tokens long, ids binary")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
         pack = zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for batch in batches:
-            for at in range(0, len(batch["doc_id"]), 256):
-                full = [ids + end for ids in tokenizer.packed(batch["text"][at : at + 256])]
-                yield {
-                    "doc_id": batch["doc_id"][at : at + 256],
-                    "n_tokens": [len(ids) // 4 for ids in full],
-                    "ids": [pack.compress(_planes(ids)) for ids in full],
-                }
-
-    source = texts(df, id_col, text_col)
-    return map_batches(source, run, f"doc_id {id_like(source)}, n_tokens long, ids binary")
+            for part in _steps(batch):
+                sizes, packed = [], []
+                for ids in tokenizer.packed(part.column(1)):
+                    full = np.concatenate([ids, end])
+                    sizes.append(len(full))
+                    packed.append(pack.compress(_planes(full.tobytes())))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())],
+                    schema=arrow,
+                )
+
+    return source.mapInArrow(run, schema)
+
+
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded amount of text, or one row."""
+    size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        done = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + _STEP_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _planes(ids: bytes) -> bytes:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -175,6 +176,48 @@ def test_token_files_equal_the_library(spark, small):
         start += len(ids)
 
 
+def _odd_words(rng):
+    """Words of letters that the tokenizer composes, lowers or splits, with signs around."""
+    letters = (
+        "abzAZéÉßñçİıŉǰŸĀªº²½×αΩΣςжЖकषि\u094dाதமி가각日あ\u3099ﬁ①Ⅷ％，．１Ａ"
+        "\u0338\u0301\u0307\u0308\u200d\u00ad\t\r\0\x85\u3000😀01"
+    )
+    signs = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
+    fixed = ["Vadi", "İ.", "<|endoftext|>", "a<|endoftext|>.", "don't", "I'll.", "½.", "i\u0307."]
+    if rng.random() < 0.2:
+        return rng.choice(fixed)
+    parts = (rng.choices(signs, k=rng.choice([0, 0, 1])), rng.choices(letters, k=rng.randint(0, 5)))
+    return "".join([*parts[0], *parts[1], *rng.choices(signs, k=rng.choice([0, 1, 1, 3]))])
+
+
+def test_words_of_all_scripts_equal_the_library():
+    rng, library = random.Random(8), Tokenizer.from_file(WORDS)
+    found = [
+        rng.choice([" ", "\n", "  "]).join(_odd_words(rng) for _ in range(rng.randint(1, 9)))
+        for _ in range(5000)
+    ]
+    want = library.encode_batch(found, add_special_tokens=False)
+    words = token_files.WordTokenizer(WORDS, cache=100_000)  # several generations
+    for at in range(0, len(found), 250):
+        got = words.packed(pa.array(found[at : at + 250]))
+        for text, ids, w in zip(found[at:], got, want[at:]):
+            assert ids.tolist() == w.ids, repr(text)
+    assert words.old
+
+
+def test_token_steps_are_bounded(monkeypatch):
+    """Texts are cut into steps by size; a text larger than a step is one of its own."""
+    monkeypatch.setattr(token_files, "_STEP_BYTES", 100)
+    monkeypatch.setattr(token_files, "_STEP_WORDS", 3)
+    found = ["a b c d e f g h", "x" * 300, "", "one two", "y " * 70]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(found)], names=["i", "t"])
+    steps = list(token_files._steps(batch))
+    assert [x for s in steps for x in s.column(1).to_pylist()] == found and len(steps) > 2
+    words, library = token_files.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    got = [ids.tolist() for s in steps for ids in words.packed(s.column(1))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in found]
+
+
 def test_token_files_in_blocks_and_parts(spark, small, tmp_path):
     frame = spark.createDataFrame(small, "doc_id long, text string").repartition(5)
     token_files.write_token_files(frame, str(tmp_path), WORDS, 2, block_ids=500, file_ids=20_000)
