@@ -12,6 +12,7 @@ run. Texts are cut there and the chunks' codes are kept in a bounded cache.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 
@@ -49,7 +50,11 @@ def model_pieces(path: str) -> list[tuple[str, float, int]]:
 
 
 class PieceCodec:
-    """Encoder and decoder of one model; ``cache`` bounds the chunks and pairs it remembers."""
+    """Encoder and decoder of one model.
+
+    ``cache`` bounds the chunks and pairs of a generation. Those of the last generation are
+    remembered too, and move on when they are met again.
+    """
 
     def __init__(self, pieces: list[tuple[str, float, int]], cache: int = 200_000):
         self.text = [p[0] for p in pieces]
@@ -87,7 +92,8 @@ class PieceCodec:
         self.automaton.make_automaton()
         self._merges: dict[str, list[tuple[float, str, str]]] = {}
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._chunks: dict[str, bytes] = {}
+        self._chunks: dict[str, tuple[bytes, bytes]] = {}
+        self._old_chunks: dict[str, tuple[bytes, bytes]] = {}
 
     def merges(self, token: str) -> list[tuple[float, str, str]]:
         """How a token's text merges: (rank, first symbol, last symbol) after each step.
@@ -201,20 +207,31 @@ class PieceCodec:
         begin, end = struct.pack("<I", self.begin), struct.pack("<I", self.end)
         if not text:
             return 2, begin + end, b""
-        parts, chunks = [begin], self._chunks
+        codes, decoded, chunks = [begin], [], self._chunks
         for chunk in CHUNK.findall(BLANK + text.replace(" ", BLANK)):
             known = chunks.get(chunk)
             if known is None:
-                ids = self.chunk_ids(chunk)
-                known = struct.pack(f"<{len(ids)}I", *ids)
-                if len(chunk) <= 64:
-                    if len(chunks) >= self.cache:
-                        chunks.clear()
-                    chunks[chunk] = known
-            parts.append(known)
-        parts.append(end)
-        packed = b"".join(parts)
-        return len(packed) // 4, packed, self.decode(memoryview(packed).cast("I")).encode("utf-8")
+                known = self._chunk(chunk)
+                chunks = self._chunks
+            codes.append(known[0])
+            decoded.append(known[1])
+        codes.append(end)
+        packed = b"".join(codes)
+        # The first chunk begins with the blank that encoding puts there.
+        return len(packed) // 4, packed, b"".join(decoded)[1:]
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Packed ids of a chunk and what these decode to, blanks as spaces."""
+        known = self._old_chunks.get(chunk)
+        if known is None:
+            ids = self.chunk_ids(chunk)
+            data = b"".join(map(self._piece_bytes.__getitem__, ids))
+            known = struct.pack(f"<{len(ids)}I", *ids), data.replace(_BLANK_BYTES, b" ")
+        if len(chunk) <= 64:
+            if len(self._chunks) >= self.cache:
+                self._old_chunks, self._chunks = self._chunks, {}
+            self._chunks[chunk] = known
+        return known
 
     def encode(self, text: str) -> list[int]:
         n, packed, _ = self.packed(text)
@@ -252,6 +269,25 @@ def _valid_parts(data: bytes):
             at += 1
 
 
+@functools.lru_cache(maxsize=1)
+def _codec(model_path: str, cache: int, pieces: _Pieces) -> PieceCodec:
+    """One codec per Python worker, which outlives its tasks."""
+    return PieceCodec(pieces.shared.value, cache)
+
+
+class _Pieces:
+    """A model's pieces as broadcast; equal to any other of the same digest."""
+
+    def __init__(self, shared, digest: str):
+        self.shared, self.digest = shared, digest
+
+    def __eq__(self, other):
+        return isinstance(other, _Pieces) and self.digest == other.digest
+
+    def __hash__(self):
+        return hash(self.digest)
+
+
 def piece_codes(
     df: DataFrame,
     model_path: str,
@@ -268,10 +304,12 @@ def piece_codes(
     A null or empty text has the begin and end ids alone. ``model_path`` must exist on the
     driver; its pieces are broadcast (their number is that of the vocabulary).
     """
-    pieces = df.sparkSession.sparkContext.broadcast(model_pieces(model_path))
+    found = model_pieces(model_path)
+    shared = df.sparkSession.sparkContext.broadcast(found)
+    pieces = _Pieces(shared, hex_digest(repr(found)))
 
     def make():
-        codec = PieceCodec(pieces.value, cache)
+        codec = _codec(model_path, cache, pieces)
 
         def row(doc_id, text):
             n, packed, decoded = codec.packed(text)
