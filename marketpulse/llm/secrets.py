@@ -23,6 +23,7 @@ from marketpulse.llm.common import (
     map_batches,
     map_rows,
     replace_texts,
+    stored,
     texts,
 )
 
@@ -133,11 +134,8 @@ def learn_formats(df: DataFrame, s: Settings | None = None) -> Formats:
             rows = values + [("", v) for v in plain]
             yield {"kind": [r[0] for r in rows], "value": [r[1] for r in rows]}
 
-    ranked = (
-        map_batches(df.select("text"), found, "kind string, value string")
-        .distinct()
-        .withColumn("hash", F.sha2("value", 256))
-    )
+    values = map_batches(df.select("text"), found, "kind string, value string").distinct()
+    ranked = stored(values.withColumn("hash", F.sha2("value", 256)), "values")
     examples: dict[str, list[str]] = {}
     for kind in ("", *KINDS[:3]):
         rows = ranked.filter(F.col("kind") == kind).orderBy("hash").limit(s.max_examples)
