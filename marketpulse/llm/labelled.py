@@ -40,7 +40,9 @@ def sample(
         .orderBy(F.xxhash64("_id", "_taken"), "_id", "_taken", "label")
         .limit(max_rows)
     )
-    rows = found.join(picked, (found.doc_id == picked._id) & (found._digest == picked._taken))
+    # At most max_rows ids and digests, so the texts need no shuffle.
+    side = F.broadcast(picked)
+    rows = found.join(side, (found.doc_id == side._id) & (found._digest == side._taken))
     return stored(rows.select("doc_id", "text", "label").distinct(), "sample")
 
 
