@@ -24,16 +24,23 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     return first_per_key(df, keys, newest)
 
 
+def rows_like(base: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join by ``keys`` in which a null equals a null."""
+    named = other.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [base[k].eqNullSafe(named[f"_{k}"]) for k in keys]
+    return base.join(named, same, how)
+
+
 def upsert(
     base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Order | None = None
 ) -> DataFrame:
     """``base`` with the rows of ``delta`` replacing or joining it by key.
 
     With ``order`` the last row per key of ``delta`` wins; without it the keys of
-    ``delta`` must be unique.
+    ``delta`` must be unique. A null in a key equals a null.
     """
     fresh = last_per_key(delta, keys, order) if order else delta
-    untouched = base.join(fresh.select(*keys), list(keys), "left_anti")
+    untouched = rows_like(base, fresh, keys, "left_anti")
     return untouched.select(*base.columns).unionByName(fresh.select(*base.columns))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpulse.operators import catalog
@@ -44,16 +44,30 @@ def load_catalog(
     return Catalog(sets, cards, catalog.card_metadata(cards, sets), cutoff)
 
 
+#: Folders of a stored catalogue table.
+BUCKETS = 16
+
+
 def write_catalog(loaded: Catalog, path: str) -> None:
     """Upsert sets, cards and card metadata into the tables under ``path``.
 
-    Cards and metadata are partitioned by set, so a load rewrites only the sets it brings.
+    Sets are keyed by their id, cards and metadata by the card's. Tables are laid out by a hash
+    of the key, so a card that moves to another set, or a set that is renamed, replaces its row.
     """
     stamp = F.current_timestamp()
-    upsert_table(loaded.sets.withColumn("updated_at", stamp), f"{path}/sets", ["set_id"], ["set_id"])
-    cards = loaded.cards.withColumn("updated_at", stamp)
-    upsert_table(cards, f"{path}/cards", ["set_id", "card_id"], ["set_id"])
-    upsert_table(loaded.metadata, f"{path}/metadata", ["set", "card_id"], ["set"])
+    _upsert(loaded.sets.withColumn("updated_at", stamp), f"{path}/sets", "set_id")
+    _upsert(loaded.cards.withColumn("updated_at", stamp), f"{path}/cards", "card_id")
+    _upsert(loaded.metadata, f"{path}/metadata", "card_id")
+
+
+def _upsert(rows: DataFrame, path: str, key: str) -> None:
+    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+    upsert_table(rows.withColumn("bucket", bucket), path, [key], ["bucket"])
+
+
+def read_catalog(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """``sets``, ``cards`` or ``metadata`` as ``write_catalog`` left them."""
+    return spark.read.parquet(f"{path}/{table}").drop("bucket")
 
 
 def refresh(base: DataFrame, loaded: DataFrame, key: str, position: list[str]) -> DataFrame:

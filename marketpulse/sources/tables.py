@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketpulse.operators.merge import Order, first_per_key, last_per_key, upsert
+from marketpulse.operators.merge import Order, first_per_key, last_per_key, rows_like, upsert
 from marketpulse.schemas import ALERT, MARKET_SNAPSHOT, PRICE_WINDOW
 from marketpulse.session import shared_dir
 
@@ -48,7 +48,7 @@ def upsert_table(
 ) -> None:
     """Upsert ``delta`` into a partitioned table; partitions it does not touch stay as they are.
 
-    The partition columns must follow from the keys. Of several rows of ``delta`` with one key
+    The partition columns must follow from the keys; a null in either equals a null. Of several rows of ``delta`` with one key
     the last by ``order`` wins. The touched partitions are merged into a shared scratch folder
     first, because a table cannot be read while it is overwritten; running again after a
     failure gives the same table. A table that does not exist begins empty.
@@ -61,7 +61,7 @@ def upsert_table(
     if exists(spark, path):
         base = spark.read.schema(fresh.schema).parquet(path).select(*columns)
         parts = fresh.select(*partition_by).distinct()
-        touched = base.join(parts, list(partition_by), "left_semi").select(*columns)
+        touched = rows_like(base, parts, partition_by, "left_semi").select(*columns)
         merged = upsert(touched, fresh, keys)
         scratch = shared_dir(spark, "upsert")
         merged.write.parquet(scratch)

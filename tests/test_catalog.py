@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketpulse.operators import catalog
-from marketpulse.plans.catalog_load import load_catalog, refresh, write_catalog
+from marketpulse.plans.catalog_load import load_catalog, read_catalog, refresh, write_catalog
+from marketpulse.sources.tables import upsert_table
 from marketpulse.sources import catalog as pages
 
 SETS = {
@@ -156,3 +157,40 @@ def test_catalogue_job_writes_and_upserts_its_tables(spark, tmp_path):
     assert rows["b"].updated_at == stamps["b"] and rows["a"].updated_at > stamps["a"]
     assert spark.read.parquet(f"{tmp_path}/metadata").count() == 3
     assert spark.read.parquet(f"{tmp_path}/sets").count() == 2
+
+
+def test_renamed_sets_and_moved_cards_replace_their_rows(spark, tmp_path):
+    sets = "set_id string, name string, series string, printed_total int, total int, release_date_raw string, logo_url string, symbol_url string"
+    cards = "card_id string, set_id string, name string, number string, rarity string, supertype string, image_small string, image_large string"
+
+    def load(set_names, *placed):
+        raw_sets = [(i, n, "a", 1, 1, "2025/01/01", "l", "s") for i, n in set_names.items()]
+        raw = [(c, i, c.upper(), "1", "Rare", "x", "i", None) for c, i in placed]
+        loaded = load_catalog(
+            spark.createDataFrame(raw_sets, sets), spark.createDataFrame(raw, cards), dt.date(2024, 1, 1)
+        )
+        write_catalog(loaded, str(tmp_path))
+
+    load({"s1": "Base", "s2": "Two"}, ("a", "s1"), ("b", "s1"), ("c", "s2"))
+    load({"s1": "Base Set", "s2": "Two"}, ("a", "s2"), ("b", "s1"))
+    stored = {t: read_catalog(spark, str(tmp_path), t).collect() for t in ("sets", "cards", "metadata")}
+    assert {r.set_id: r.name for r in stored["sets"]} == {"s1": "Base Set", "s2": "Two"}
+    assert sorted((r.card_id, r.set_id) for r in stored["cards"]) == [("a", "s2"), ("b", "s1"), ("c", "s2")]
+    found = sorted((r.card_id, r.set) for r in stored["metadata"])
+    assert found == [("a", "Two"), ("b", "Base Set"), ("c", "Two")]
+
+
+def test_upsert_keeps_other_rows_of_null_partitions(spark, tmp_path):
+    layout, path = "k string, v int, part string", f"{tmp_path}/t"
+
+    def put(*rows):
+        upsert_table(spark.createDataFrame(rows, layout), path, ["k", "part"], ["part"])
+        return sorted(
+            (tuple(r) for r in spark.read.schema(layout).parquet(path).select("k", "v", "part").collect()),
+            key=repr,
+        )
+
+    put(("a", 1, "x"), ("b", 1, None), ("c", 1, None), (None, 1, "x"), ("d", 1, "y"))
+    got = put(("b", 2, None), (None, 2, "x"))
+    want = [("a", 1, "x"), ("b", 2, None), ("c", 1, None), (None, 2, "x"), ("d", 1, "y")]
+    assert got == sorted(want, key=repr)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from marketpulse.functions import feed
 from marketpulse.operators import catalog
-from marketpulse.operators.merge import upsert
+from marketpulse.plans.catalog_load import read_catalog, write_catalog
 from marketpulse.session import shared_dir
 from marketpulse.sources import catalog as pages
 from workload.checks import CENTS, half_up
@@ -187,9 +189,13 @@ def card_by_id(f):
        UNION ALL SELECT card_id, set_id, upper(name), rarity, supertype FROM cards""",
 )
 def upsert_catalog(f):
+    """Two loads into stored tables: every card, then the catalogue's with other names."""
     columns = ["card_id", "set_id", "name", "rarity", "supertype"]
-    fresh = catalogue(f).cards.select(*columns).withColumn("name", F.upper("name"))
-    return upsert(f.raw_cards.select(*columns), fresh, ["card_id"])
+    base, loaded = shared_dir(f.spark, "catalog"), catalogue(f)
+    write_catalog(replace(loaded, cards=f.raw_cards.select(*columns)), base)
+    fresh = loaded.cards.select(*columns).withColumn("name", F.upper("name"))
+    write_catalog(replace(loaded, cards=fresh), base)
+    return read_catalog(f.spark, base, "cards").select(*columns)
 
 
 @query(
