@@ -8,16 +8,19 @@ passing row by row through the one task that owns its key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from marketpulse.operators import alerts as alert_ops
 from marketpulse.operators.merge import last_per_key
-from marketpulse.operators.running import add_totals, batch_totals, prior_stats
-from marketpulse.operators.signals import TIE, alert_view, flag_view, is_arbitrage
+from marketpulse.operators.running import SUMS, add_totals, batch_totals, prior_stats
+from marketpulse.operators.signals import TIE, alert_view, flag_view, is_arbitrage, is_spike
 from marketpulse.schemas import RUNNING_STATE, Thresholds
-from marketpulse.streaming.sinks import write_batch
+from marketpulse.streaming.keyed import sum_openings, with_openings
+from marketpulse.streaming.sinks import start, write_batch
 
 #: Batches after which the sums of all tickers are folded into one folder.
 FOLD_EVERY = 64
@@ -87,3 +90,60 @@ def sums_before(
         return log
     folded = read.option("basePath", f"{path}/fold").parquet(f"{path}/fold/batch_id={fold}")
     return folded.unionByName(log)
+
+
+#: Event time of a ticker that one task scores at once.
+SLICE_WIDTH = timedelta(minutes=1)
+
+
+def keyed_alert_sink(
+    alerts_path: str,
+    metadata: Callable[[], DataFrame] | None = None,
+    limits: Thresholds = Thresholds(),
+    flags_path: str | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """Sink for ``keyed.with_openings``: the slices' earlier sums come with the events.
+
+    A micro-batch is evaluated once, and its hits once for alerts and flags. Nothing is
+    written but these.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        events = rows.filter("NOT opening").drop("opening", *[name for name, _ in SUMS])
+        carry = sum_openings(rows.filter("opening"))
+        scored = prior_stats(events, TIE, carry=carry, slice_width=SLICE_WIDTH)
+        hits = scored.filter(is_spike(limits) | is_arbitrage(limits)).persist()
+        try:
+            found = alert_view(hits, limits)
+            if metadata is not None:
+                found = alert_ops.enrich(found, metadata())
+            write_batch(found, alerts_path, batch_id, ("severity",))
+            if flags_path is not None:
+                write_batch(flag_view(hits.filter(is_arbitrage(limits))), flags_path, batch_id)
+        finally:
+            hits.unpersist()
+            rows.unpersist()
+
+    return write
+
+
+def start_alerts(
+    events: DataFrame,
+    alerts_path: str,
+    checkpoint: str,
+    metadata: Callable[[], DataFrame] | None = None,
+    limits: Thresholds = Thresholds(),
+    flags_path: str | None = None,
+    idle: timedelta | None = None,
+    every: str | None = None,
+) -> StreamingQuery:
+    """Spike and arbitrage alerts of a stream of market events, with sums in keyed state.
+
+    ``idle`` needs ``every``: while sums can run out, Spark goes on with batches without rows,
+    and a job that is to work off what is there would never end.
+    """
+    if idle is not None and every is None:
+        raise ValueError("idle needs a trigger interval")
+    sink = keyed_alert_sink(alerts_path, metadata, limits, flags_path)
+    return start(with_openings(events, idle=idle), sink, checkpoint, mode="update", every=every)

@@ -17,7 +17,7 @@ from marketpulse.operators import alerts as alert_ops
 from marketpulse.operators import signals, stats, windows
 from marketpulse.schemas import ALERT, LISTING, PRICE_WINDOW, SALE
 from marketpulse.sources import feeds, tables
-from marketpulse.streaming import alerts, ingest, sinks, snapshot
+from marketpulse.streaming import alerts, ingest, keyed, sinks, snapshot
 from marketpulse.streaming.windows import start_windows, stream_windows
 
 LIMITS = Thresholds(min_samples=5)
@@ -248,3 +248,82 @@ def test_messages_are_keyed_json(spark):
     sale = spark.createDataFrame(_sales(1), SALE)
     row = sinks.messages(sale, "card_id").first()
     assert row.key == "hot" and '"event_id":"s0000"' in row.value
+
+
+def _live_events(spark, path):
+    """Sales and listings of :func:`_sales` and :func:`_listings` as four files, and as a table."""
+    sales = spark.createDataFrame(_sales(), SALE).withColumn("market_key", market_key())
+    listings = spark.createDataFrame(_listings(), LISTING).withColumn("market_key", market_key())
+    events = signals.market_events(sales, listings)
+    rows = [tuple(r) for r in events.orderBy("ts", "kind_rank", "event_id").collect()]
+    _write_parts(spark, rows, events.schema, path)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return sales, listings, reader
+
+
+def test_keyed_alerts_go_on_from_their_state(spark, tmp_path):
+    """Two runs over one checkpoint; a ticker with a third of the rows lies in several slices."""
+    path = f"{tmp_path}/in"
+    sales, listings, reader = _live_events(spark, path)
+    metadata = spark.createDataFrame([("hot", "Hot Card")], "card_id string, name string")
+    for _ in range(2):
+        live = alerts.start_alerts(
+            reader.parquet(path), f"{tmp_path}/al", f"{tmp_path}/cp", lambda: metadata, LIMITS,
+            f"{tmp_path}/fl",
+        )
+        live.awaitTermination()
+    got = tables.read_alerts(spark, f"{tmp_path}/al")
+    want = alert_ops.enrich(signals.market_alerts(sales, listings, LIMITS), metadata)
+    assert {r.type for r in want.collect()} == {"SPIKE", "ARBITRAGE"}
+    _same(got.select(*ALERT.names), want.select(*ALERT.names))
+    flags = spark.read.parquet(f"{tmp_path}/fl").drop("batch_id")
+    _same(flags, signals.arbitrage_flags(sales, listings, LIMITS))
+    state = keyed._state(spark, f"{tmp_path}/cp", "sums")
+    assert state.filter("market_key LIKE 'hot%'").count() == keyed.SLICES
+    sums = keyed.running_sums(spark, f"{tmp_path}/cp")
+    counts = sales.groupBy("market_key").agg(F.count("price").alias("prior_count"))
+    _same(sums.select("market_key", "prior_count"), counts)
+
+
+def test_idle_sums_are_forgotten(spark, tmp_path):
+    """With a time to live every batch starts from nothing, so no row tells earlier sums."""
+    path = f"{tmp_path}/in"
+    _, _, reader = _live_events(spark, path)
+    opened = []
+    for idle in (dt.timedelta(milliseconds=1), None):
+        rows, found = keyed.with_openings(reader.parquet(path), idle=idle), []
+        sink = lambda batch, _: found.append(batch.filter("opening").count())  # noqa: E731, B023
+        job = sinks.start(
+            rows, sink, f"{tmp_path}/cp{idle is None}", mode="update", every="100 milliseconds"
+        )
+        job.processAllAvailable()
+        job.stop()
+        opened.append(sum(found))
+    assert opened[0] == 0 < opened[1]
+    with pytest.raises(ValueError):
+        alerts.start_alerts(rows, "a", "c", idle=dt.timedelta(hours=1))
+
+
+def test_market_state_needs_no_log(spark, live, tmp_path):
+    stream, batch = live
+    snapshot.start_state(stream, f"{tmp_path}/cp").awaitTermination()
+    _same(keyed.market_state(spark, f"{tmp_path}/cp"), stats.market_snapshot(batch))
+    assert sorted(os.listdir(tmp_path)) == ["cp", "sales"]
+
+
+def test_seen_ids_open_the_slices_of_their_horizon_only(spark, tmp_path):
+    """Old slices go, ids outside the horizon are new, and a batch run again judges alike."""
+    seen = ingest.SeenIds(spark, f"{tmp_path}/seen", dt.timedelta(minutes=3))
+    ids = lambda *n: spark.createDataFrame([("sim", f"e{i}") for i in n], "source string, event_id string")
+    at = dt.datetime(2025, 9, 1, 10, tzinfo=dt.timezone.utc)
+    files = []
+    for batch in range(10):
+        now = at + dt.timedelta(minutes=batch)
+        known = {r.event_id for r in seen.before(batch, now).collect()}
+        assert known == {f"e{i}" for i in range(max(0, batch - 3), batch)}
+        seen.add(ids(batch).coalesce(1), batch, now)
+        files.append(sum(n.endswith(".parquet") for _, _, f in os.walk(f"{tmp_path}/seen") for n in f))
+    assert max(files) <= 5 and files[-1] == files[6]
+    again = seen.time_of(9, at + dt.timedelta(days=1))
+    assert again == at + dt.timedelta(minutes=9)
+    assert {r.event_id for r in seen.before(9, again).collect()} == {f"e{i}" for i in range(6, 9)}

@@ -9,7 +9,7 @@ from marketpulse.session import shared_dir
 from marketpulse.sources import tables
 from marketpulse.sources.tables import read_log
 from marketpulse.schemas import ALERT, PRICE_WINDOW
-from marketpulse.streaming import alerts, ingest, sinks, snapshot, windows
+from marketpulse.streaming import alerts, ingest, keyed, sinks, snapshot, windows
 from workload.checks import windows_sql
 from workload.registry import query
 from workload.tables import as_of, catalogue, products, rounded
@@ -78,10 +78,16 @@ def _stream_alerts(f):
     base = shared_dir(f.spark, "stream")
     given = signals.market_events(f.sales, f.listings)
     events = _in_batches(f, given, "ts", f"{base}/in")
-    names = catalogue(f).metadata
-    sink = alerts.alert_sink(f"{base}/alerts", f"{base}/sums", lambda: names, fold_every=2)
-    sinks.start(events, sink, f"{base}/state").awaitTermination()
-    return tables.read_alerts(f.spark, f"{base}/alerts")
+    catalogue(f).metadata.write.parquet(f"{base}/metadata")
+    live = alerts.start_alerts(
+        events,
+        f"{base}/alerts",
+        f"{base}/state",
+        lambda: f.spark.read.parquet(f"{base}/metadata"),
+        flags_path=f"{base}/flags",
+    )
+    live.awaitTermination()
+    return base
 
 
 def _alert_sql(kind: str) -> str:
@@ -91,16 +97,56 @@ def _alert_sql(kind: str) -> str:
 
 @query("stream_spikes", "alerts", _alert_sql("SPIKE"))
 def stream_spikes(f):
-    found = _stream_alerts(f).filter(F.col("type") == "SPIKE")
+    found = tables.read_alerts(f.spark, f"{_stream_alerts(f)}/alerts").filter("type = 'SPIKE'")
     return found.select("type", "severity", "card_id", "market_key", "name", "ts")
 
 
 @query("stream_arbitrage", "alerts", _alert_sql("ARBITRAGE"))
 def stream_arbitrage(f):
-    found = _stream_alerts(f).filter(F.col("type") == "ARBITRAGE")
+    found = tables.read_alerts(f.spark, f"{_stream_alerts(f)}/alerts")
+    found = found.filter("type = 'ARBITRAGE'")
     return found.select("type", "severity", "card_id", "market_key", "name", "ts")
 
 
+@query(
+    "stream_flags",
+    "flags",
+    """SELECT event_id, market_key, seller_id, listing_price, reference_avg, discount_pct,
+              sample_count, detected_at FROM flags""",
+)
+def stream_flags(f):
+    found = f.spark.read.parquet(f"{_stream_alerts(f)}/flags")
+    return found.select(
+        "event_id", "market_key", "seller_id", "listing_price", "reference_avg", "discount_pct",
+        "sample_count", "detected_at",
+    )
+
+
+@query(
+    "state_running_sums",
+    "sales",
+    """SELECT market_key, count(price) AS prior_count,
+              CAST(sum(price) AS DOUBLE) AS prior_sum,
+              CAST(sum(price * price) AS DOUBLE) AS prior_sq_sum
+       FROM sales GROUP BY market_key""",
+)
+def state_running_sums(f):
+    return keyed.running_sums(f.spark, f"{_stream_alerts(f)}/state")
+
+
+@query(
+    "state_snapshot",
+    "snapshot",
+    """SELECT market_key, card_id, finish, condition, last_price, last_trade_at, avg_price,
+              volatility, volume, sample_count FROM snapshot""",
+)
+def state_snapshot(f):
+    base = shared_dir(f.spark, "stream")
+    sales = _in_batches(f, f.sales, "sold_at", f"{base}/in")
+    snapshot.start_state(sales, f"{base}/state").awaitTermination()
+    return rounded(keyed.market_state(f.spark, f"{base}/state"))
+
+
 @query(
     "stream_snapshot",
     "snapshot",
