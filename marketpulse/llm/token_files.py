@@ -36,7 +36,7 @@ _LETTER_LAST = (
 #: Words longer than this are encoded anew each time.
 _KEPT_CHARS = 64
 #: Text and words of one step; bounds what a step holds beside the text itself.
-_STEP_BYTES, _STEP_WORDS = 16 << 20, 1 << 20
+_STEP_BYTES, _STEP_WORDS = 4 << 20, 1 << 18
 
 
 def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -66,7 +66,7 @@ class WordTokenizer:
     bytes; words of the last generation move on when they are met again.
     """
 
-    def __init__(self, path: str, cache: int = 64 << 20):
+    def __init__(self, path: str, cache: int = 40 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
