@@ -9,6 +9,7 @@ one, decoding can begin at any checkpoint.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ _LETTER_LAST = (
 #: Words longer than this are encoded anew each time.
 _KEPT_CHARS = 64
 #: Text and words of one step; bounds what a step holds beside the text itself.
-_STEP_BYTES, _STEP_WORDS = 4 << 20, 1 << 18
+_STEP_BYTES, _STEP_WORDS = 8 << 20, 1 << 18
 
 
 def _parts(words: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -69,6 +70,8 @@ class WordTokenizer:
     def __init__(self, path: str, cache: int = 40 << 20):
         from tokenizers import Tokenizer
 
+        # A task has one core, and memory of more threads would stay with the worker.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         probe = self._ids(["A1, b\nc", "a1", ",", "b", "c"])
         if probe[0] != [i for ids in probe[1:] for i in ids]:
@@ -97,7 +100,12 @@ class WordTokenizer:
         plain = [w for w in words if "\0" not in w and not w.isalpha()] if self.mark is not None else []
         for group, gap in ((letters, " "), (plain, " \0 ")):
             lines = [group[i : i + 500] for i in range(0, len(group), 500)]
-            for line, found in zip(lines, self._ids([gap.join(x) for x in lines]), strict=True):
+            coded = (
+                ids
+                for i in range(0, len(lines), 32)  # the library's own results are large
+                for ids in self._ids([gap.join(x) for x in lines[i : i + 32]])
+            )
+            for line, found in zip(lines, coded, strict=True):
                 if gap == " ":
                     ids = np.array(found, "<u4")
                     ends = np.flatnonzero(self.last[ids]) + 1
