@@ -46,15 +46,26 @@ def merge_aggregates() -> list[Column]:
 
 def market_stats(sales: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All-time accumulator per ticker: count, sums, extremes, last sale, volume."""
-    room = F.lit(_CENTS_ROOM).cast("decimal(13,0)")
-    cents = (F.col("price") * 100).cast("decimal(12,0)")
-    packed = F.unix_micros("sold_at").cast("decimal(17,0)") * room + cents
     stats = sales.groupBy(*(keys or ["market_key"])).agg(
         *base_aggregates(),
         F.min("price").alias("min_price"),
         F.max("price").alias("max_price"),
-        F.max(packed).alias("_last"),
+        F.max(packed_sale(F.unix_micros("sold_at"), F.col("price"))).alias("_last"),
     )
+    return unpacked_sale(stats)
+
+
+def _room() -> Column:
+    return F.lit(_CENTS_ROOM).cast("decimal(13,0)")
+
+
+def packed_sale(micros: Column, price: Column) -> Column:
+    return micros.cast("decimal(17,0)") * _room() + (price * 100).cast("decimal(12,0)")
+
+
+def unpacked_sale(stats: DataFrame) -> DataFrame:
+    """``last_price`` and ``last_trade_at`` from the newest packed sale, ``_last``."""
+    room = _room()
     micros = F.floor(F.col("_last") / room)
     return stats.withColumns(
         {

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketpulse.operators.running import SUMS
-from marketpulse.operators.stats import snapshot_view
+from marketpulse.operators.stats import packed_sale, snapshot_view, unpacked_sale
 from marketpulse.schemas import MONEY, PRICE_SQ_SUM, PRICE_SUM
 from marketpulse.session import importable
 
@@ -193,10 +193,6 @@ def sum_openings(rows: DataFrame) -> DataFrame:
 def market_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Current market state per ticker, read from the state of ``keep_market_state``."""
     rows = _state(spark, checkpoint, MarketState.name)
-    last = F.timestamp_micros("last_micros").alias("last_trade_at")
-    newest = F.max(F.struct(last, "last_price"))
-    sums = [
-        F.sum(f.name).cast(f.dataType).alias(f.name) for f in _MARKET.fields[:4]
-    ]
-    stats = rows.groupBy("market_key").agg(*sums, newest.alias("last"))
-    return snapshot_view(stats.select("*", "last.*"))
+    newest = F.max(packed_sale(F.col("last_micros"), F.col("last_price"))).alias("_last")
+    sums = [F.sum(f.name).cast(f.dataType).alias(f.name) for f in _MARKET.fields[:4]]
+    return snapshot_view(unpacked_sale(rows.groupBy("market_key").agg(*sums, newest)))
