@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_DAY = 24 * 60 * 60 * 1_000_000
+from marketpulse.operators.stats import ADDITIVE, merge_aggregates
+from marketpulse.operators.windows import trailing_from_changes, window_rows
+from marketpulse.schemas import PRICE_SQ_SUM, PRICE_SUM
+
+_HOUR = 60 * 60 * 1_000_000
+_DAY = 24 * _HOUR
+
 
 def with_stream_time(
     events: DataFrame,
@@ -66,3 +72,50 @@ def with_lateness(timed: DataFrame, ts: str, window: str = "1 hour") -> DataFram
 
 def drop_late(timed: DataFrame, ts: str, window: str = "1 hour") -> DataFrame:
     return with_lateness(timed, ts, window).filter(~F.col("late")).drop("late", "stream_time")
+
+
+def _hour_of(micros: Column) -> Column:
+    return micros - F.pmod(micros, F.lit(_HOUR))
+
+
+def with_open_starts(timed: DataFrame, ts: str = "sold_at") -> DataFrame:
+    """Add ``first_open`` and ``last_open``: starts of the 24-hour windows an event still reaches.
+
+    An event lies in the 24 hourly windows that start up to its own hour. Those that end at or
+    before stream time have closed, and they are the earliest ones, so what is left is one
+    range: empty, with null bounds, for an event that is late for all of them.
+    """
+    first = _hour_of(F.unix_micros("stream_time") - _DAY) + _HOUR
+    last = _hour_of(F.unix_micros(ts))
+    open_ = first <= last
+    return timed.withColumns(
+        {
+            "first_open": F.when(open_, F.timestamp_micros(first)),
+            "last_open": F.when(open_, F.timestamp_micros(last)),
+        }
+    )
+
+
+def trailing_aggregates(timed: DataFrame, ts: str = "sold_at") -> DataFrame:
+    """Trailing 24-hour windows, each without the sales that came after it had closed.
+
+    ``timed`` comes from :func:`with_stream_time`. A sale is two changes over window starts,
+    clipped to the range still open when it arrived, not 24 copies; the changes of a ticker
+    are added up per hour in the map tasks, so a ticker sends one row per hour and task
+    however much it trades. Sales late for all their windows, or without a time, count nowhere.
+    """
+    price = F.col("price")
+    own = [
+        price.isNotNull().cast("long").alias("sample_count"),
+        price.cast(PRICE_SUM).alias("price_sum"),
+        (price * price).cast(PRICE_SQ_SUM).alias("price_sq_sum"),
+        F.greatest("quantity", F.lit(0)).cast("long").alias("volume"),
+    ]
+    reached = with_open_starts(timed, ts).filter(F.col("first_open").isNotNull())
+    sums = reached.select("market_key", "first_open", "last_open", *own)
+    enter = F.struct(F.col("first_open").alias("at"), *ADDITIVE)
+    after = (F.col("last_open") + F.expr("INTERVAL 1 HOUR")).alias("at")
+    leave = F.struct(after, *[(-F.col(c)).alias(c) for c in ADDITIVE])
+    changes = sums.select("market_key", F.inline(F.array(enter, leave)))
+    hourly = changes.groupBy("market_key", "at").agg(*merge_aggregates())
+    return window_rows(trailing_from_changes(hourly))

@@ -104,6 +104,12 @@ def _trailing(panes: DataFrame) -> DataFrame:
     enter = F.struct((start - F.expr("INTERVAL 23 HOURS")).alias("at"), *ADDITIVE)
     leave = F.struct((start + hour).alias("at"), *[(-F.col(c)).alias(c) for c in ADDITIVE])
     changes = panes.select("market_key", F.inline(F.array(enter, leave)))
+    return trailing_from_changes(changes)
+
+
+def trailing_from_changes(changes: DataFrame) -> DataFrame:
+    """24-hour windows from what enters and leaves (``market_key``, ``at``, sums) at each start."""
+    hour = F.expr("INTERVAL 1 HOUR")
     in_order = Window.partitionBy("market_key").orderBy("at")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Of several changes at one start the last holds the full sums; the others are empty runs.

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 from datetime import timedelta
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from conftest import T0
@@ -314,3 +316,59 @@ def test_late_sale_is_found_across_slices(spark):
     flags = {r.event_id: r.late for r in late.with_lateness(timed, "ts").collect()}
     assert flags == {"a": False, "b": False, "c": True, "d": False}
     assert late.drop_late(timed, "ts").count() == 3
+
+
+def test_trailing_windows_miss_what_came_after_they_closed(spark):
+    """Against a plain replay: windows one by one, events in order of arrival."""
+    rng = random.Random(11)
+    hour = timedelta(hours=1)
+    base = dt.datetime(2025, 9, 1)
+    rows = []
+    for i in range(400):
+        made = base + timedelta(minutes=rng.randint(0, 60 * 72))
+        if i % 9 == 0:  # on the hour, where windows close
+            made = made.replace(minute=0)
+        delay = timedelta(minutes=rng.choice([0, 1, 59, 60, 300, 1380, 1440, 2000]))
+        key = rng.choice(["a|NORMAL|NM", "b|NORMAL|NM"])
+        price = None if i % 50 == 7 else Decimal(rng.randint(1, 999)) / 100
+        rows.append((f"e{i:03d}", key, price, rng.randint(-1, 3), made, made + delay))
+    want, newest, missed = {}, dt.datetime.min, set()
+    for event_id, key, price, quantity, made, came in sorted(rows, key=lambda r: (r[5], r[0])):
+        newest = max(newest, made)
+        own = made.replace(minute=0, second=0)
+        reached = [s for s in (own - k * hour for k in range(24)) if s + 24 * hour > newest]
+        if len(reached) < 24:
+            missed.add(len(reached))
+        for start in reached:
+            n, total, volume = want.get((key, start), (0, Decimal(0), 0))
+            seen = price is not None
+            want[key, start] = (n + seen, total + (price or 0), volume + max(quantity, 0))
+    assert {0, 1, 23} <= missed  # late for all, for most and for one window only
+    events = spark.createDataFrame(
+        rows,
+        "event_id string, market_key string, price decimal(12,2), quantity int, "
+        "sold_at timestamp, arrived timestamp",
+    )
+    timed = late.with_stream_time(events, "arrived", "sold_at")
+    got = {
+        (r.market_key, r.window_start): (r.sample_count, r.avg_price, r.volume)
+        for r in late.trailing_aggregates(timed).collect()
+    }
+    cents = Decimal("0.01")
+    assert got == {
+        k: (n, (total / n).quantize(cents, ROUND_HALF_UP), volume)
+        for k, (n, total, volume) in want.items()
+        if n
+    }
+
+
+def test_trailing_windows_of_no_sales_and_of_sales_without_a_time(spark):
+    rows = [("e1", "a|NORMAL|NM", Decimal("1.00"), 1, None, NOW)]
+    events = spark.createDataFrame(
+        rows,
+        "event_id string, market_key string, price decimal(12,2), quantity int, "
+        "sold_at timestamp, arrived timestamp",
+    )
+    for given in (events, events.limit(0)):
+        timed = late.with_stream_time(given, "arrived", "sold_at")
+        assert late.trailing_aggregates(timed).count() == 0

@@ -11,8 +11,9 @@ from marketpulse.operators import catalog, late, normalize, quality
 from marketpulse.plans.ingest import DELIVERY_ORDER
 from marketpulse.session import shared_dir
 from marketpulse.sources import feeds
+from workload.checks import WINDOW_COLUMNS
 from workload.registry import query
-from workload.tables import as_of, catalogue, ingested, products
+from workload.tables import as_of, catalogue, ingested, products, rounded
 from workload.views import AS_OF
 
 _RAW = "event_id, product_id, sku_id, sub_type_name, condition, price_raw, quantity"
@@ -378,3 +379,31 @@ def late_events(f):
     )
     timed = late.with_stream_time(arrived, "arrived_at", "sold_at")
     return late.with_lateness(timed, "sold_at")
+
+
+@query(
+    "late_ma_24h",
+    "sales",
+    f"""SELECT * FROM (WITH timed AS (
+          SELECT *, max(sold_at) OVER (ORDER BY arrived_at, event_id
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stream_time
+          FROM (SELECT *, sold_at + quantity * INTERVAL 4 HOUR AS arrived_at FROM sales) a),
+        hops AS (
+          SELECT market_key, price, quantity, stream_time,
+                 unnest(generate_series(date_trunc('hour', sold_at) - INTERVAL 23 HOUR,
+                        date_trunc('hour', sold_at), INTERVAL 1 HOUR)) AS window_start
+          FROM timed)
+        SELECT market_key, window_start, window_start + INTERVAL 24 HOUR AS window_end,
+               {WINDOW_COLUMNS}
+        FROM hops WHERE window_start + INTERVAL 24 HOUR > stream_time
+        GROUP BY market_key, window_start) late_windows""",
+)
+def late_ma_24h(f):
+    """Sales come in four to sixteen hours after they were made, and miss what has closed."""
+    arrived = f.sales.withColumn("arrived_at", F.expr("sold_at + quantity * INTERVAL 4 HOUR"))
+    timed = late.with_stream_time(arrived, "arrived_at", "sold_at")
+    rows = rounded(late.trailing_aggregates(timed))
+    return rows.select(
+        "market_key", "window_start", "window_end", "avg_price", "volatility", "volume",
+        "sample_count",
+    )
