@@ -17,9 +17,8 @@ from marketpulse.operators.stats import (
 )
 from marketpulse.schemas import WINDOW_TYPES
 
-# Window length and hop.
+# Window lengths; trailing windows hop by a pane.
 LENGTHS = {"HOURLY": "1 hour", "DAILY": "1 day", "MA_24H": "24 hours"}
-HOP = "1 hour"
 PANE = "1 hour"
 
 

@@ -9,6 +9,7 @@ spread too, and the slices' sums are added where they are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from datetime import timedelta
 from decimal import Decimal
@@ -27,6 +28,9 @@ from marketpulse.schemas import MONEY, PRICE_SQ_SUM, PRICE_SUM
 from marketpulse.session import importable
 
 SLICES = 4
+_HOUR_MS = 60 * 60 * 1000
+#: Hours of a trailing window.
+SPAN = 24
 _RUNNING = T.StructType(
     [
         T.StructField("prior_count", T.LongType()),
@@ -45,6 +49,25 @@ _MARKET = T.StructType(
     ]
 )
 
+_SUMS = [
+    T.StructField("sample_count", T.LongType()),
+    T.StructField("price_sum", PRICE_SUM),
+    T.StructField("price_sq_sum", PRICE_SQ_SUM),
+    T.StructField("volume", T.LongType()),
+]
+_PANE = T.StructType([T.StructField("hour", T.LongType()), *_SUMS])
+_RING = T.StructType(
+    [T.StructField("given", T.LongType()), T.StructField("panes", T.ArrayType(_PANE))]
+)
+_RUN = T.StructType(
+    [
+        T.StructField("market_key", T.StringType()),
+        T.StructField("first_end", T.LongType()),
+        T.StructField("last_end", T.LongType()),
+        *_SUMS,
+    ]
+)
+
 
 def slice_of(column: str = "event_id", slices: int = SLICES) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(slices)).cast("int").alias("slice")
@@ -129,6 +152,79 @@ class MarketState(_Keyed):
         return iter(())
 
 
+class TrailingRing(_Keyed):
+    """Closed hourly panes of a ticker, at most 24, and the last window end it has given.
+
+    Gives runs of trailing windows with equal sums, by the hour numbers of their first and
+    last end. A timer at the next end wakes a ticker that trades no more; a ticker whose last
+    pane has left all its windows is forgotten.
+    """
+
+    name, layout = "ring", _RING
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["hour"], *[r[f.name] or 0 for f in _SUMS]) for r in rows]
+        return self._close(key[0], new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self._close(key[0], [], timerValues.getCurrentWatermarkInMs())
+
+    def _close(self, market_key: str, new: list[tuple], watermark: int) -> Iterator[Row]:
+        given, old = self.state.get() if self.state.exists() else (None, [])
+        panes = sorted([*[tuple(p) for p in old], *new])
+        if not panes:
+            return
+        now = watermark // _HOUR_MS
+        begin = panes[0][0] + 1 if given is None else given + 1
+        yield from trailing_runs(market_key, panes, begin, now)
+        kept = [p for p in panes if p[0] + SPAN > now]
+        if kept:
+            self.state.update((max(now, begin - 1), kept))
+            ahead = max(now, panes[-1][0]) + 1
+            self.handle.registerTimer(ahead * _HOUR_MS)
+        else:
+            self.state.clear()
+
+
+def trailing_runs(market_key: str, panes: list[tuple], begin: int, end: int) -> Iterator[Row]:
+    """Runs of window ends from ``begin`` to ``end``; panes by hour number, in order.
+
+    A pane enters with the window that ends with its hour and leaves after 24 ends.
+    """
+    out = Row(*_RUN.names)
+    hours = [p[0] for p in panes]
+    turns = {h + k for h in hours for k in (1, SPAN + 1)}
+    cuts = sorted({begin, end + 1, *[t for t in turns if begin < t <= end]})
+    for first, after in zip(cuts, cuts[1:]):
+        inside = panes[bisect_left(hours, first - SPAN) : bisect_left(hours, first)]
+        sums = [sum(values) for values in zip(*[p[1:] for p in inside])]
+        if sums and sums[0] > 0:
+            yield out(market_key, first, after - 1, *sums)
+
+
+def trailing_windows(panes: DataFrame) -> DataFrame:
+    """Closed 24-hour windows from a stream of closed hourly panes, for append mode.
+
+    ``panes`` has one row per (``market_key``, ``window``) with its sums and a watermark. A
+    ticker keeps its panes once instead of in 24 windows each, and Python sees a row per pane
+    and gives one per run of equal windows; Spark spreads runs over their windows.
+    """
+    importable(panes.sparkSession)
+    hour = F.floor(F.unix_millis("window.start") / F.lit(_HOUR_MS)).cast("long").alias("hour")
+    at = F.window_time("window").alias("at")
+    rows = panes.select("market_key", at, hour, *[f.name for f in _SUMS])
+    keyed = rows.groupBy("market_key")
+    runs = keyed.transformWithState(TrailingRing(), _RUN, "Append", "EventTime")
+    ends = runs.withColumn("_end", F.explode(F.sequence("first_end", "last_end")))
+    second = lambda hours: F.timestamp_seconds((F.col("_end") + hours) * 3600)
+    span = F.struct(second(-SPAN).alias("start"), second(0).alias("end")).alias("w")
+    return ends.select("market_key", span, *[f.name for f in _SUMS])
+
+
 def _asking_all_slices(events: DataFrame, slices: int) -> DataFrame:
     """The events, and for each ticker of an Arrow batch a row without ``kind`` per slice."""
     schema = events.schema

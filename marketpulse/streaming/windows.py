@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from marketpulse.operators.stats import base_aggregates, merge_aggregates
-from marketpulse.operators.windows import HOP, LENGTHS, PANE, window_rows
+from marketpulse.operators.stats import base_aggregates
+from marketpulse.operators.windows import LENGTHS, PANE, window_rows
 from marketpulse.schemas import WINDOW_TYPES
+from marketpulse.streaming.keyed import trailing_windows
 from marketpulse.streaming.sinks import batch_writer, start
 
 #: No grace: a window closes as soon as event time reaches its end.
@@ -18,15 +19,14 @@ GRACE = "0 seconds"
 def stream_windows(sales: DataFrame, kind: str, ts: str = "sold_at") -> DataFrame:
     """One row per closed window, for append mode.
 
-    MA_24H chains two windowed aggregations: hourly panes, then panes into 24-hour windows.
+    MA_24H goes on from hourly panes, of which each ticker keeps the last 24 in its state.
     """
     if kind not in WINDOW_TYPES:
         raise ValueError(f"unknown window type: {kind}")
     marked = sales.withWatermark(ts, GRACE)
     if kind == "MA_24H":
         panes = marked.groupBy("market_key", F.window(ts, PANE)).agg(*base_aggregates())
-        span = F.window(F.window_time("window"), LENGTHS[kind], HOP).alias("w")
-        sums = panes.groupBy("market_key", span).agg(*merge_aggregates())
+        sums = trailing_windows(panes)
     else:
         span = F.window(ts, LENGTHS[kind]).alias("w")
         sums = marked.groupBy("market_key", span).agg(*base_aggregates())

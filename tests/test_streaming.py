@@ -327,3 +327,50 @@ def test_seen_ids_open_the_slices_of_their_horizon_only(spark, tmp_path):
     again = seen.time_of(9, at + dt.timedelta(days=1))
     assert again == at + dt.timedelta(minutes=9)
     assert {r.event_id for r in seen.before(9, again).collect()} == {f"e{i}" for i in range(6, 9)}
+
+
+def test_runs_of_trailing_windows_against_every_window():
+    rng = random.Random(2)
+    for _ in range(200):
+        hours = sorted(rng.sample(range(1000, 1090), rng.randint(1, 12)))
+        panes = [
+            (h, n := rng.randint(0, 3), Decimal(7 * n), Decimal(49 * n), rng.randint(0, 5))
+            for h in hours
+        ]
+        begin, end = hours[0] + 1, rng.randint(1000, 1130)
+        middle = rng.randint(begin - 1, max(begin, end))
+        # In one go, and cut in two as by two batches.
+        for parts in ([(begin, end)], [(begin, min(middle, end)), (min(middle, end) + 1, end)]):
+            got = {}
+            for a, b in parts:
+                for r in keyed.trailing_runs("k", panes, a, b):
+                    for e in range(r.first_end, r.last_end + 1):
+                        assert e not in got
+                        got[e] = tuple(r)[3:]
+            want = {}
+            for e in range(begin, end + 1):
+                inside = [p[1:] for p in panes if e - 24 <= p[0] < e]
+                if sum(p[0] for p in inside):
+                    want[e] = tuple(sum(v) for v in zip(*inside))
+            assert got == want
+
+
+def test_a_ticker_keeps_a_day_of_panes_and_is_forgotten_after_it(spark, tmp_path):
+    rows = [
+        (f"s{i:04d}", "sim", "hot", "NORMAL", "NM", Decimal("5.00"), 1, T0 + dt.timedelta(hours=i))
+        for i in range(200)
+    ]
+    idle = ("s9999", "sim", "idle", "NORMAL", "NM", Decimal("5.00"), 1, T0)
+    _write_parts(spark, [idle, *rows], SALE, f"{tmp_path}/in", parts=3)
+    sales = _stream(spark, f"{tmp_path}/in", SALE)
+    state = f"{tmp_path}/state"
+    job = sinks.start(stream_windows(sales, "MA_24H"), sinks.batch_writer(f"{tmp_path}/out"), state)
+    job.awaitTermination()
+    reader = spark.read.format("statestore").option("stateVarName", "ring")
+    operators = [p["operatorName"] for p in job.lastProgress["stateOperators"]]
+    number = operators.index("transformWithStateInPySparkExec")
+    rings = reader.option("operatorId", number).load(state).select("key.*", "value.*").collect()
+    assert [r.market_key for r in rings] == ["hot|NORMAL|NM"]
+    assert len(rings[0].panes) <= 24
+    out = tables.read_log(spark, f"{tmp_path}/out", PRICE_WINDOW)
+    assert out.filter("card_id = 'idle'").count() == 24  # closed by others' later sales
