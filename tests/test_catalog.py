@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -11,6 +12,7 @@ from marketpulse.operators import catalog
 from marketpulse.plans.catalog_load import load_catalog, read_catalog, refresh, write_catalog
 from marketpulse.sources.tables import upsert_table
 from marketpulse.sources import catalog as pages
+from marketpulse.sources.pages import Pages, write_pages
 
 SETS = {
     "data": [
@@ -194,3 +196,41 @@ def test_upsert_keeps_other_rows_of_null_partitions(spark, tmp_path):
     got = put(("b", 2, None), (None, 2, "x"))
     want = [("a", 1, "x"), ("b", 2, None), ("c", 1, None), (None, 2, "x"), ("d", 1, "y")]
     assert got == sorted(want, key=repr)
+
+
+def test_stored_pages_against_sorting_everything(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [
+        (rng.choice([None, "a", "b", "Ä", "z"]), rng.choice([None, 1, 2, 10]), f"c{i:03d}")
+        for i in range(500)
+    ]
+    rows += [("hot", 1, f"h{i:03d}") for i in range(250)]  # a third of all rows under one key
+    keys = ["set_id", "number", "card_id"]
+    table = spark.createDataFrame(rows, "set_id string, number int, card_id string")
+    nulls_first = lambda r: [(v is not None, v if v is not None else 0) for v in r]
+    want = sorted(rows, key=nulls_first)
+    write_pages(table, f"{tmp_path}/p", keys, ranges=20)
+    stored = Pages.open(spark, f"{tmp_path}/p", keys, table.schema)
+    assert stored.total == len(want)
+    for number in (0, 1, 9, 29, 30, 40):
+        page = stored.page(number, 25)
+        assert [tuple(r) for r in page.collect()] == want[number * 25 : number * 25 + 25]
+        assert len(page.inputFiles()) <= 2
+    token, got = None, []
+    while page := stored.after(token, 100).collect():
+        token = stored.token(page)
+        got += [tuple(r) for r in page]
+    assert got == want
+    gone = stored.after(("a", 3, ""), 10)  # no row has this key
+    place = next(i for i, r in enumerate(want) if nulls_first(r) > nulls_first(("a", 3, "")))
+    assert [tuple(r) for r in gone.collect()] == want[place : place + 10]
+    for bad in (lambda: stored.page(-1, 5), lambda: stored.page(0, 0), lambda: stored.after(("a",), 5)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_stored_pages_of_an_empty_table(spark, tmp_path):
+    table = spark.createDataFrame([], "set_id string, card_id string")
+    write_pages(table, f"{tmp_path}/p", ["set_id", "card_id"])
+    stored = Pages.open(spark, f"{tmp_path}/p", ["set_id", "card_id"], table.schema)
+    assert stored.total == 0 and stored.page(0, 5).collect() == stored.after(None, 5).collect() == []

@@ -11,6 +11,7 @@ from marketpulse.operators import catalog
 from marketpulse.plans.catalog_load import read_catalog, write_catalog
 from marketpulse.session import shared_dir
 from marketpulse.sources import catalog as pages
+from marketpulse.sources.pages import Pages, write_pages
 from workload.checks import CENTS, half_up
 from workload.registry import query
 from workload.tables import card_views, catalogue, cutoff, snapshots
@@ -171,6 +172,36 @@ def card_page(f):
     return catalog.card_page(loaded.cards, loaded.sets, page=2, page_size=0)
 
 
+_CARD_ORDER = ("set_id", "number", "card_id")
+
+
+def _stored_pages(f) -> Pages:
+    rows, path = card_views(f), shared_dir(f.spark, "pages")
+    write_pages(rows, path, _CARD_ORDER, ranges=16)
+    return Pages.open(f.spark, path, _CARD_ORDER, rows.schema)
+
+
+@query(
+    "card_page_stored",
+    "card_views",
+    f"SELECT {_VIEW} FROM card_views ORDER BY set_id, number, card_id LIMIT 50 OFFSET 100",
+)
+def card_page_stored(f):
+    """A page of all cards from the ranges that hold it."""
+    return _stored_pages(f).page(2, 50)
+
+
+@query(
+    "card_page_next",
+    "card_views",
+    f"SELECT {_VIEW} FROM card_views ORDER BY set_id, number, card_id LIMIT 50 OFFSET 50",
+)
+def card_page_next(f):
+    """The page that follows the last row of the first one."""
+    stored = _stored_pages(f)
+    return stored.after(stored.token(stored.page(0, 50).collect()), 50)
+
+
 @query(
     "card_by_id",
     "card_views tick",
