@@ -87,6 +87,14 @@ class _Tree:
             stack += [(t, self.next[b][s]) for s, t in self.next[a].items() if s in self.next[b]]
         return True
 
+    def distance(self, a: int, b: int) -> float:
+        """Sum of the differences of all frequencies of two states."""
+        one, two = self.count[a], self.count[b]
+        return sum(
+            abs(one.get(s, 0) / self.total[a] - two.get(s, 0) / self.total[b])
+            for s in one.keys() | two.keys()
+        )
+
     def fold(self, a: int, b: int) -> None:
         """Add the subtree at ``b`` to state ``a``."""
         stack = [(a, b)]
@@ -103,7 +111,8 @@ class _Tree:
 
 
 def infer(examples: list[str], alpha: float = 0.05, max_states: int = 200) -> Automaton:
-    """Automaton of the examples; ``max_states`` bounds it, then the nearest state absorbs.
+    """Automaton of the examples; ``max_states`` bounds it, then the nearest state
+    by the frequencies of stopping and of each next symbol absorbs, the oldest of equals.
 
     Without examples it is one state that has seen nothing.
     """
@@ -117,7 +126,7 @@ def infer(examples: list[str], alpha: float = 0.05, max_states: int = 200) -> Au
         state = tree.next[parent][s]
         into = next((r for r in red if tree.agree(r, state, alpha)), None)
         if into is None and len(red) >= max_states:
-            into = red[-1]
+            into = min(red, key=lambda r: tree.distance(r, state))
         if into is None:
             red.append(state)
         else:

@@ -2,18 +2,20 @@
 
 The base patterns find assignments, access keys and long hexadecimal runs. Their values are
 labelled credentials: for each kind, grammar inference gives a probabilistic automaton of
-the format. All other candidates, runs of credential characters, are scored by how much
-likelier a format makes them than ordinary text does; those above a threshold, taken from
-the labelled values themselves, are reported as kind ``format``.
+the format. All other candidates, runs of credential characters at least as long as the
+shortest labelled value, are scored by how much likelier a format makes them than ordinary
+runs do; those above a threshold, taken from labelled values and ordinary runs that taught
+nothing, are reported as kind ``format``.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.llm import automata
@@ -37,9 +39,11 @@ _ASSIGN = re.compile(
 # Cut to the least length at once: a shorter run of these classes holds no longer match.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
+_CHARS = "[A-Za-z0-9+/_.=-]"
+#: What the base patterns can find is at least as long as this.
+_SHORTEST = 6
+_RUN = re.compile(_CHARS + "{%d,}" % _SHORTEST)
+_LONG_RUN = re.compile(_CHARS + "{20,}")
 
 Span = tuple[int, int, str]
 
@@ -47,21 +51,36 @@ Span = tuple[int, int, str]
 @dataclass(frozen=True)
 class Settings:
     """``max_examples`` bounds the labelled values of a kind, and the ordinary runs, that the
-    automata are inferred from; ``keep`` is the share of labelled values a threshold admits."""
+    automata are inferred from, ``max_chars`` their characters together. A kind with fewer
+    than ``least_examples`` values has no frequencies to compare and gets no automaton; a value
+    longer than that share of ``max_chars`` teaches nothing.
+
+    ``keep`` is the share of labelled values a threshold admits, ``refuse`` the share of
+    ordinary runs it turns away.
+    """
 
     max_examples: int = 1000
+    max_chars: int = 100_000
+    least_examples: int = 10
     alpha: float = 0.05
     keep: float = 0.98
+    refuse: float = 0.99
     least_gain: float = 0.25
 
+    @property
+    def longest(self) -> int:
+        return self.max_chars // self.least_examples
+
 
 @dataclass(frozen=True)
 class Formats:
-    """Automata of the kinds, of ordinary runs, and the gain a candidate needs per kind."""
+    """Automata of the kinds, of ordinary runs, the gain a candidate needs per kind, and the
+    length of the shortest labelled value, from which on runs are candidates."""
 
     kinds: dict[str, automata.Automaton]
     ordinary: automata.Automaton | None
     least: dict[str, float]
+    shortest: int = _SHORTEST
 
     def best(self, text: str) -> tuple[str, float]:
         """The kind with the greatest gain over its threshold, per character."""
@@ -81,7 +100,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
         out += [
             (*m.span(), "assign", m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6
         ]
-    for run in _RUN.finditer(text):
+    for run in _LONG_RUN.finditer(text):
         # Both patterns match credential characters only, so they lie inside one run.
         start, value = run.start(), run[0]
         for kind, pattern in (("access", _ACCESS), ("hex", _HEX)):
@@ -91,15 +110,54 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters with letters and digits that touch no base span."""
-    out = []
-    for m in _RUN.finditer(text):
-        value = m[0]
-        if _DIGIT.search(value) and _LETTER.search(value):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                out.append((*m.span(), value))
-    return out
+class Judge:
+    """Finds the candidates of a text that a format accepts; remembers verdicts on short runs."""
+
+    def __init__(self, formats: Formats, remembered: int = 100_000):
+        self.formats, self.remembered = formats, remembered
+        self.run = re.compile(_CHARS + "{%d,}" % max(1, formats.shortest))
+        self.verdicts: dict[str, bool] = {}
+
+    def accepts(self, value: str) -> bool:
+        known = self.verdicts.get(value)
+        if known is None:
+            known = self.formats.best(value)[1] >= 0
+            if len(value) <= 64:
+                if len(self.verdicts) >= self.remembered:
+                    self.verdicts.clear()
+                self.verdicts[value] = known
+        return known
+
+    def spans(self, text: str, base: list[Span]) -> list[Span]:
+        """Accepted candidates that touch no base span."""
+        if not self.formats.kinds:
+            return []
+        found = {v for v in set(self.run.findall(text)) if self.accepts(v)}
+        if not found:
+            return []
+        taken = Taken(base)
+        return [
+            (*m.span(), "format") for m in self.run.finditer(text)
+            if m[0] in found and not taken.touches(*m.span())
+        ]
+
+
+class Taken:
+    """Spans, joined where they overlap, that tell whether another one touches them."""
+
+    def __init__(self, spans):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(x[:2] for x in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        before = bisect_left(self.starts, b) - 1
+        return before >= 0 and self.ends[before] > a
 
 
 def joined(spans: list[Span]) -> str:
@@ -110,57 +168,94 @@ def joined(spans: list[Span]) -> str:
 def learn_formats(df: DataFrame, s: Settings | None = None) -> Formats:
     """Infer the automata from rows (doc_id, text).
 
-    All texts are searched. Of the distinct labelled values and of the distinct ordinary
-    runs, the first ``max_examples`` by a hash are used.
+    All texts are searched. Of the distinct labelled values of a kind, and of the distinct
+    ordinary runs, the first ``max_examples`` by a hash are used, up to ``max_chars``
+    characters. Ordinary runs are as short as a base pattern's least value, so that words
+    outnumber credentials without a label among them.
     """
     s = s or Settings()
 
     def found(batches):
+        lowest: dict[str, str] = {}
+        known: set[str] = set()
         for batch in batches:
-            seen = set()
+            labelled = set()
             for text in batch["text"]:
                 base = base_spans(text)
-                seen.update((k, v) for _, _, k, v in base if len(v) <= 256)
-                taken = [b[:2] for b in base]
-                seen.update(
-                    ("", v) for m in _RUN.finditer(text) if len(v := m[0]) <= 256
-                    and not any(a < m.end() and m.start() < b for a, b in taken)
-                )
+                labelled.update((k, v) for _, _, k, v in base)
+                if base:
+                    taken = Taken(base)
+                    runs = {m[0] for m in _RUN.finditer(text) if not taken.touches(*m.span())}
+                else:
+                    runs = set(_RUN.findall(text))
+                for v in runs - known:
+                    if len(v) <= s.longest:
+                        lowest[hex_digest(v)] = v
+                if len(known) > 100_000:
+                    known.clear()
+                known.update(v for v in runs if len(v) <= 64)
             # Ordinary runs are many: a task passes on those that hash lowest.
-            plain = sorted(
-                (v for k, v in seen if not k), key=lambda v: hex_digest(v)
-            )[: s.max_examples]
-            values = [(k, v) for k, v in seen if k]
-            rows = values + [("", v) for v in plain]
-            yield {"kind": [r[0] for r in rows], "value": [r[1] for r in rows]}
+            if len(lowest) > s.max_examples:
+                lowest = {h: lowest[h] for h in sorted(lowest)[: s.max_examples]}
+            yield _example_rows(list(labelled))
+        yield _example_rows([("", v) for v in lowest.values()])
 
     values = map_batches(df.select("text"), found, "kind string, value string").distinct()
-    ranked = stored(values.withColumn("hash", F.sha2("value", 256)), "values")
+    size = F.length("value")
+    ranked = stored(
+        values.withColumns({"hash": F.sha2("value", 256), "size": size}), "values"
+    )
+    # The shortest of all labelled values, whichever are learned from.
+    shortest = ranked.filter("kind != ''").agg(F.min("size")).first()[0] or _SHORTEST
+    order = Window.partitionBy("kind").orderBy("hash")
+    usable = ranked.filter(F.col("size") <= s.longest)
+    first = usable.withColumn("place", F.row_number().over(order))
+    first = first.filter(F.col("place") <= s.max_examples)
+    picked = first.withColumn("chars", F.sum("size").over(order)).filter(
+        F.col("chars") <= s.max_chars
+    )
     examples: dict[str, list[str]] = {}
-    for kind in ("", *KINDS[:3]):
-        rows = ranked.filter(F.col("kind") == kind).orderBy("hash").limit(s.max_examples)
-        examples[kind] = [r.value for r in rows.collect()]
-    return formats_of(examples, s)
+    for r in picked.orderBy("hash").select("kind", "value").collect():
+        examples.setdefault(r.kind, []).append(r.value)
+    return formats_of(examples, s, shortest)
+
 
+def _example_rows(rows: list[tuple[str, str]]) -> dict[str, list[str]]:
+    return {"kind": [r[0] for r in rows], "value": [r[1] for r in rows]}
 
-def formats_of(examples: dict[str, list[str]], s: Settings) -> Formats:
-    """Automata of the example values per kind; "" holds ordinary runs."""
+
+def formats_of(
+    examples: dict[str, list[str]], s: Settings, shortest: int = _SHORTEST
+) -> Formats:
+    """Automata of the example values per kind; "" holds ordinary runs.
+
+    Every fifth example sets the threshold and teaches nothing. A kind whose values gain no
+    more than ordinary runs do is no format.
+    """
     plain = examples.get("", [])
-    if len(plain) < 2:
-        plain = [*plain, "ordinary-words-in-a-row", "internationalisation"]
-    ordinary = automata.infer(plain, s.alpha)
+    taught = [v for i, v in enumerate(plain) if i % 5]
+    if len(taught) < 2:
+        taught = [*taught, "ordinary-words-in-a-row", "internationalisation"]
+    ordinary = automata.infer(taught, s.alpha)
     kinds, least = {}, {}
     for kind in KINDS[:3]:
-        values = [v for v in examples.get(kind, []) if _DIGIT.search(v) and _LETTER.search(v)]
-        if len(values) < 10:
+        values = examples.get(kind, [])
+        if len(values) < s.least_examples:
             continue
-        # Every fifth value sets the threshold and teaches nothing.
-        kinds[kind] = automata.infer([v for i, v in enumerate(values) if i % 5], s.alpha)
-        gains = sorted(
-            kinds[kind].log_likelihood(v) - ordinary.log_likelihood(v) for v in values[::5]
-        )
-        least[kind] = max(s.least_gain, gains[int((1 - s.keep) * len(gains))])
-    return Formats(kinds, ordinary, least)
+        learned = automata.infer([v for i, v in enumerate(values) if i % 5], s.alpha)
+
+        def gains(unseen: list[str]) -> list[float]:
+            return sorted(
+                learned.log_likelihood(v) - ordinary.log_likelihood(v) for v in unseen[::5]
+            )
+
+        own, other = gains(values), gains(plain)
+        bounds = [s.least_gain, own[int((1 - s.keep) * len(own))]]
+        if len(other) > 1:
+            bounds.append(other[int(s.refuse * (len(other) - 1))])
+        if max(bounds) <= own[-1]:
+            kinds[kind], least[kind] = learned, max(bounds)
+    return Formats(kinds, ordinary, least, shortest)
 
 
 def scan(df: DataFrame, formats: Formats, id_col="doc_id", text_col="text") -> DataFrame:
@@ -172,10 +267,10 @@ def scan(df: DataFrame, formats: Formats, id_col="doc_id", text_col="text") -> D
     shared = df.sparkSession.sparkContext.broadcast(formats)
 
     def make():
-        known = shared.value
+        judge = Judge(shared.value)
 
         def row(doc_id, text):
-            base, spans = all_spans(text, known)
+            base, spans = all_spans(text, judge)
             counts = [sum(k == kind for _, _, k in base) for kind in KINDS[:3]]
             return (
                 doc_id, *counts, hex_digest(joined(base)), joined(spans), redacted(text, spans),
@@ -192,26 +287,22 @@ def scan(df: DataFrame, formats: Formats, id_col="doc_id", text_col="text") -> D
     )
 
 
-def all_spans(text: str, formats: Formats) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, judge: Judge) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans."""
     base = [b[:3] for b in base_spans(text)]
-    more = []
-    if formats.kinds:
-        more = [
-            (a, b, "format")
-            for a, b, value in candidates(text, [x[:2] for x in base])
-            if formats.best(value)[1] >= 0
-        ]
-    return base, base + more
+    return base, base + judge.spans(text, base)
 
 
 def redact(df: DataFrame, formats: Formats, text_col="text") -> DataFrame:
-    """All rows and columns of ``df``; every secret in a text becomes ``[SECRET]``."""
+    """All rows and columns of ``df``; every secret in a text becomes ``[SECRET]``.
+
+    Null and empty texts stay as they are.
+    """
     shared = df.sparkSession.sparkContext.broadcast(formats)
 
     def make():
-        known = shared.value
-        return lambda text: redacted(text, all_spans(text, known)[1])
+        judge = Judge(shared.value)
+        return lambda text: redacted(text, all_spans(text, judge)[1])
 
     return replace_texts(df, make, text_col)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -161,6 +162,96 @@ def test_formats_are_learned(docs):
     assert hidden not in rows[80].redacted and rows[81].spans == ""
 
 
+def _key(rng, n):
+    return "".join(rng.choice("0123456789abcdefXYZ") for _ in range(n))
+
+
+def test_formats_of_any_length_are_learned(docs):
+    rng = random.Random(8)
+    prose = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 14))) for _ in range(400)]
+    for size in (12, 300):
+        labelled = [f"token={_key(rng, size)} {' '.join(rng.choices(prose, k=9))}" for _ in range(60)]
+        hidden = _key(rng, size)
+        frame = docs(*labelled, f"see {hidden} there", " ".join(prose))
+        rows = {r.doc_id: r for r in secrets.find_secrets(frame).collect()}
+        assert rows[60].spans == f"format:4:{4 + size}"
+        assert rows[61].spans == ""
+        assert all("format" not in r.spans for r in rows.values() if r.doc_id != 60)
+
+
+def test_credentials_without_digits_are_found_and_words_are_not(docs):
+    rng = random.Random(9)
+    letters = lambda: "".join(rng.choice("GHJKLMNPQRSTVWXZ") for _ in range(14))
+    prose = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(14, 20))) for _ in range(200)]
+    hidden = letters()
+    frame = docs(*[f"secret: {letters()} {w}" for w in prose], f"{hidden} {prose[0]}")
+    rows = {r.doc_id: r for r in secrets.find_secrets(frame).collect()}
+    assert rows[200].spans == "format:0:14"
+    assert all("format" not in rows[i].spans for i in range(200))
+
+
+def test_labelled_words_make_no_format(docs):
+    rng = random.Random(10)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(6, 12))) for _ in range(900)]
+    lines = [f"token {w} secret: {v} {x}" for w, v, x in zip(words, words[300:], words[600:])]
+    rows = secrets.find_secrets(docs(*lines)).collect()
+    found = sum(r.spans.count("format") for r in rows)
+    assert found <= 2 * len(lines) // 50, found
+
+
+def _plain_score(automaton, text):
+    """Mean log probability per character, one dictionary look-up at a time."""
+    at, total = 0, 0.0
+    for c in [*text, ""]:
+        edges = automaton.edges[at] if at >= 0 else {}
+        s = automata.symbol(c) if c else automata.END
+        p, at = edges.get(s, (automaton.unseen, -1))
+        total += p - (math.log(automata.SPREAD.get(s, 1)) if c else 0)
+    return total / (len(text) + 1)
+
+
+def test_format_spans_match_a_plain_scan(docs):
+    rng = random.Random(11)
+    prose = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 14))) for _ in range(9000)]
+    texts = []
+    for i in range(240):
+        bits = rng.choices(prose, k=rng.randint(0, 60))
+        if i % 8 == 0:
+            bits.insert(rng.randint(0, len(bits)), _key(rng, rng.randint(9, 15)))
+        if i % 2:
+            bits.append(f"passwd = '{_key(rng, rng.randint(9, 15))}'")
+        texts.append(rng.choice([" ", "\n", ", "]).join(bits))
+    frame = docs(*texts)
+    formats = secrets.learn_formats(frame)
+    assert formats.kinds and formats.shortest == 9
+    got = {r.doc_id: r.spans for r in secrets.scan(frame, formats).collect()}
+    seen = 0
+    for i, text in enumerate(texts):
+        want = [x for x in plain_spans(text).split(",") if x]
+        taken = [tuple(map(int, x.split(":")[1:])) for x in want]
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            a, b = m.span()
+            if b - a < 9 or any(x < b and a < y for x, y in taken):
+                continue
+            usual = _plain_score(formats.ordinary, m[0])
+            if any(
+                _plain_score(x, m[0]) - usual >= formats.least[k] for k, x in formats.kinds.items()
+            ):
+                want.append(f"format:{a}:{b}")
+                seen += 1
+        want.sort(key=lambda x: (int(x.split(":")[1]), secrets.KINDS.index(x.split(":")[0])))
+        assert got[i] == ",".join(want)
+    assert seen > 20
+
+
+def test_a_full_automaton_merges_into_the_nearest_state():
+    rng = random.Random(12)
+    examples = ["".join(rng.choices("a9Z-", k=6)) for _ in range(60)]
+    small = automata.infer(examples, alpha=0.9, max_states=4)
+    assert len(small.edges) == 4
+    assert small.log_likelihood("a9Z-a9") > small.log_likelihood("++++++")
+
+
 def test_automaton_prefers_its_language():
     rng = random.Random(6)
     word = lambda: "ab" * rng.randint(3, 6) + str(rng.randint(100, 999))
