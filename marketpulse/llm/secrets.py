@@ -205,18 +205,26 @@ def learn_formats(df: DataFrame, s: Settings | None = None) -> Formats:
     ranked = stored(
         values.withColumns({"hash": F.sha2("value", 256), "size": size}), "values"
     )
-    totals = ranked.groupBy("kind").agg(F.count("*").alias("n"), F.min("size").alias("least"))
-    totals = {r.kind: r for r in totals.collect()}
+    # Binary digits of a hash's beginning: as many as hold enough values of a kind, so that
+    # its order stays a small task. Tasks have passed on low hashes, so none can be foretold.
+    bits = F.length(F.conv(F.substring("hash", 1, 12), 16, 2))
+    usable = ranked.filter(F.col("size") <= s.longest).withColumn("bits", bits)
+    totals = usable.groupBy("kind", "bits").agg(
+        F.count("*").alias("n"), F.min("size").alias("least")
+    )
+    totals = totals.orderBy("kind", "bits").collect()
     # The shortest of all labelled values, whichever are learned from.
-    shortest = min((r.least for kind, r in totals.items() if kind), default=_SHORTEST)
-    # Twice as many hashes as needed lie below this, so that a kind's order stays a small task.
-    low = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long")
+    shortest = min((r.least for r in totals if r.kind), default=_SHORTEST)
+    enough, seen = {}, dict.fromkeys(("", *KINDS[:3]), 0)
+    for r in totals:
+        if seen[r.kind] < s.max_examples:
+            seen[r.kind] += r.n
+            enough[r.kind] = r.bits
     early = F.lit(False)
-    for kind, r in totals.items():
-        bound = min(2**32, 2**32 * 2 * s.max_examples // r.n)
-        early |= (F.col("kind") == kind) & (low < bound)
+    for kind, most in enough.items():
+        early |= (F.col("kind") == kind) & (F.col("bits") <= most)
+    usable = usable.filter(early)
     order = Window.partitionBy("kind").orderBy("hash")
-    usable = ranked.filter(early & (F.col("size") <= s.longest))
     first = usable.withColumn("place", F.row_number().over(order))
     first = first.filter(F.col("place") <= s.max_examples)
     picked = first.withColumn("chars", F.sum("size").over(order)).filter(
