@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpulse.schemas import ALERT_TYPES, SEVERITIES
@@ -50,6 +52,25 @@ def parse_detail(alerts: DataFrame, kind: str) -> DataFrame:
     return rows.select(*[c for c in alerts.columns if c != "detail"], "_detail.*")
 
 
+def with_variant_detail(alerts: DataFrame) -> DataFrame:
+    """Alerts of all types with their detail as one VARIANT column, parsed once.
+
+    A null detail stays null; text that is no JSON fails the job.
+    """
+    return alerts.withColumn("detail", F.parse_json("detail"))
+
+
+def detail_field(*names: str, kind: str = "double") -> Column:
+    """The first of the named members that a VARIANT detail has; null where it has none.
+
+    A member that cannot be read as ``kind`` fails the job.
+    """
+    if not names:
+        raise ValueError("name at least one member")
+    found = [F.variant_get("detail", f"$.{name}", kind) for name in names]
+    return reduce(lambda a, b: F.coalesce(a, b), found)
+
+
 def recent(
     alerts: DataFrame, kind: str | None = None, severity: str | None = None, limit: int = 50
 ) -> DataFrame:

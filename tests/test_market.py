@@ -236,6 +236,33 @@ def test_corrupt_detail_fails(alert_table):
         alerts.parse_detail(broken, "SPIKE").collect()
 
 
+def test_variant_detail_of_mixed_alerts(alert_table):
+    rows = alert_table(*[(str(n), "SPIKE", "LOW", "c", n) for n in range(5)])
+    texts = F.array(
+        F.lit('{"price": 12.50, "sampleCount": 3}'), F.lit('{"listingPrice": 7, "sellerId": "s"}'),
+        F.lit('{"price": null, "listingPrice": 1e2}'), F.lit("{}"), F.lit(None).cast("string"),
+    )
+    found = alerts.with_variant_detail(
+        rows.withColumn("detail", F.element_at(texts, F.col("alert_id").cast("int") + 1))
+    )
+    got = found.orderBy("alert_id").select(
+        alerts.detail_field("price", "listingPrice").alias("price"),
+        alerts.detail_field("sellerId", kind="string").alias("seller"),
+    )
+    assert [tuple(r) for r in got.collect()] == [
+        (12.5, None), (7.0, "s"), (100.0, None), (None, None), (None, None),
+    ]
+    with pytest.raises(ValueError):
+        alerts.detail_field()
+
+
+@pytest.mark.parametrize("text", ["{oops", '{"price": "dear"}'])
+def test_corrupt_variant_detail_fails(alert_table, text):
+    broken = alert_table(("1", "SPIKE", "LOW", "c", 0)).withColumn("detail", F.lit(text))
+    with pytest.raises(Exception, match="(?i)malformed|invalid_variant_cast"):
+        alerts.with_variant_detail(broken).select(alerts.detail_field("price")).collect()
+
+
 def test_watchlist_scope(spark, alert_table):
     rows = alert_table(("1", "SPIKE", "LOW", "a", 0), ("2", "SPIKE", "LOW", "b", 1))
     watch = spark.createDataFrame([("u1", "a"), ("u2", "a"), ("u2", "b")], "user_id string, card_id string")

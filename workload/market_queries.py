@@ -326,14 +326,10 @@ def arbitrage_alerts(f):
        UNION ALL SELECT event_id, price, sigma FROM spikes""",
 )
 def alert_detail_json(f):
-    def field(*names):
-        values = [F.get_json_object("detail", f"$.{n}").cast("double") for n in names]
-        return F.coalesce(*values)
-
-    return _alerts(f).select(
+    return alerts.with_variant_detail(_alerts(f)).select(
         "event_id",
-        field("price", "listingPrice").alias("price"),
-        field("sigma", "discountPct").alias("size"),
+        alerts.detail_field("price", "listingPrice").alias("price"),
+        alerts.detail_field("sigma", "discountPct").alias("size"),
     )
 
 
