@@ -16,6 +16,7 @@ from marketpulse.functions.keys import market_key
 from marketpulse.operators import alerts as alert_ops
 from marketpulse.operators import signals, stats, windows
 from marketpulse.schemas import ALERT, LISTING, PRICE_WINDOW, SALE
+from marketpulse.session import ROCKSDB, STATE_STORE
 from marketpulse.sources import feeds, tables
 from marketpulse.streaming import alerts, ingest, keyed, sinks, snapshot
 from marketpulse.streaming.windows import start_windows, stream_windows
@@ -374,3 +375,32 @@ def test_a_ticker_keeps_a_day_of_panes_and_is_forgotten_after_it(spark, tmp_path
     assert len(rings[0].panes) <= 24
     out = tables.read_log(spark, f"{tmp_path}/out", PRICE_WINDOW)
     assert out.filter("card_id = 'idle'").count() == 24  # closed by others' later sales
+
+
+@pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
+def bare(spark, request):
+    """A session with Spark's own state store, which has no keyed state; jobs leave it so."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", "UTC")
+    if request.param:
+        session.conf.set(STATE_STORE, request.param)
+    else:
+        session.conf.unset(STATE_STORE)
+    before = session.conf.get(STATE_STORE, None)
+    assert before != ROCKSDB
+    yield session
+    assert session.conf.get(STATE_STORE, None) == before
+    assert session.conf.get(sinks._EMPTY_BATCHES, None) is None
+
+
+def test_trailing_windows_run_in_a_session_without_their_store(bare, tmp_path):
+    _write_parts(bare, _sales(), SALE, f"{tmp_path}/in")
+    live = _stream(bare, f"{tmp_path}/in", SALE)
+    writer = sinks.batch_writer(f"{tmp_path}/out")
+    job = sinks.start(stream_windows(live, "MA_24H"), writer, f"{tmp_path}/cp")
+    job.awaitTermination()
+    got = tables.read_log(bare, f"{tmp_path}/out", PRICE_WINDOW).drop("batch_id")
+    sales = bare.createDataFrame(_sales(), SALE).withColumn("market_key", market_key())
+    last = sales.agg(F.max("sold_at")).first()[0]
+    batch = windows.windowed_aggregates(sales, ("MA_24H",)).filter(F.col("window_end") <= last)
+    _same(got, batch.select(*got.columns))
