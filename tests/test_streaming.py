@@ -404,3 +404,22 @@ def test_trailing_windows_run_in_a_session_without_their_store(bare, tmp_path):
     last = sales.agg(F.max("sold_at")).first()[0]
     batch = windows.windowed_aggregates(sales, ("MA_24H",)).filter(F.col("window_end") <= last)
     _same(got, batch.select(*got.columns))
+
+
+def test_keyed_alerts_run_in_a_session_without_their_store(bare, tmp_path):
+    path = f"{tmp_path}/in"
+    sales, listings, reader = _live_events(bare, path)
+    job = alerts.start_alerts(
+        reader.parquet(path), f"{tmp_path}/al", f"{tmp_path}/cp", None, LIMITS, f"{tmp_path}/fl"
+    )
+    job.awaitTermination()
+    columns = ["type", "severity", "card_id", "market_key", "ts"]
+    got = tables.read_alerts(bare, f"{tmp_path}/al")
+    want = signals.market_alerts(sales, listings, LIMITS)
+    assert {r.type for r in want.collect()} == {"SPIKE", "ARBITRAGE"}
+    _same(got.select(*columns), want.select(*columns))
+    flags = bare.read.parquet(f"{tmp_path}/fl").drop("batch_id")
+    _same(flags, signals.arbitrage_flags(sales, listings, LIMITS))
+    sums = keyed.running_sums(bare, f"{tmp_path}/cp")
+    counts = sales.groupBy("market_key").agg(F.count("price").alias("prior_count"))
+    _same(sums.select("market_key", "prior_count"), counts)
