@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marketpulse.operators.stats import market_snapshot
 from marketpulse.streaming.keyed import keep_market_state
-from marketpulse.streaming.sinks import batch_writer, start
+from marketpulse.streaming.sinks import batch_writer, launch, start
 
 
 def start_snapshot(
@@ -22,8 +22,5 @@ def start_state(sales: DataFrame, checkpoint: str, every: str | None = None) ->
 
     ``keyed.market_state`` reads it, as of the last batch, while the query runs or after.
     """
-    writer = keep_market_state(sales).writeStream.format("noop").outputMode("update")
-    writer = writer.option("checkpointLocation", checkpoint)
-    if every:
-        return writer.trigger(processingTime=every).start()
-    return writer.trigger(availableNow=True).start()
+    writer = keep_market_state(sales).writeStream.format("noop")
+    return launch(sales.sparkSession, writer, checkpoint, mode="update", every=every)

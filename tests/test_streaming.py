@@ -423,3 +423,11 @@ def test_keyed_alerts_run_in_a_session_without_their_store(bare, tmp_path):
     sums = keyed.running_sums(bare, f"{tmp_path}/cp")
     counts = sales.groupBy("market_key").agg(F.count("price").alias("prior_count"))
     _same(sums.select("market_key", "prior_count"), counts)
+
+
+def test_market_state_runs_in_a_session_without_its_store(bare, tmp_path):
+    _write_parts(bare, _sales(), SALE, f"{tmp_path}/in")
+    live = _stream(bare, f"{tmp_path}/in", SALE)
+    snapshot.start_state(live, f"{tmp_path}/cp").awaitTermination()
+    sales = bare.createDataFrame(_sales(), SALE).withColumn("market_key", market_key())
+    _same(keyed.market_state(bare, f"{tmp_path}/cp"), stats.market_snapshot(sales))
