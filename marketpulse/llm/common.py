@@ -35,6 +35,13 @@ def _importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows each, which become Python objects one at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], schema
 ) -> DataFrame:
@@ -51,8 +58,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (
             {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
-            for b in batches
-            for part in (b.slice(at, SLICE_ROWS) for at in range(0, b.num_rows, SLICE_ROWS))
+            for part in slices(batches)
         )
         for out in fn(columns):
             yield pa.RecordBatch.from_arrays(
@@ -83,7 +89,7 @@ def _map_texts(df: DataFrame, change, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = None
-        for batch in batches:
+        for batch in slices(batches):
             fn = fn or change()
             yield fn(batch, at, [t or "" for t in batch.column(at).to_pylist()])
 

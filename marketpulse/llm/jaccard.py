@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marketpulse.llm.common import id_like, map_batches, map_rows, stored, texts
+from marketpulse.llm.common import id_like, map_batches, map_rows, slices, stored, texts
 from marketpulse.llm.graph import components
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -134,7 +134,7 @@ def _signatures(reps: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches):
         known = _Hashes()
-        for batch in batches:
+        for batch in slices(batches):
             ids, found, sizes = batch.column(0), [], []
             for text in batch.column(1).to_pylist():
                 found.append(parts_of(shingle_hashes(words_of(text), s.width, known), s))

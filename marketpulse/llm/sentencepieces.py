@@ -296,20 +296,22 @@ def piece_codes(
     id_col: str = "doc_id",
     text_col: str = "text",
     cache: int = 400_000,
+    keep: bool = True,
 ) -> DataFrame:
     """Ids of every row's text with begin and end, and the text decoded from them.
 
     Every row gives one row: ``n_tokens``, digests of ids and decoded text, with ``with_ids``
     also ``ids`` (little-endian unsigned 32-bit integers) and with ``with_text`` ``decoded``.
     A null or empty text has the begin and end ids alone. ``model_path`` must exist on the
-    driver; its pieces are broadcast (their number is that of the vocabulary).
+    driver; its pieces are broadcast (their number is that of the vocabulary). A Python worker
+    keeps the codec and its caches for the tasks to come; without ``keep`` they end with a task.
     """
     found = model_pieces(model_path)
     shared = df.sparkSession.sparkContext.broadcast(found)
     pieces = _Pieces(shared, hex_digest(repr(found)))
 
     def make():
-        codec = _codec(model_path, cache, pieces)
+        codec = _codec(model_path, cache, pieces) if keep else PieceCodec(shared.value, cache)
 
         def row(doc_id, text):
             n, packed, decoded = codec.packed(text)

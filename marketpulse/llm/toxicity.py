@@ -35,6 +35,9 @@ _STAND_INS |= {"@": "a", "$": "s", "!": "i"}
 # "1" may stand for i or l: the two fold to one letter everywhere.
 _SAME = {"l": "i"}
 
+#: Features that a task counts before it passes them on.
+MOST_FEATURES = 100_000
+
 _INSIDE = re.compile(r"(?<=[a-z])[013457@$!89]+(?=[a-z])|(?<![^\s])[013457@$!89](?=[a-z])")
 _STAND = str.maketrans(_STAND_INS)
 _LOOKS = str.maketrans({**_LOOK_ALIKES, "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l"})
@@ -107,7 +110,7 @@ def _counts(sample: DataFrame, features) -> DataFrame:
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 for f in features(text):
                     found.setdefault(f, [0, 0])[label] += 1
-                if len(found) > 500_000:
+                if len(found) > MOST_FEATURES:
                     yield out()
                     found.clear()
         yield out()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from marketpulse.llm import secrets
+from marketpulse.llm import common, secrets, toxicity
 
 from .conftest import SMALL
 from .test_duplicates import brute_groups
@@ -70,3 +73,33 @@ def test_stages_on_empty_and_odd_rows(spark, odd):
     for docs in (spark.createDataFrame(rows, shape), spark.createDataFrame([], shape)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SMALL).count() >= 0
+
+
+def test_filters_see_few_rows_at_once():
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(5000)), "text": ["a b"] * 5000})
+    found = list(common.slices(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in found) <= common.SLICE_ROWS
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
+
+
+def test_encoding_leaves_no_codec_in_the_workers(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50)
+
+    def held(batches):
+        for _ in batches:
+            pass
+        kept = [o for o in gc.get_objects() if type(o).__name__ == "PieceCodec"]
+        yield pa.RecordBatch.from_pydict({"n": [sum(o.cache == 100_000 for o in kept)]})
+
+    corpus_pipeline.encode(spark, docs, SMALL).collect()
+    left = spark.range(64, numPartitions=16).mapInArrow(held, "n long").collect()
+    assert sum(r.n for r in left) == 0
+
+
+def test_counts_do_not_depend_on_how_often_tasks_pass_them_on(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(50)
+    sample = docs.selectExpr("text", "cast(doc_id % 2 as int) label").coalesce(1)
+    counts = lambda: sorted(toxicity._counts(sample, str.split).collect())
+    once = counts()
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 10)
+    assert counts() == once and len(once) > 10
