@@ -38,6 +38,11 @@ _RUNNING = T.StructType(
         T.StructField("prior_sq_sum", PRICE_SQ_SUM),
     ]
 )
+_OPENING = T.StructType([T.StructField("market_key", T.StringType()), *_RUNNING.fields])
+_OPENED = Row(*_OPENING.names)
+_SLICE = T.StructField("slice", T.IntegerType())
+#: Partial sums that a task holds before it passes them on.
+_HELD = 200_000
 _MARKET = T.StructType(
     [
         T.StructField("sample_count", T.LongType()),
@@ -94,36 +99,21 @@ class _Keyed(StatefulProcessor):
 
 
 class RunningSums(_Keyed):
-    """Passes events on; before them one ``opening`` row with the slice's earlier sums.
-
-    A row without a ``kind`` is no event and asks for the opening row only.
-    """
+    """Adds partial sums to those of a ticker's slice, and gives the sums before them."""
 
     name, layout = "sums", _RUNNING
 
-    def __init__(self, columns: list[str], ttl: int | None = None):
-        super().__init__(ttl)
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.row = Row(*self.columns, "opening", *_RUNNING.names)
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.state.get() if self.state.exists() else None
         n, total, squares = before or (0, Decimal(0), Decimal(0))
         if before:
-            own = [key[0] if c == "market_key" else None for c in self.columns]
-            yield self.row(*own, True, *before)
+            yield _OPENED(key[0], *before)
         counted = False
         for row in rows:
-            if row["kind"] is None:
-                continue
-            if row["counted"] and row["price"] is not None:
-                price = row["price"]
-                n, total, squares = n + 1, total + price, squares + price * price
+            if row["prior_count"]:
+                n, total = n + row["prior_count"], total + row["prior_sum"]
+                squares += row["prior_sq_sum"]
                 counted = True
-            yield self.row(*[row[c] for c in self.columns], False, None, None, None)
         if counted:
             self.state.update((n, total, squares))
 
@@ -225,22 +215,44 @@ def trailing_windows(panes: DataFrame) -> DataFrame:
     return ends.select("market_key", span, *[f.name for f in _SUMS])
 
 
-def _asking_all_slices(events: DataFrame, slices: int) -> DataFrame:
-    """The events, and for each ticker of an Arrow batch a row without ``kind`` per slice."""
-    schema = events.schema
-    arrow = to_arrow_schema(schema)
+def _partial_sums(events: DataFrame, slices: int) -> DataFrame:
+    """A task's sums per ticker and slice; all slices of a ticker it meets, empty ones too."""
+    price = F.when(F.col("counted"), F.col("price")).alias("price")
+    out = T.StructType([_OPENING["market_key"], _SLICE, *_RUNNING.fields])
+    arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = arrow.empty_table()
         for batch in batches:
-            yield batch
-            keys = pc.unique(batch.column("market_key"))
-            n = len(keys) * slices
-            asked = {"market_key": pa.array(keys.to_pylist() * slices, pa.string())}
-            asked["slice"] = pa.array([i // len(keys) for i in range(n)], pa.int32())
-            columns = [asked.get(f.name, pa.nulls(n, f.type)) for f in arrow]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return events.mapInArrow(run, schema)
+            held = added(pa.concat_tables([held, first(batch)]))
+            if held.num_rows > _HELD:
+                yield from held.to_batches()
+                held = arrow.empty_table()
+        yield from held.to_batches()
+
+    def first(batch: pa.RecordBatch) -> pa.Table:
+        prices = batch.column("price")
+        one = pc.cast(pc.is_valid(prices), pa.int64())
+        prices = pc.fill_null(prices, Decimal(0))
+        squares = pc.multiply(prices, prices)
+        keys = pc.unique(batch.column("market_key"))
+        n = len(keys) * slices
+        asked = [
+            pa.concat_arrays([keys] * slices),
+            pa.array([i // len(keys) for i in range(n)], pa.int32()),
+            *[pa.array([0] * n, f.type) for f in list(arrow)[2:]],
+        ]
+        events = [batch.column("market_key"), batch.column("slice"), one, prices, squares]
+        events = [column.cast(f.type) for column, f in zip(events, arrow)]
+        return pa.concat_tables([pa.table(part, schema=arrow) for part in (events, asked)])
+
+    def added(rows: pa.Table) -> pa.Table:
+        keys, sums = arrow.names[:2], arrow.names[2:]
+        table = rows.group_by(keys).aggregate([(name, "sum") for name in sums])
+        columns = [table.column(n) for n in (*keys, *[f"{name}_sum" for name in sums])]
+        return pa.table([column.cast(f.type) for column, f in zip(columns, arrow)], schema=arrow)
+
+    return events.select("market_key", slice_of(slices=slices), price).mapInArrow(run, out)
 
 
 def with_openings(
@@ -248,18 +260,18 @@ def with_openings(
 ) -> DataFrame:
     """Market events as they are, and rows with the earlier sums of each touched ticker.
 
-    ``opening`` tells these rows, one per slice, apart. A slice that nothing was counted in for ``idle``, in
-    processing time, starts again from nothing; without it sums are kept for good.
+    ``opening`` tells these rows, one per slice, apart. Only sums pass through the state,
+    added up in the map tasks; both sides read the same offsets in a micro-batch. A slice that
+    nothing was counted in for ``idle``, in processing time, starts again from nothing; without
+    it sums are kept for good.
     """
     importable(events.sparkSession)
-    columns = events.columns
-    fields = [T.StructField(f.name, f.dataType) for f in events.schema.fields]
-    out = T.StructType([*fields, T.StructField("opening", T.BooleanType()), *_RUNNING.fields])
-    nullable = T.StructType([*fields, T.StructField("slice", T.IntegerType())])
-    dealt = events.withColumn("slice", slice_of(slices=slices)).to(nullable)
-    keyed = _asking_all_slices(dealt, slices).groupBy("market_key", "slice")
-    processor = RunningSums(columns, _millis(idle))
-    return keyed.transformWithState(processor, out, "Update", "ProcessingTime" if idle else "None")
+    keyed = _partial_sums(events, slices).groupBy("market_key", "slice")
+    times = "ProcessingTime" if idle else "None"
+    earlier = keyed.transformWithState(RunningSums(_millis(idle)), _OPENING, "Update", times)
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in _RUNNING}
+    plain = events.withColumns({"opening": F.lit(False), **nothing})
+    return plain.unionByName(earlier.withColumn("opening", F.lit(True)), allowMissingColumns=True)
 
 
 def keep_market_state(sales: DataFrame, slices: int = SLICES) -> DataFrame:

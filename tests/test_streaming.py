@@ -10,6 +10,7 @@ from decimal import Decimal
 import pytest
 from conftest import T0
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from marketpulse import Thresholds
 from marketpulse.functions.keys import market_key
@@ -377,6 +378,80 @@ def test_a_ticker_keeps_a_day_of_panes_and_is_forgotten_after_it(spark, tmp_path
     assert out.filter("card_id = 'idle'").count() == 24  # closed by others' later sales
 
 
+def _rows_through_state(spark, tmp_path, monkeypatch, tickers, n=300):
+    """Rows that the sums' processor is given for one file of ``n`` sales dealt over tickers."""
+    path = f"{tmp_path}/rows"
+
+    class Counting(StatefulProcessor):
+        def __init__(self, *args):
+            self.args = args
+
+        def init(self, handle):
+            from marketpulse.streaming.keyed import RunningSums  # as it is in the worker
+
+            self.sums = RunningSums(*self.args)
+            self.sums.init(handle)
+
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            with open(path, "a") as out:
+                out.write(f"{len(rows)}\n")
+            return self.sums.handleInputRows(key, iter(rows), timerValues)
+
+        def close(self):
+            pass
+
+    monkeypatch.setattr(keyed, "RunningSums", Counting)
+    sales = [(f"s{i}", "sim", f"c{i % tickers}", "NORMAL", "NM", Decimal(5), 1, T0) for i in range(n)]
+    _write_parts(spark, sales, SALE, f"{tmp_path}/in", parts=1)
+    events = signals.sale_events(_stream(spark, f"{tmp_path}/in", SALE))
+    found = []
+    sink = lambda batch, _: found.append(batch.filter("NOT opening").count())
+    rows = keyed.with_openings(events)
+    sinks.start(rows, sink, f"{tmp_path}/cp", mode="update").awaitTermination()
+    assert found == [n]
+    with open(path) as lines:
+        return sum(map(int, lines))
+
+
+@pytest.mark.parametrize("tickers", [1, 7])
+def test_sums_and_not_events_pass_through_the_state(spark, tmp_path, monkeypatch, tickers):
+    """Also where a column of the events, as the kind of sales alone, is never null."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        rows = _rows_through_state(spark, tmp_path, monkeypatch, tickers)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert rows == tickers * keyed.SLICES
+
+
+def test_partial_sums_are_whole_when_a_task_passes_them_on_early(spark, monkeypatch):
+    """Tickers without a counted price, and null tickers, are asked for as well."""
+    rows = [(f"e{i}", f"c{i % 9}" if i % 10 else None, Decimal(i) / 100 if i % 7 else None, i % 3 > 0)
+            for i in range(400)]
+    names = "event_id string, market_key string, price decimal(12,2), counted boolean"
+    events = spark.createDataFrame(rows, names).coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        whole = keyed._partial_sums(events, 4).collect()
+        monkeypatch.setattr(keyed, "_HELD", 3)
+        parts = keyed._partial_sums(events, 4).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == 10 * 4 < len(parts)
+    want = {}
+    for _, key, price, counted in rows:
+        n, total, squares = want.get(key, (0, 0, 0))
+        if counted and price is not None:
+            n, total, squares = n + 1, total + price, squares + price * price
+        want[key] = n, total, squares
+    for got in (whole, parts):
+        sums = {}
+        for r in got:
+            sums[r[0]] = tuple(a + b for a, b in zip(sums.get(r[0], (0, 0, 0)), r[2:]))
+        assert sums == want
+
+
 @pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
 def bare(spark, request):
     """A session with Spark's own state store, which has no keyed state; jobs leave it so."""
