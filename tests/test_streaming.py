@@ -452,6 +452,18 @@ def test_partial_sums_are_whole_when_a_task_passes_them_on_early(spark, monkeypa
         assert sums == want
 
 
+def test_the_alert_job_is_fed_by_all_tasks(spark, tmp_path, monkeypatch):
+    """Each part of the feed is written by several tasks and read as one micro-batch."""
+    from workload import stream_queries
+    from workload.views import Feeds
+
+    monkeypatch.setattr(stream_queries, "shared_dir", lambda *_: f"{tmp_path}/job")
+    base = stream_queries._stream_alerts(Feeds(spark, "/root/testdata/sf0.001"))
+    files = [n for n in os.listdir(f"{base}/in") if n.endswith(".parquet")]
+    commits = [n for n in os.listdir(f"{base}/state/commits") if n.isdigit()]
+    assert len(commits) == stream_queries.BATCHES < len(files)
+
+
 @pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
 def bare(spark, request):
     """A session with Spark's own state store, which has no keyed state; jobs leave it so."""
