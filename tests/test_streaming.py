@@ -464,6 +464,24 @@ def test_the_alert_job_is_fed_by_all_tasks(spark, tmp_path, monkeypatch):
     assert len(commits) == stream_queries.BATCHES < len(files)
 
 
+def test_flags_of_live_sales_and_listings_that_are_not_stored_as_events(spark, tmp_path):
+    """Their kind is never null, unlike that of events read from files."""
+    sales = spark.createDataFrame(_sales(), SALE).withColumn("market_key", market_key())
+    listings = spark.createDataFrame(_listings(), LISTING).withColumn("market_key", market_key())
+    _write_parts(spark, _sales(), SALE, f"{tmp_path}/s", parts=1)
+    _write_parts(spark, _listings(), LISTING, f"{tmp_path}/l", parts=1)
+    events = signals.market_events(
+        _stream(spark, f"{tmp_path}/s", SALE), _stream(spark, f"{tmp_path}/l", LISTING)
+    )
+    job = alerts.start_alerts(
+        events, f"{tmp_path}/al", f"{tmp_path}/cp", None, LIMITS, f"{tmp_path}/fl"
+    )
+    job.awaitTermination()
+    flags = spark.read.parquet(f"{tmp_path}/fl").drop("batch_id")
+    assert flags.count() > 0
+    _same(flags, signals.arbitrage_flags(sales, listings, LIMITS))
+
+
 @pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
 def bare(spark, request):
     """A session with Spark's own state store, which has no keyed state; jobs leave it so."""
