@@ -16,6 +16,7 @@ from marketpulse import Thresholds
 from marketpulse.functions.keys import market_key
 from marketpulse.operators import alerts as alert_ops
 from marketpulse.operators import signals, stats, windows
+from marketpulse.operators.running import batch_totals
 from marketpulse.schemas import ALERT, LISTING, PRICE_WINDOW, SALE
 from marketpulse.session import ROCKSDB, STATE_STORE
 from marketpulse.sources import feeds, tables
@@ -482,6 +483,14 @@ def test_flags_of_live_sales_and_listings_that_are_not_stored_as_events(spark, t
     _same(flags, signals.arbitrage_flags(sales, listings, LIMITS))
 
 
+def test_running_sums_of_live_sales_alone(spark, live, tmp_path):
+    stream, batch = live
+    events = signals.sale_events(stream)
+    alerts.start_alerts(events, f"{tmp_path}/al", f"{tmp_path}/cp", None, LIMITS).awaitTermination()
+    want = batch_totals(signals.sale_events(batch))
+    _same(keyed.running_sums(spark, f"{tmp_path}/cp").select(*want.columns), want)
+
+
 @pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
 def bare(spark, request):
     """A session with Spark's own state store, which has no keyed state; jobs leave it so."""
