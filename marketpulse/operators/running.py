@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpulse.schemas import PRICE_SQ_SUM, PRICE_SUM
@@ -25,6 +25,8 @@ from marketpulse.session import shared_dir
 
 SUMS = (("prior_count", "bigint"), ("prior_sum", PRICE_SUM), ("prior_sq_sum", PRICE_SQ_SUM))
 _PARTS = (("_n", "bigint"), ("_s1", PRICE_SUM), ("_s2", PRICE_SQ_SUM))
+#: Slice of the rows without a time.
+_LAST = 2**63 - 1
 
 
 def prior_stats(
@@ -38,20 +40,22 @@ def prior_stats(
 ) -> DataFrame:
     """Add ``prior_count``, ``prior_sum`` and ``prior_sq_sum`` of ``price`` to each event.
 
-    Only rows with ``counted`` true feed the sums; all rows receive them. Rows are ordered
-    by ``ts`` and then ``tie``, which must make the order unique. ``carry`` holds sums
+    Only rows with ``counted`` true feed the sums; all rows receive them. ``prior_count`` is
+    that of the rows, with a price or without. Rows are ordered by ``ts``, those without one
+    last, and then by ``tie``, which must make the order unique. ``carry`` holds sums
     (key, prior_*) from before these events. The events are written when this is called.
 
     With ``slice_width`` nothing is written: a ticker is cut into slices of that much event
     time instead of ranges, which suits a micro-batch that is cached. One instant of a ticker
     then stays together.
     """
+    in_time = F.col(ts).asc_nulls_last()
     if slice_width is None:
-        rows = ranged(events, [key, ts, *tie])
+        rows = ranged(events, [key, in_time, *tie])
     else:
         width = F.lit(int(slice_width.total_seconds() * 1_000_000))
         part = F.greatest(F.floor(F.unix_micros(ts) / width), F.lit(0))
-        rows = events.withColumn("_part", F.coalesce(part, F.lit(0)))
+        rows = events.withColumn("_part", F.when(F.col(ts).isNull(), _LAST).otherwise(part))
     price = F.when(F.col(counted), F.col("price"))
     rows = rows.withColumns(
         {
@@ -64,7 +68,7 @@ def prior_stats(
     stacked = rows.unionByName(_opening_balances(rows, key, carry), allowMissingColumns=True)
     before = (
         Window.partitionBy(key, "_part")
-        .orderBy("_row", ts, *tie)
+        .orderBy("_row", in_time, *tie)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     sums = [
@@ -75,7 +79,7 @@ def prior_stats(
     return scored.filter(F.col("_row") == 1).drop("_row")
 
 
-def ranged(events: DataFrame, order: list[str]) -> DataFrame:
+def ranged(events: DataFrame, order: list[str | Column]) -> DataFrame:
     """The events as written in ranges of ``order``, with the number of their range."""
     path = shared_dir(events.sparkSession, "running")
     parts = events.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())

@@ -115,6 +115,8 @@ def keyed_alert_sink(
         scored = prior_stats(events, TIE, carry=carry, slice_width=SLICE_WIDTH)
         hits = scored.filter(is_spike(limits) | is_arbitrage(limits)).persist()
         try:
+            # Two stages read these rows; on several executors each would compute them.
+            rows.count()
             found = alert_view(hits, limits)
             if metadata is not None:
                 found = alert_ops.enrich(found, metadata())

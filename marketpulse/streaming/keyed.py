@@ -31,14 +31,14 @@ SLICES = 4
 _HOUR_MS = 60 * 60 * 1000
 #: Hours of a trailing window.
 SPAN = 24
-_RUNNING = T.StructType(
-    [
-        T.StructField("prior_count", T.LongType()),
-        T.StructField("prior_sum", PRICE_SUM),
-        T.StructField("prior_sq_sum", PRICE_SQ_SUM),
-    ]
-)
-_OPENING = T.StructType([T.StructField("market_key", T.StringType()), *_RUNNING.fields])
+_PRIOR = [
+    T.StructField("prior_count", T.LongType()),
+    T.StructField("prior_sum", PRICE_SUM),
+    T.StructField("prior_sq_sum", PRICE_SQ_SUM),
+]
+#: Sums over the sales with a price, and the number of those without.
+_RUNNING = T.StructType([*_PRIOR, T.StructField("unpriced", T.LongType())])
+_OPENING = T.StructType([T.StructField("market_key", T.StringType()), *_PRIOR])
 _OPENED = Row(*_OPENING.names)
 _SLICE = T.StructField("slice", T.IntegerType())
 #: Partial sums that a task holds before it passes them on.
@@ -99,23 +99,26 @@ class _Keyed(StatefulProcessor):
 
 
 class RunningSums(_Keyed):
-    """Adds partial sums to those of a ticker's slice, and gives the sums before them."""
+    """Adds partial sums to those of a ticker's slice, and gives the sums before them.
+
+    These count all sales, as a batch does; the state tells sales without a price apart.
+    """
 
     name, layout = "sums", _RUNNING
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         before = self.state.get() if self.state.exists() else None
-        n, total, squares = before or (0, Decimal(0), Decimal(0))
+        n, total, squares, unpriced = before or (0, Decimal(0), Decimal(0), 0)
         if before:
-            yield _OPENED(key[0], *before)
+            yield _OPENED(key[0], n + unpriced, total, squares)
         counted = False
         for row in rows:
-            if row["prior_count"]:
+            if row["prior_count"] or row["unpriced"]:
                 n, total = n + row["prior_count"], total + row["prior_sum"]
-                squares += row["prior_sq_sum"]
+                squares, unpriced = squares + row["prior_sq_sum"], unpriced + row["unpriced"]
                 counted = True
         if counted:
-            self.state.update((n, total, squares))
+            self.state.update((n, total, squares, unpriced))
 
 
 class MarketState(_Keyed):
@@ -218,6 +221,8 @@ def trailing_windows(panes: DataFrame) -> DataFrame:
 def _partial_sums(events: DataFrame, slices: int) -> DataFrame:
     """A task's sums per ticker and slice; all slices of a ticker it meets, empty ones too."""
     price = F.when(F.col("counted"), F.col("price")).alias("price")
+    unpriced = F.when(F.col("counted") & F.col("price").isNull(), F.lit(1)).otherwise(F.lit(0))
+    unpriced = unpriced.cast("long").alias("unpriced")
     out = T.StructType([_OPENING["market_key"], _SLICE, *_RUNNING.fields])
     arrow = to_arrow_schema(out)
 
@@ -243,6 +248,7 @@ def _partial_sums(events: DataFrame, slices: int) -> DataFrame:
             *[pa.array([0] * n, f.type) for f in list(arrow)[2:]],
         ]
         events = [batch.column("market_key"), batch.column("slice"), one, prices, squares]
+        events.append(batch.column("unpriced"))
         events = [column.cast(f.type) for column, f in zip(events, arrow)]
         return pa.concat_tables([pa.table(part, schema=arrow) for part in (events, asked)])
 
@@ -252,7 +258,8 @@ def _partial_sums(events: DataFrame, slices: int) -> DataFrame:
         columns = [table.column(n) for n in (*keys, *[f"{name}_sum" for name in sums])]
         return pa.table([column.cast(f.type) for column, f in zip(columns, arrow)], schema=arrow)
 
-    return events.select("market_key", slice_of(slices=slices), price).mapInArrow(run, out)
+    rows = events.select("market_key", slice_of(slices=slices), price, unpriced)
+    return rows.mapInArrow(run, out)
 
 
 def with_openings(
@@ -269,7 +276,7 @@ def with_openings(
     keyed = _partial_sums(events, slices).groupBy("market_key", "slice")
     times = "ProcessingTime" if idle else "None"
     earlier = keyed.transformWithState(RunningSums(_millis(idle)), _OPENING, "Update", times)
-    nothing = {f.name: F.lit(None).cast(f.dataType) for f in _RUNNING}
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in _PRIOR}
     plain = events.withColumns({"opening": F.lit(False), **nothing})
     return plain.unionByName(earlier.withColumn("opening", F.lit(True)), allowMissingColumns=True)
 

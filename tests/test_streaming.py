@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from marketpulse import Thresholds
 from marketpulse.functions.keys import market_key
 from marketpulse.operators import alerts as alert_ops
-from marketpulse.operators import signals, stats, windows
+from marketpulse.operators import running, signals, stats, windows
 from marketpulse.operators.running import batch_totals
 from marketpulse.schemas import ALERT, LISTING, PRICE_WINDOW, SALE
 from marketpulse.session import ROCKSDB, STATE_STORE
@@ -491,6 +491,73 @@ def test_running_sums_of_live_sales_alone(spark, live, tmp_path):
     _same(keyed.running_sums(spark, f"{tmp_path}/cp").select(*want.columns), want)
 
 
+def _without_prices(rows):
+    """Every fourth sale, and all of one ticker, without a price."""
+    return [
+        (*r[:5], None if i % 4 == 1 or r[2] == "c0" else r[5], *r[6:]) for i, r in enumerate(rows)
+    ]
+
+
+def _events_without_prices(spark, path):
+    """Sales, listings and both as four files of events in the order of time."""
+    rows = _without_prices(_sales())
+    sales = spark.createDataFrame(rows, SALE).withColumn("market_key", market_key())
+    listings = spark.createDataFrame(_listings(), LISTING).withColumn("market_key", market_key())
+    events = signals.market_events(sales, listings)
+    rows = [tuple(r) for r in events.orderBy("ts", "kind_rank", "event_id").collect()]
+    _write_parts(spark, rows, events.schema, path)
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+    return sales, listings, reader.parquet(path)
+
+
+def test_flags_count_live_sales_without_a_price_as_a_batch_does(spark, tmp_path):
+    sales, listings, events = _events_without_prices(spark, f"{tmp_path}/in")
+    job = alerts.start_alerts(
+        events, f"{tmp_path}/al", f"{tmp_path}/cp", None, LIMITS, f"{tmp_path}/fl"
+    )
+    job.awaitTermination()
+    flags = spark.read.parquet(f"{tmp_path}/fl").drop("batch_id")
+    assert flags.count() > 0
+    _same(flags, signals.arbitrage_flags(sales, listings, LIMITS))
+
+
+@pytest.mark.parametrize("live", [False, True])
+def test_events_without_a_time_come_after_all_others(spark, live):
+    at = [None, T0, None, T0 + dt.timedelta(hours=1)]
+    rows = [(f"s{i}", "sim", "c", "NORMAL", "NM", Decimal(1), 1, t) for i, t in enumerate(at)]
+    events = signals.sale_events(spark.createDataFrame(rows, SALE))
+    width = alerts.SLICE_WIDTH if live else None
+    scored = running.prior_stats(events, signals.TIE, slice_width=width).collect()
+    assert {r.event_id: r.prior_count for r in scored} == {"s1": 0, "s3": 1, "s0": 2, "s2": 3}
+
+
+def test_the_last_part_of_a_feed_holds_events_without_a_time(spark):
+    from workload import stream_queries
+
+    rows = [(i, None if i % 5 == 0 else T0 + dt.timedelta(hours=i)) for i in range(40)]
+    feed = spark.createDataFrame(rows, "id int, ts timestamp")
+    parts = [[r.id for r in p.collect()] for p in stream_queries._parts(feed, "ts")]
+    assert sorted(sum(parts, [])) == list(range(40))
+    assert [i for i, ids in enumerate(parts) for n in ids if n % 5 == 0] == [3] * 8
+
+
+def test_a_micro_batch_is_computed_before_stages_share_it(spark, tmp_path, monkeypatch):
+    """Stages that run side by side on several executors would each pass it through the state."""
+    events = signals.sale_events(spark.createDataFrame(_sales(), SALE))
+    names = {name: F.lit(None).cast(kind) for name, kind in running.SUMS}
+    batch = events.withColumns({"opening": F.lit(False), **names}).repartition(3)
+    cached = []
+
+    def view(*args):
+        for found in spark.sparkContext._jsc.sc().getRDDStorageInfo():
+            cached.append(found.numCachedPartitions())
+        return signals.alert_view(*args)
+
+    monkeypatch.setattr(alerts, "alert_view", view)
+    alerts.keyed_alert_sink(f"{tmp_path}/al", None, LIMITS)(batch, 0)
+    assert 3 in cached
+
+
 @pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
 def bare(spark, request):
     """A session with Spark's own state store, which has no keyed state; jobs leave it so."""

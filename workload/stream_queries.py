@@ -48,11 +48,11 @@ BATCHES = 4
 
 
 def _parts(df, ts: str):
-    """All rows of ``df`` in parts of about equal size, in the order of ``ts``."""
+    """All rows of ``df`` in parts of about equal size, in the order of ``ts``; nulls come last."""
     micros = df.select(F.unix_micros(ts).cast("double").alias("t"))
     shares = [i / BATCHES for i in range(1, BATCHES)]
     cuts = micros.filter("t IS NOT NULL").approxQuantile("t", shares, 0.01)
-    number = sum((F.coalesce(F.unix_micros(ts) >= int(c), F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    number = sum((F.coalesce(F.unix_micros(ts) >= int(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
     marked = df.withColumn("_batch", number)
     return [marked.filter(F.col("_batch") == i).drop("_batch") for i in range(BATCHES)]
 
