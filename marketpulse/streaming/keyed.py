@@ -296,8 +296,13 @@ def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
 
 
 def running_sums(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Sums per ticker as of the last batch of a query over ``with_openings``."""
-    return sum_openings(_state(spark, checkpoint, RunningSums.name))
+    """Sums per ticker as of the last batch of a query over ``with_openings``.
+
+    Over the sales with a price; a ticker without any has a count of 0 and null sums.
+    """
+    sums = sum_openings(_state(spark, checkpoint, RunningSums.name))
+    priced = F.col("prior_count") > 0
+    return sums.withColumns({f.name: F.when(priced, F.col(f.name)) for f in _PRIOR[1:]})
 
 
 def sum_openings(rows: DataFrame) -> DataFrame:

@@ -558,6 +558,15 @@ def test_a_micro_batch_is_computed_before_stages_share_it(spark, tmp_path, monke
     assert 3 in cached
 
 
+def test_running_sums_tell_tickers_that_sold_without_a_price(spark, tmp_path):
+    sales, _, events = _events_without_prices(spark, f"{tmp_path}/in")
+    alerts.start_alerts(events, f"{tmp_path}/al", f"{tmp_path}/cp", None, LIMITS).awaitTermination()
+    got = keyed.running_sums(spark, f"{tmp_path}/cp")
+    want = batch_totals(signals.sale_events(sales))
+    assert want.filter("prior_count = 0 AND prior_sum IS NULL").count() == 1
+    _same(got.select(*want.columns), want)
+
+
 @pytest.fixture(params=[None, sinks._IN_MEMORY], ids=["unset", "default"])
 def bare(spark, request):
     """A session with Spark's own state store, which has no keyed state; jobs leave it so."""
